@@ -4,8 +4,9 @@ An arrival is accepted when its key has no anchor or the anchor has expired; the
 becomes the new anchor. A rejected arrival changes nothing, so repeats never renew the time to live.
 A null or blank key is never a duplicate.
 
-Keys with few arrivals are folded inside one row (one exchange on the key, all in the JVM). Keys
-with more than ``group_bound`` arrivals are never gathered: their arrivals go to a table cut into
+A count per key, which combines before its shuffle, sorts the keys into three kinds. A key seen once
+is decided from that count alone. A key with few arrivals is folded inside one row, all in the JVM.
+The arrivals of a key with more than ``group_bound`` are never gathered: they go to a table cut into
 time buckets of one TTL. Accepted arrivals lie at least one TTL apart, so a bucket holds at most one
 per key, and that one is a plain minimum over the arrivals past the expiry: an aggregate that
 combines before its shuffle, however many rows the key has. Buckets are walked in time order with
@@ -43,23 +44,9 @@ def classify_arrivals(
     acceptances; a null expiry never ends. Only the three columns are shuffled; join back on ``seq``,
     which spreads evenly whatever the keys are.
     """
-    blank, keyed = _split_blank(df, key, ts, seq)
-    cold, hot = _split_hot(keyed, group_bound)
-    parts = [
-        blank.withColumn("accepted", F.lit(True)),
-        _fold(cold, ttl, _expiry_by_key(ledger)).select(
-            "k", F.explode(_flagged()).alias("a")
-        ).select("k", "a.ts", "a.seq", "a.accepted"),
-    ]
-    if hot is not None:
-        rows, kept = _walk_buckets(hot, ttl, _expiry_by_key(ledger), group_bound)
-        accepted = kept.select("seq", F.lit(True).alias("accepted"))
-        parts.append(
-            rows.join(accepted, "seq", "left").select(
-                "k", "ts", "seq", F.coalesce("accepted", F.lit(False)).alias("accepted")
-            )
-        )
-    return _named(_union(parts), key, ts, seq)
+    narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+    verdicts = _union(_decide(narrow, ttl, ledger, group_bound))
+    return verdicts.withColumnsRenamed({"k": key, "ts": ts, "seq": seq})
 
 
 def accepted_arrivals(
@@ -72,20 +59,20 @@ def accepted_arrivals(
     group_bound: int = GROUP_BOUND,
 ) -> DataFrame:
     """The accepted arrivals only, as ``(key, ts, seq)``."""
-    blank, keyed = _split_blank(df, key, ts, seq)
-    cold, hot = _split_hot(keyed, group_bound)
-    parts = [blank, _exploded(_fold(cold, ttl, _expiry_by_key(ledger)))]
-    if hot is not None:
-        parts.append(_walk_buckets(hot, ttl, _expiry_by_key(ledger), group_bound)[1])
-    return _named(_union(parts), key, ts, seq)
+    narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+    accepted = _union(_decide(narrow, ttl, ledger, group_bound, accepted_only=True))
+    return accepted.drop("accepted").withColumnsRenamed({"k": key, "ts": ts, "seq": seq})
 
 
 def drop_repeats(df: DataFrame, key: str = "id", ts: str = "received_at", seq: str = "seq", **options) -> DataFrame:
     """``df`` without its rejected arrivals, all columns kept.
 
-    Rejections are few in an ordinary feed, so the wide rows usually meet a small anti-join side.
+    The three deciding columns are written once, since they are read twice (to find hot keys and to
+    decide) and may be costly to get at. Rejections are few in an ordinary feed, so the wide rows
+    usually meet a small anti-join side.
     """
-    rejected = classify_arrivals(df, key, ts, seq, **options).where(~F.col("accepted")).select(seq)
+    narrow = materialise(df.select(key, ts, seq), new_folder(df.sparkSession, "arrivals"))
+    rejected = classify_arrivals(narrow, key, ts, seq, **options).where(~F.col("accepted")).select(seq)
     return df.join(rejected, seq, "left_anti")
 
 
@@ -96,21 +83,53 @@ def ledger_entries(accepted: DataFrame, key: str = "id", ts: str = "received_at"
     )
 
 
-def _split_blank(df: DataFrame, key: str, ts: str, seq: str) -> tuple[DataFrame, DataFrame]:
-    narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+def _decide(
+    narrow: DataFrame, ttl: timedelta, ledger: DataFrame | None, bound: int, accepted_only: bool = False
+) -> list[DataFrame]:
+    """Verdicts ``(k, ts, seq, accepted)`` by kind of key; ``accepted_only`` leaves the rejected ones out."""
+    spark = narrow.sparkSession
     is_blank = F.coalesce(F.col("k").cast("string"), F.lit("")) == ""
-    return narrow.where(is_blank), narrow.where(~is_blank)
+    parts = [narrow.where(is_blank).withColumn("accepted", F.lit(True))]
+    keyed = narrow.where(~is_blank)
+    expiry = _expiry_by_key(ledger)
+
+    # Each kind has its own folder, so a join with one of them is planned by that kind's real size.
+    kinds = new_folder(spark, "arrival-kinds")
+    counts = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.min("seq").alias("seq"))
+    kind = F.when(F.col("n") == 1, "one").when(F.col("n") <= bound, "few").otherwise("hot")
+    counts.withColumn("kind", kind).write.partitionBy("kind").parquet(kinds)
+    by_kind = spark.read.schema(counts.schema).option("basePath", kinds)
+    present = {r["kind"] for r in spark.read.schema("kind string").parquet(kinds).distinct().collect()}
+
+    if "one" in present:
+        single = by_kind.parquet(f"{kinds}/kind=one").select("k", "ts", "seq")
+        decided = single.withColumn("accepted", F.lit(True)) if expiry is None else _past_expiry(single, expiry)
+        parts.append(decided.where("accepted") if accepted_only else decided)
+    if "hot" in present:
+        # Taken out before the other keys are shuffled, so that no shuffle on the key meets a hot one.
+        hot_keys = by_kind.parquet(f"{kinds}/kind=hot").select("k")
+        rows, kept = _walk_buckets(keyed.join(hot_keys, "k", "left_semi"), ttl, expiry, bound)
+        keyed = keyed.join(hot_keys, "k", "left_anti")
+        taken = kept.withColumn("accepted", F.lit(True))
+        if accepted_only:
+            parts.append(taken)
+        else:
+            verdict = F.coalesce("accepted", F.lit(False)).alias("accepted")
+            parts.append(rows.join(taken.select("seq", "accepted"), "seq", "left").select("k", "ts", "seq", verdict))
+    if "few" in present:
+        few = keyed.join(by_kind.parquet(f"{kinds}/kind=few").select("k"), "k", "left_semi")
+        folded = _fold(few, ttl, expiry)
+        if accepted_only:
+            parts.append(_exploded(folded).withColumn("accepted", F.lit(True)))
+        else:
+            verdicts = folded.select("k", F.explode(_flagged()).alias("a"))
+            parts.append(verdicts.select("k", "a.ts", "a.seq", "a.accepted"))
+    return parts
 
 
-def _split_hot(keyed: DataFrame, bound: int) -> tuple[DataFrame, DataFrame | None]:
-    """Cold and hot arrivals. The hot keys are few by definition; their table's size decides the join."""
-    counts = keyed.groupBy("k").agg(F.count("*").alias("n"))
-    hot_keys = materialise(
-        counts.where(F.col("n") > bound).select("k"), new_folder(keyed.sparkSession, "hot-keys")
-    )
-    if hot_keys.isEmpty():
-        return keyed, None
-    return keyed.join(hot_keys, "k", "left_anti"), keyed.join(hot_keys, "k", "left_semi")
+def _past_expiry(single: DataFrame, expiry: DataFrame) -> DataFrame:
+    is_open = F.col("open_at").isNull() | (F.col("ts") >= F.col("open_at"))
+    return single.join(expiry, "k", "left").select("k", "ts", "seq", is_open.alias("accepted"))
 
 
 def _expiry_by_key(ledger: DataFrame | None) -> DataFrame | None:
@@ -226,7 +245,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def _named(df: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
-    return df.withColumnsRenamed({"k": key, "ts": ts, "seq": seq})

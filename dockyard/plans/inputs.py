@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shape import record_json
+from ..session import spread
 
 # Records of one landed page.
 PAGE_SIZE = 100
@@ -62,7 +63,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = F.col("o_orderkey")
     rows = (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(order_lines(spark, sf_dir), F.col("l_orderkey") == key, "left")
     )

@@ -13,7 +13,7 @@ from ..functions.text import mask_middle, url_groups, url_param
 from ..functions.times import normalise_date, normalise_expiry, received_at_local
 from ..operators.cache import current_entries, get_or_compute, missing_keys, put_entries
 from ..operators.lookup import dict_last_wins, first_match_wins, resolve_codes, unseen
-from ..operators.orders import land_orders, parse_orders
+from ..operators.orders import cell, land_orders, parse_orders
 from ..operators.outcomes import error_log, outcome_rows, status_board
 from ..operators.shape import (
     clean_payload,
@@ -91,8 +91,8 @@ def first_line_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse_orders(order_documents(spark, sf_dir))
     return parsed.where("n_line_items > 0").select(
         "o_orderkey",
-        F.col("_item")["id"].cast("long").alias("l_partkey"),
-        F.col("_price")["amount"].cast("decimal(14,2)").alias("amount"),
+        cell("lineItem_id").cast("long").alias("l_partkey"),
+        cell("lineItem_price_amount").cast("decimal(14,2)").alias("amount"),
         F.col("n_line_items").cast("long").alias("n_line_items"),
     )
 
@@ -106,9 +106,8 @@ def quarantine_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("order_intake")
 def order_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats refused, accepted documents landed."""
-    parsed = parse_orders(sent_documents(spark, sf_dir)).withColumn("id", F.col("_doc.id"))
-    flat = land_orders(drop_repeats(parsed).drop("id"), location_dictionary(spark, sf_dir), keep=["seq"])
-    return flat.drop("seq")
+    parsed = parse_orders(sent_documents(spark, sf_dir)).where("reason IS NULL").withColumn("id", cell("id"))
+    return land_orders(drop_repeats(parsed), location_dictionary(spark, sf_dir))
 
 
 @query("stream_order_intake")

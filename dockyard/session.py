@@ -48,3 +48,12 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table and read it back: cuts lineage and gives Catalyst the real size."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a scan over all cores when it has fewer splits than cores and its rows are costly to work on.
+
+    Such an input holds at most a split per core, so the exchange is small; larger ones are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import LANDED_ORDER, LANDED_PAGE
+from ..session import spread
 
 # Receipt times keep their microseconds; the JSON default would cut them to milliseconds.
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**_TIMES).schema(LANDED_ORDER).json(path)
+    return spread(spark.read.options(**_TIMES).schema(LANDED_ORDER).json(path), "seq")
 
 
 def stream_orders(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import ONE_DAY
-from ..operators.orders import land_orders, parse_orders, quarantined, top_value
+from ..operators.orders import cell, land_orders, parse_orders, quarantined
 from ..operators.outcomes import error_log, outcome_rows
 from ..operators.ttl import classify_arrivals, ledger_entries
 from ..schema import MSG_DUPLICATE_LOG
-from ..session import materialise
+from ..session import materialise, spread
 from ..sinks.records import record_rows, write_batch
 
 SCRIPT = "intake"
@@ -88,8 +88,8 @@ def start_intake(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        parsed = parse_orders(batch).persist()
-        good = parsed.where(F.col("reason").isNull()).select(top_value("id").alias("id"), "received_at", "seq")
+        parsed = parse_orders(spread(batch, "seq")).persist()
+        good = parsed.where(F.col("reason").isNull()).select(cell("id").alias("id"), "received_at", "seq")
         verdicts = decide_batch(good, batch_id, root, "id", "received_at", "seq", ttl, **options)
         rejected = verdicts.where(~F.col("accepted"))
         failures = []
