@@ -13,9 +13,16 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
     A quoted line break makes a file unsplittable for its readers, so ``rows_per_file`` can bound
     the files. Lines end in ``\\n``: another line end would also change breaks inside cells.
     """
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option(
-        "maxRecordsPerFile", rows_per_file
-    ).csv(path)
+    options = {
+        "header": True,
+        "escape": '"',
+        "emptyValue": "",
+        # The writer strips cells unless told not to.
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+        "maxRecordsPerFile": rows_per_file,
+    }
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def load_table(

@@ -25,13 +25,14 @@ def _records(body: Column) -> Column:
     return F.from_json(body, _RECORDS)["value"]
 
 
-def _read_pages(pages: DataFrame) -> DataFrame:
+def _reached_pages(pages: DataFrame) -> DataFrame:
     """The pages a sequential reader would reach.
 
     Reading stops before the first empty page and after the first page without a next link; the
-    stop is one scalar, so later pages are filtered without a join.
+    stop is one scalar, so later pages are filtered without a join. A failed page is no end.
     """
-    ended = pages.select(
+    answered = pages.where("status = 200") if "status" in pages.columns else pages
+    ended = answered.select(
         "page_no",
         (F.coalesce(F.json_array_length(F.get_json_object("body", "$.value")), F.lit(0)) == 0).alias("empty"),
         F.array_contains(F.json_object_keys("body"), NEXT_LINK).alias("linked"),
@@ -64,7 +65,7 @@ def paged_scan(pages: DataFrame, column_indexes: list[int] | None = None) -> Dat
     Only the column names of one record come to the driver. A key missing in a later record gives
     NULL, an extra key is ignored.
     """
-    reached = _read_pages(pages)
+    reached = _reached_pages(pages)
     if "status" in pages.columns and not reached.where(F.col("status") != 200).isEmpty():
         return None
     names = page_columns(pages)
