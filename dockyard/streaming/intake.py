@@ -3,7 +3,8 @@
 Each micro-batch runs the same transforms as a batch job. What is remembered between batches is one
 ledger row per accepted id, kept as a table beside the outputs: a batch reads the ledger of earlier
 batches only and writes its own folder of every table, so a batch that is run again after a lost
-driver or executor replaces its own output and decides the same. Hot ids inside a micro-batch take
+driver or executor replaces its own output and decides the same. Every so many batches the live part
+of the ledger is written as one base, so the ledger that is read stays one TTL long. Hot ids inside a micro-batch take
 the same bucket walk as in a batch job, which a per-key state function could not split.
 """
 
@@ -29,33 +30,52 @@ SCRIPT = "intake"
 Sink = Callable[[DataFrame, str, int], None]
 
 
-def earlier_ledger(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, ts: str) -> DataFrame | None:
-    """Ledger rows of earlier batches that may still be live at the batch's first arrival."""
-    if batch_id == 0:
-        return None
-    oldest = batch.agg(F.min(ts)).scalar()
-    ledger = spark.read.parquet(f"{root}/ledger").where(F.col("batch_id") < batch_id)
-    return ledger.where(F.col("expires_at") > oldest).select("k", "expires_at")
+# Batches after which the live ledger is written anew as one base.
+COMPACT_EVERY = 100
+
+
+def earlier_ledger(spark: SparkSession, root: str, batch_id: int, compact_every: int) -> DataFrame | None:
+    """Ledger rows of all batches before ``batch_id``: the last base and the batches since.
+
+    Folder names follow from the batch number alone, so nothing is listed and a rerun reads the same.
+    """
+    base = batch_id // compact_every * compact_every
+    folders = [f"{root}/ledger/batch_id={n}" for n in range(base, batch_id)]
+    if base:
+        folders.append(f"{root}/ledger_base/upto={base}")
+    return spark.read.parquet(*folders).select("k", "accepted_at", "expires_at") if folders else None
 
 
 def decide_batch(
-    batch: DataFrame, batch_id: int, root: str, key: str, ts: str, seq: str, ttl: timedelta = ONE_DAY, **options
+    batch: DataFrame,
+    batch_id: int,
+    root: str,
+    key: str,
+    ts: str,
+    seq: str,
+    ttl: timedelta = ONE_DAY,
+    compact_every: int = COMPACT_EVERY,
+    **options,
 ) -> DataFrame:
-    """Verdicts ``(key, ts, seq, accepted)`` of one micro-batch; writes them and their ledger rows."""
-    ledger = earlier_ledger(batch.sparkSession, root, batch, batch_id, ts)
-    verdicts = classify_arrivals(batch, key, ts, seq, ttl, ledger, **options)
+    """Verdicts ``(key, ts, seq, accepted)`` of one micro-batch; writes them and their ledger rows.
+
+    Ledger rows that ended before the batch's first arrival are not read: receipt times do not run
+    backwards from batch to batch by more than a batch.
+    """
+    spark = batch.sparkSession
+    oldest = batch.agg(F.min(ts)).scalar()
+    ledger = earlier_ledger(spark, root, batch_id, compact_every)
+    live = ledger.where(F.col("expires_at") > oldest) if ledger else None
+    verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, **options)
     verdicts = materialise(verdicts, f"{root}/verdicts/batch_id={batch_id}")
-    accepted = verdicts.where("accepted")
-    write_batch(ledger_entries(accepted, key, ts, ttl), f"{root}/ledger", batch_id)
+    write_batch(ledger_entries(verdicts.where("accepted"), key, ts, ttl), f"{root}/ledger", batch_id)
+    if (batch_id + 1) % compact_every == 0:
+        own = spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
+        base = own.unionByName(live) if live else own
+        base.write.mode("overwrite").parquet(f"{root}/ledger_base/upto={batch_id + 1}")
     return verdicts
 
 
-def live_ledger(spark: SparkSession, root: str, now) -> DataFrame:
-    """What a compaction keeps: the last expiry per key, expired ones left out."""
-    ledger = spark.read.parquet(f"{root}/ledger")
-    return ledger.groupBy("k").agg(F.max("expires_at").alias("expires_at")).where(now < F.col("expires_at"))
-
-
 def start_dedup(
     arrivals: DataFrame, root: str, key: str, ts: str, seq: str, ttl: timedelta = ONE_DAY, **options
 ) -> StreamingQuery:

@@ -10,7 +10,7 @@ from dockyard.operators.ttl import accepted_arrivals
 from dockyard.schema import LANDED_ORDER
 from dockyard.sinks.records import write_batch
 from dockyard.sources.landing import land_documents, read_orders, stream_orders
-from dockyard.streaming.intake import decide_batch, live_ledger, start_dedup, start_intake
+from dockyard.streaming.intake import decide_batch, start_dedup, start_intake
 
 START = datetime(2024, 1, 1, 0, 0, 0, 123456)
 
@@ -94,8 +94,21 @@ def test_a_batch_run_again_decides_the_same(spark, tmp_path):
         assert {r["seq"]: r["accepted"] for r in verdicts.collect()} == {2: False, 3: True}
     ledger = spark.read.parquet(f"{root}/ledger")
     assert {(r["k"], r["batch_id"]) for r in ledger.collect()} == {("a", 0), ("b", 1)}
-    later = F.lit(START + timedelta(hours=24)).cast("timestamp_ntz")
-    assert live_ledger(spark, root, later).isEmpty()
+
+
+def test_ledger_bases_replace_the_batches_before_them(spark, tmp_path):
+    schema = "id string, received_at timestamp_ntz, seq long"
+    hours = [0, 1, 23, 24, 30, 47.5, 48, 60, 100, 101]
+    rows = [[(key, START + timedelta(hours=h), 2 * i + j) for j, key in enumerate("ab")] for i, h in enumerate(hours)]
+    got = {}
+    for every in [1, 2, 3, 100]:
+        root = str(tmp_path / str(every))
+        for n, batch in enumerate(rows):
+            decide_batch(spark.createDataFrame(batch, schema), n, root, "id", "received_at", "seq", compact_every=every)
+        got[every] = {r["seq"] for r in table(spark, root, "verdicts").where("accepted").collect()}
+    assert got[100] == {0, 1, 6, 7, 12, 13, 16, 17}
+    assert got[1] == got[2] == got[3] == got[100]
+    assert table(spark, str(tmp_path / "2"), "ledger_base/upto=10").count() == 2
 
 
 def test_stream_equals_batch_with_hot_ids(spark, tmp_path):
@@ -109,7 +122,7 @@ def test_stream_equals_batch_with_hot_ids(spark, tmp_path):
     for part in [rows.where(F.col("received_at") < cut), rows.where(F.col("received_at") >= cut)]:
         part.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(rows.schema).parquet(landing)
-        start_dedup(stream, root, "id", "received_at", "seq", timedelta(hours=2), group_bound=100).awaitTermination()
+        start_dedup(stream, root, "id", "received_at", "seq", timedelta(hours=2), group_bound=100, compact_every=1).awaitTermination()
     got = table(spark, root, "verdicts").where("accepted").select("seq")
     want = accepted_arrivals(rows, ttl=timedelta(hours=2), group_bound=3000).select("seq")
     assert got.count() > 50
