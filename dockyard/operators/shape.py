@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import clean_cell, is_date_name
+from ..session import materialise, new_folder
 
 
 def _by_position(df: DataFrame, picks: list[tuple[int, str]]) -> DataFrame:
@@ -59,8 +60,38 @@ def clean_payload(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return named.select([clean_cell(F.col(f"`{c}`"), is_date_name(c)).alias(c) for c in named.columns])
 
 
+# Most rows that are kept as one sorted heap per task.
+TOP_K_BOUND = 100_000
+
+
 def limit_rows(df: DataFrame, limit: int, pos: str) -> DataFrame:
     """The first rows by ``pos``. ``limit`` counts the header row, so n gives n - 1 rows; 0 gives all."""
     if limit < 0:
         raise ValueError("limit must not be negative")
-    return df if limit == 0 else df.orderBy(pos).limit(limit - 1)
+    if limit == 0:
+        return df
+    if limit - 1 <= TOP_K_BOUND:
+        return df.orderBy(pos).limit(limit - 1)
+    return number_rows(df, pos, name="_row").where(F.col("_row") < limit - 1).drop("_row")
+
+
+def number_rows(df: DataFrame, *order: str, name: str = "_pos", start: int = 0) -> DataFrame:
+    """Exact consecutive row numbers in the given order, which should leave no ties.
+
+    Ranges are sorted side by side and stored; only the size of each range comes to the driver, so no
+    window runs over all rows.
+    """
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialise(ranges.withColumn("_at", F.monotonically_increasing_id()), new_folder(spark, "numbered"))
+    # The id holds the range in its upper bits and the row within the range in its lower 33.
+    range_no = F.shiftright("_at", 33)
+    sizes = stored.groupBy(range_no.alias("_range")).agg(F.count("*").alias("n")).orderBy("_range").collect()
+    offsets, total = [], start
+    for row in sizes:
+        offsets.append((row["_range"], total))
+        total += row["n"]
+    firsts = spark.createDataFrame(offsets, "_range long, _first long")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = stored.withColumn("_range", range_no).join(firsts, "_range")
+    return numbered.withColumn(name, F.col("_first") + within).drop("_range", "_first", "_at")

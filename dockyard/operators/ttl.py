@@ -15,6 +15,7 @@ one state row per hot key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,9 @@ from ..session import materialise, new_folder
 # Most arrivals of one key that are gathered into one row.
 GROUP_BOUND = 20_000
 
+# Most folders the arrivals of hot keys are cut into; a folder holds one or more whole buckets.
+MOST_SHELVES = 1_000
+
 _NEVER = datetime(9999, 12, 31)
 
 
@@ -37,15 +41,17 @@ def classify_arrivals(
     ttl: timedelta = ONE_DAY,
     ledger: DataFrame | None = None,
     group_bound: int = GROUP_BOUND,
+    work: str | None = None,
 ) -> DataFrame:
     """Every arrival as ``(key, ts, seq, accepted)``.
 
     Arrivals are ordered by ``(ts, seq)``; ``seq`` is unique. ``ledger(k, expires_at)`` holds earlier
     acceptances; a null expiry never ends. Only the three columns are shuffled; join back on ``seq``,
-    which spreads evenly whatever the keys are.
+    which spreads evenly whatever the keys are. ``work`` names a folder for intermediate tables that
+    may be overwritten once the result has been stored; by default each call takes a new one.
     """
     narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
-    verdicts = _union(_decide(narrow, ttl, ledger, group_bound))
+    verdicts = _union(_decide(narrow, ttl, ledger, group_bound, work))
     return verdicts.withColumnsRenamed({"k": key, "ts": ts, "seq": seq})
 
 
@@ -57,22 +63,21 @@ def accepted_arrivals(
     ttl: timedelta = ONE_DAY,
     ledger: DataFrame | None = None,
     group_bound: int = GROUP_BOUND,
+    work: str | None = None,
 ) -> DataFrame:
     """The accepted arrivals only, as ``(key, ts, seq)``."""
     narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
-    accepted = _union(_decide(narrow, ttl, ledger, group_bound, accepted_only=True))
+    accepted = _union(_decide(narrow, ttl, ledger, group_bound, work, accepted_only=True))
     return accepted.drop("accepted").withColumnsRenamed({"k": key, "ts": ts, "seq": seq})
 
 
 def drop_repeats(df: DataFrame, key: str = "id", ts: str = "received_at", seq: str = "seq", **options) -> DataFrame:
     """``df`` without its rejected arrivals, all columns kept.
 
-    The three deciding columns are written once, since they are read twice (to find hot keys and to
-    decide) and may be costly to get at. Rejections are few in an ordinary feed, so the wide rows
-    usually meet a small anti-join side.
+    ``df`` is read three times, twice for the three deciding columns only, so it should be a table.
+    Rejections are few in an ordinary feed, so the wide rows usually meet a small anti-join side.
     """
-    narrow = materialise(df.select(key, ts, seq), new_folder(df.sparkSession, "arrivals"))
-    rejected = classify_arrivals(narrow, key, ts, seq, **options).where(~F.col("accepted")).select(seq)
+    rejected = classify_arrivals(df, key, ts, seq, **options).where(~F.col("accepted")).select(seq)
     return df.join(rejected, seq, "left_anti")
 
 
@@ -84,7 +89,12 @@ def ledger_entries(accepted: DataFrame, key: str = "id", ts: str = "received_at"
 
 
 def _decide(
-    narrow: DataFrame, ttl: timedelta, ledger: DataFrame | None, bound: int, accepted_only: bool = False
+    narrow: DataFrame,
+    ttl: timedelta,
+    ledger: DataFrame | None,
+    bound: int,
+    work: str | None,
+    accepted_only: bool = False,
 ) -> list[DataFrame]:
     """Verdicts ``(k, ts, seq, accepted)`` by kind of key; ``accepted_only`` leaves the rejected ones out."""
     spark = narrow.sparkSession
@@ -94,10 +104,11 @@ def _decide(
     expiry = _expiry_by_key(ledger)
 
     # Each kind has its own folder, so a join with one of them is planned by that kind's real size.
-    kinds = new_folder(spark, "arrival-kinds")
+    work = work or new_folder(spark, "arrivals")
+    kinds = f"{work}/kinds"
     counts = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.min("seq").alias("seq"))
     kind = F.when(F.col("n") == 1, "one").when(F.col("n") <= bound, "few").otherwise("hot")
-    counts.withColumn("kind", kind).write.partitionBy("kind").parquet(kinds)
+    counts.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(kinds)
     by_kind = spark.read.schema(counts.schema).option("basePath", kinds)
     present = {r["kind"] for r in spark.read.schema("kind string").parquet(kinds).distinct().collect()}
 
@@ -108,7 +119,7 @@ def _decide(
     if "hot" in present:
         # Taken out before the other keys are shuffled, so that no shuffle on the key meets a hot one.
         hot_keys = by_kind.parquet(f"{kinds}/kind=hot").select("k")
-        rows, kept = _walk_buckets(keyed.join(hot_keys, "k", "left_semi"), ttl, expiry, bound)
+        rows, kept = _walk_buckets(keyed.join(hot_keys, "k", "left_semi"), ttl, expiry, bound, f"{work}/hot")
         keyed = keyed.join(hot_keys, "k", "left_anti")
         taken = kept.withColumn("accepted", F.lit(True))
         if accepted_only:
@@ -178,16 +189,18 @@ def _exploded(folded: DataFrame) -> DataFrame:
 
 
 def _walk_buckets(
-    hot: DataFrame, ttl: timedelta, expiry: DataFrame | None, bound: int
+    hot: DataFrame, ttl: timedelta, expiry: DataFrame | None, bound: int, folder: str
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, kept)`` of the hot keys. Each step reads only its own time buckets."""
     spark = hot.sparkSession
-    folder = new_folder(spark, "hot-arrivals")
     width = ttl // timedelta(microseconds=1)
     bucketed = hot.withColumn("bucket", F.floor(epoch_micros(F.col("ts")) / width).cast("long"))
-    # Rebalancing splits a bucket over many files when it is large and joins small ones.
-    bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/rows")
-    rows = spark.read.schema(bucketed.schema).parquet(f"{folder}/rows")
+    span = bucketed.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+    per_shelf = (span["high"] - span["low"]) // MOST_SHELVES + 1
+    shelved = bucketed.withColumn("shelf", F.floor(F.col("bucket") / per_shelf).cast("long"))
+    # Rebalancing splits a shelf over many files when it is large and joins small ones.
+    shelved.hint("rebalance", "shelf").write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/rows")
+    rows = spark.read.schema(shelved.schema).parquet(f"{folder}/rows")
 
     state = rows.select("k").distinct()
     if expiry is None:
@@ -196,24 +209,36 @@ def _walk_buckets(
         state = state.join(expiry, "k", "left")
     state = materialise(state, f"{folder}/start")
 
-    # One number per bucket comes to the driver: the arrivals of its fullest key.
-    profile = (
-        rows.groupBy("bucket", "k").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max("n").alias("n"))
-    )
-    spans = _pack([(r["bucket"], r["n"]) for r in profile.orderBy("bucket").collect()], bound)
     steps = []
-    for number, (low, high) in enumerate(spans):
-        part = rows.where(F.col("bucket").between(low, high)).drop("bucket")
-        won = _first_open(part, state, ttl) if low == high else _fold(part, ttl, state)
+    for part, is_one_bucket in _steps(rows, bound):
+        part = part.select("k", "ts", "seq")
+        won = _first_open(part, state, ttl) if is_one_bucket else _fold(part, ttl, state)
         won = won.select("k", "kept", F.col("open_at").alias("moved_to"))
         after = state.join(won, "k", "left").select(
             "k", F.coalesce("moved_to", "open_at").alias("open_at"), "kept"
         )
-        steps.append(f"{folder}/step={number}")
+        steps.append(f"{folder}/step={len(steps)}")
         after = materialise(after, steps[-1])
         state = after.select("k", "open_at")
     kept = spark.read.schema(after.schema).parquet(*steps)
-    return rows.drop("bucket"), _exploded(kept)
+    return rows.select("k", "ts", "seq"), _exploded(kept)
+
+
+def _steps(rows: DataFrame, bound: int) -> Iterator[tuple[DataFrame, bool]]:
+    """The rows in consecutive pieces of time: whole shelves, or buckets of a shelf that is too full."""
+    for low, high, fits in _pack(_profile(rows, "shelf"), bound):
+        shelves = rows.where(F.col("shelf").between(low, high))
+        if fits:
+            yield shelves, False
+            continue
+        for first, last, fits in _pack(_profile(shelves, "bucket"), bound):
+            yield shelves.where(F.col("bucket").between(first, last)), not fits
+
+
+def _profile(rows: DataFrame, piece: str) -> list[tuple[int, int]]:
+    """Per piece of time the arrivals of its fullest key: one number per piece comes to the driver."""
+    fullest = rows.groupBy(piece, "k").agg(F.count("*").alias("n")).groupBy(piece).agg(F.max("n").alias("n"))
+    return [(r[piece], r["n"]) for r in fullest.orderBy(piece).collect()]
 
 
 def _first_open(part: DataFrame, state: DataFrame, ttl: timedelta) -> DataFrame:
@@ -226,16 +251,16 @@ def _first_open(part: DataFrame, state: DataFrame, ttl: timedelta) -> DataFrame:
     )
 
 
-def _pack(profile: list[tuple[int, int]], bound: int) -> list[tuple[int, int]]:
-    """Join neighbouring buckets while no key can exceed ``bound`` arrivals in the span."""
-    spans: list[tuple[int, int]] = []
+def _pack(profile: list[tuple[int, int]], bound: int) -> list[tuple[int, int, bool]]:
+    """Join neighbouring pieces while no key can exceed ``bound`` arrivals: ``(low, high, fits)``."""
+    spans: list[tuple[int, int, bool]] = []
     size = 0
-    for bucket, n in profile:
+    for piece, n in profile:
         if spans and size + n <= bound:
-            spans[-1] = (spans[-1][0], bucket)
+            spans[-1] = (spans[-1][0], piece, True)
             size += n
         else:
-            spans.append((bucket, bucket))
+            spans.append((piece, piece, n <= bound))
             size = n
     return spans
 

@@ -133,6 +133,7 @@ SELECT 'intake', strftime(ts,'%Y-%m-%d %H:%M:%S'), 'rejected event '||event_id,
     "rows_to_records": """SELECT c_custkey, '{"name":"'||c_name||'","parent":'||
  CASE WHEN c_nationkey=0 THEN 'null' ELSE '"'||c_nationkey||'"' END||'}' AS record FROM customer""",
     "limit_rows": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 9",
+    "row_positions": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 1 AS _pos FROM orders",
     "range_slice": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey OFFSET 10",
     "paged_scan": "SELECT o_orderkey, o_orderstatus FROM orders",
     "page_union": "SELECT o_orderkey, CASE WHEN o_orderkey%2=0 THEN o_orderstatus END AS o_orderstatus FROM orders",

@@ -18,6 +18,7 @@ from ..operators.outcomes import error_log, outcome_rows, status_board
 from ..operators.shape import (
     clean_payload,
     limit_rows,
+    number_rows,
     project_by_name,
     project_by_position,
     rename_columns,
@@ -105,9 +106,11 @@ def quarantine_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("order_intake")
 def order_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats refused, accepted documents landed."""
-    parsed = parse_orders(sent_documents(spark, sf_dir)).where("reason IS NULL").withColumn("id", cell("id"))
-    return land_orders(drop_repeats(parsed), location_dictionary(spark, sf_dir))
+    """Documents flattened once into a table, repeats then refused by its id column."""
+    parsed = parse_orders(sent_documents(spark, sf_dir))
+    flat = land_orders(parsed, location_dictionary(spark, sf_dir), keep=["received_at", "seq"])
+    staged = materialise(flat, new_folder(spark, "flat-orders"))
+    return drop_repeats(staged).drop("received_at", "seq")
 
 
 @query("stream_order_intake")
@@ -400,6 +403,13 @@ def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_rows(table(spark, sf_dir, "orders").select("o_orderkey"), 10, "o_orderkey")
 
 
+@query("row_positions")
+def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders numbered by date and key, as rows of a sheet below its header."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return number_rows(orders, "o_orderdate", "o_orderkey", start=2).select("o_orderkey", "_pos")
+
+
 @query("range_slice")
 def sheet_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns A to B from sheet row 12 down; customers stand in key order from row 2."""

@@ -66,7 +66,7 @@ def decide_batch(
     oldest = batch.agg(F.min(ts)).scalar()
     ledger = earlier_ledger(spark, root, batch_id, compact_every)
     live = ledger.where(F.col("expires_at") > oldest) if ledger else None
-    verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, **options)
+    verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, work=f"{root}/work", **options)
     verdicts = materialise(verdicts, f"{root}/verdicts/batch_id={batch_id}")
     write_batch(ledger_entries(verdicts.where("accepted"), key, ts, ttl), f"{root}/ledger", batch_id)
     if (batch_id + 1) % compact_every == 0:

@@ -5,11 +5,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from dockyard.operators import shape
 from dockyard.operators.lookup import first_match_wins, unseen
 from dockyard.operators.outcomes import outcome_rows, status_board
 from dockyard.operators.shape import (
     clean_payload,
     limit_rows,
+    number_rows,
     project_by_name,
     project_by_position,
     rename_columns,
@@ -77,6 +79,18 @@ def test_limit_counts_the_header(spark):
         limit_rows(df, -1, "id")
 
 
+def test_large_limit_takes_no_heap(spark, monkeypatch):
+    monkeypatch.setattr(shape, "TOP_K_BOUND", 10)
+    df = spark.range(1000).select((999 - F.col("id")).alias("id"))
+    assert sorted(r["id"] for r in limit_rows(df, 500, "id").collect()) == list(range(499))
+
+
+def test_number_rows(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
+    assert all(r["v"] + 2 == r["_pos"] for r in number_rows(df, "v", start=2).collect())
+    assert number_rows(df.where("v < 0"), "v").count() == 0
+
+
 def test_first_match(spark):
     df = spark.createDataFrame([("k", "second", 2), ("k", "first", 1)], "k string, v string, pos int")
     assert first_match_wins(df, "k", "v", "pos").first()["v"] == "first"

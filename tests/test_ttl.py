@@ -1,5 +1,6 @@
 """Anchored time to live against a plain loop, on every path."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dockyard.operators import ttl as ttl_module
 from dockyard.operators.cache import current_entries, get_or_compute, missing_keys
 from dockyard.operators.ttl import _pack, accepted_arrivals, classify_arrivals, drop_repeats, ledger_entries
 
@@ -82,6 +84,18 @@ def test_hot_id_is_split_and_equals_the_fold(spark):
     assert {r["seq"] for r in walk.collect()} == loop(plain, ttl)
 
 
+def test_many_short_buckets_share_folders(spark, monkeypatch, tmp_path):
+    """More TTL buckets than folders: some folders fit one step, a full one is walked by bucket."""
+    monkeypatch.setattr(ttl_module, "MOST_SHELVES", 5)
+    minutes = [i * 7 for i in range(200)] + [650 + i / 20 for i in range(400)]
+    plain = [("hot", START + timedelta(minutes=m), i) for i, m in enumerate(minutes)]
+    got = accepted_arrivals(
+        spark.createDataFrame(plain, SCHEMA), ttl=timedelta(minutes=10), group_bound=60, work=str(tmp_path)
+    )
+    assert {r["seq"] for r in got.collect()} == loop(plain, timedelta(minutes=10))
+    assert len([d for d in os.listdir(f"{tmp_path}/hot/rows") if d.startswith("shelf=")]) <= 6
+
+
 def test_never_expiring_ledger(spark):
     ledger = spark.createDataFrame([("a", None)], "k string, expires_at timestamp_ntz")
     assert run(spark, [("a", at(0), 1), ("b", at(0), 2)], ledger=ledger) == {2}
@@ -99,7 +113,7 @@ def test_ledger_entries(spark):
 
 
 def test_pack_bounds_each_span():
-    assert _pack([(1, 5), (2, 4), (3, 2), (7, 30), (8, 1)], 10) == [(1, 2), (3, 3), (7, 7), (8, 8)]
+    assert _pack([(1, 5), (2, 4), (3, 2), (7, 30), (8, 1)], 10) == [(1, 2, True), (3, 3, True), (7, 7, False), (8, 8, True)]
 
 
 ENTRIES = "k string, v string, written_at timestamp_ntz, seq long, expires_at timestamp_ntz"
