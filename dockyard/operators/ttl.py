@@ -75,10 +75,11 @@ def drop_repeats(df: DataFrame, key: str = "id", ts: str = "received_at", seq: s
     """``df`` without its rejected arrivals, all columns kept.
 
     ``df`` is read three times, twice for the three deciding columns only, so it should be a table.
-    Rejections are few in an ordinary feed, so the wide rows usually meet a small anti-join side.
+    Rejections are few in an ordinary feed. They are stored first: planned by their real size, the
+    anti-join then leaves the wide rows where they are.
     """
     rejected = classify_arrivals(df, key, ts, seq, **options).where(~F.col("accepted")).select(seq)
-    return df.join(rejected, seq, "left_anti")
+    return df.join(materialise(rejected, new_folder(df.sparkSession, "rejected")), seq, "left_anti")
 
 
 def ledger_entries(accepted: DataFrame, key: str = "id", ts: str = "received_at", ttl: timedelta = ONE_DAY) -> DataFrame:
@@ -101,7 +102,6 @@ def _decide(
     is_blank = F.coalesce(F.col("k").cast("string"), F.lit("")) == ""
     parts = [narrow.where(is_blank).withColumn("accepted", F.lit(True))]
     keyed = narrow.where(~is_blank)
-    expiry = _expiry_by_key(ledger)
 
     # Each kind has its own folder, so a join with one of them is planned by that kind's real size.
     work = work or new_folder(spark, "arrivals")
@@ -112,6 +112,12 @@ def _decide(
     by_kind = spark.read.schema(counts.schema).option("basePath", kinds)
     present = {r["kind"] for r in spark.read.schema("kind string").parquet(kinds).distinct().collect()}
 
+    # Only ledger rows of keys that arrived matter; a small set of keys filters the ledger where it lies.
+    expiry = None
+    if ledger is not None:
+        arrived = spark.read.schema(counts.schema).parquet(kinds).select("k")
+        expiry = _expiry_by_key(ledger.join(arrived, "k", "left_semi"))
+
     if "one" in present:
         single = by_kind.parquet(f"{kinds}/kind=one").select("k", "ts", "seq")
         decided = single.withColumn("accepted", F.lit(True)) if expiry is None else _past_expiry(single, expiry)
@@ -143,10 +149,8 @@ def _past_expiry(single: DataFrame, expiry: DataFrame) -> DataFrame:
     return single.join(expiry, "k", "left").select("k", "ts", "seq", is_open.alias("accepted"))
 
 
-def _expiry_by_key(ledger: DataFrame | None) -> DataFrame | None:
+def _expiry_by_key(ledger: DataFrame) -> DataFrame:
     """One row per key: the time from which it is accepted again."""
-    if ledger is None:
-        return None
     end = F.coalesce("expires_at", F.lit(_NEVER).cast(ledger.schema["expires_at"].dataType))
     return ledger.groupBy("k").agg(F.max(end).alias("open_at"))
 

@@ -111,7 +111,8 @@ def start_intake(
         parsed = parse_orders(spread(batch, "seq")).persist()
         good = parsed.where(F.col("reason").isNull()).select(cell("id").alias("id"), "received_at", "seq")
         verdicts = decide_batch(good, batch_id, root, "id", "received_at", "seq", ttl, **options)
-        rejected = verdicts.where(~F.col("accepted"))
+        # Stored by itself: planned by its real size, the anti-join leaves the wide rows where they are.
+        rejected = materialise(verdicts.where(~F.col("accepted")), f"{root}/refused/batch_id={batch_id}")
         failures = []
 
         def attempt(sink: Sink, build: Callable[[], DataFrame], name: str) -> bool:
