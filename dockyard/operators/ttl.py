@@ -2,7 +2,7 @@
 
 An arrival is accepted when its key has no anchor or the anchor has expired; the accepted arrival
 becomes the new anchor. A rejected arrival changes nothing, so repeats never renew the time to live.
-A null or blank key is never a duplicate.
+A null, blank or (numeric) zero key is never a duplicate.
 
 A count per key, which combines before its shuffle, sorts the keys into three kinds. A key seen once
 is decided from that count alone. A key with few arrivals is folded inside one row, all in the JVM.
@@ -20,6 +20,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.times import ONE_DAY, epoch_micros
 from ..session import materialise, new_folder
@@ -84,7 +85,8 @@ def drop_repeats(df: DataFrame, key: str = "id", ts: str = "received_at", seq: s
 
 def ledger_entries(accepted: DataFrame, key: str = "id", ts: str = "received_at", ttl: timedelta = ONE_DAY) -> DataFrame:
     """Ledger rows of accepted arrivals: key, acceptance and expiry. Blank keys leave no entry."""
-    return accepted.where(F.col(key) != "").select(
+    is_number = isinstance(accepted.schema[key].dataType, NumericType)
+    return accepted.where(F.col(key) != (0 if is_number else "")).select(
         F.col(key).alias("k"), F.col(ts).alias("accepted_at"), (F.col(ts) + F.lit(ttl)).alias("expires_at")
     )
 
@@ -99,7 +101,8 @@ def _decide(
 ) -> list[DataFrame]:
     """Verdicts ``(k, ts, seq, accepted)`` by kind of key; ``accepted_only`` leaves the rejected ones out."""
     spark = narrow.sparkSession
-    is_blank = F.coalesce(F.col("k").cast("string"), F.lit("")) == ""
+    is_number = isinstance(narrow.schema["k"].dataType, NumericType)
+    is_blank = F.coalesce(F.col("k") == (0 if is_number else ""), F.lit(True))
     parts = [narrow.where(is_blank).withColumn("accepted", F.lit(True))]
     keyed = narrow.where(~is_blank)
 

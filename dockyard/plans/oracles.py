@@ -148,4 +148,12 @@ SELECT 'intake', strftime(ts,'%Y-%m-%d %H:%M:%S'), 'rejected event '||event_id,
     "batch_envelope": """SELECT CAST(o_orderkey//500 AS BIGINT) AS batch_id, count(*) AS n_records,
  md5(string_agg('Content-ID: '||(o_orderkey%500)||chr(13)||chr(10)||'{"id":"OE-'||o_orderkey||'"}', chr(13)||chr(10) ORDER BY o_orderkey)) AS body_md5
  FROM orders GROUP BY 1""",
+    "batch_export": """SELECT b AS batch_id, count(*) AS n_records, md5(
+ '--batch_'||b||crlf||'Content-Type: multipart/mixed; boundary=changeset_'||b||crlf||crlf||
+ string_agg('--changeset_'||b||crlf||'Content-Type: application/http'||crlf||'Content-Transfer-Encoding: binary'||crlf||
+  'Content-ID: '||(c_custkey%200)||crlf||crlf||'POST https://tables.example.com/api/customers HTTP/1.1'||crlf||
+  'Content-Type: application/json'||crlf||crlf||'{"cr_name":"'||c_name||'","cr_nation":'||
+  CASE WHEN c_nationkey=0 THEN 'null' ELSE CAST(c_nationkey AS VARCHAR) END||'}', chr(13)||chr(10) ORDER BY c_custkey)||crlf||
+ '--changeset_'||b||'--'||crlf||'--batch_'||b||'--') AS body_md5
+ FROM (SELECT *, CAST(c_custkey//200 AS BIGINT) AS b, chr(13)||chr(10) AS crlf FROM customer) GROUP BY b, crlf""",
 }

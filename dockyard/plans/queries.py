@@ -27,7 +27,7 @@ from ..operators.shape import (
 from ..operators.ttl import accepted_arrivals, classify_arrivals, drop_repeats
 from ..schema import ORDER_COLUMNS
 from ..session import materialise, new_folder
-from ..sinks.envelope import CRLF, batch_records
+from ..sinks.envelope import CRLF, batch_envelopes, batch_records
 from ..sinks.files import load_table, stage_csv, write_csv
 from ..sinks.records import record_documents, record_rows
 from ..sources.landing import land_documents, stream_orders
@@ -503,3 +503,15 @@ def batch_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.select(
         "batch_id", F.size("records").cast("long").alias("n_records"), F.md5(F.concat_ws(CRLF, parts)).alias("body_md5")
     )
+
+
+@query("batch_export")
+def multipart_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole multipart bodies of 200 customer records each."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("cr_name"),
+        F.when(F.col("c_nationkey") != 0, F.col("c_nationkey")).alias("cr_nation"),
+    )
+    records = rows_to_records(rows, ["cr_name", "cr_nation"])
+    bodies = batch_envelopes(records, "c_custkey", "record", "https://tables.example.com/api", "customer", 200)
+    return bodies.select("batch_id", "n_records", F.md5("body").alias("body_md5"))

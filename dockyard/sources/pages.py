@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import dict_last_wins
@@ -25,52 +25,42 @@ def _records(body: Column) -> Column:
     return F.from_json(body, _RECORDS)["value"]
 
 
-def _reached_pages(pages: DataFrame) -> DataFrame:
-    """The pages a sequential reader would reach.
+def _bounds(pages: DataFrame) -> Row:
+    """Page numbers that decide a scan: the first page, the first one not reached, the first failed one.
 
-    Reading stops before the first empty page and after the first page without a next link; the
-    stop is one scalar, so later pages are filtered without a join. A failed page is no end.
+    Reading ends before an empty page and after a page without a next link. One aggregate, three numbers.
     """
-    answered = pages.where("status = 200") if "status" in pages.columns else pages
-    ended = answered.select(
-        "page_no",
-        (F.coalesce(F.json_array_length(F.get_json_object("body", "$.value")), F.lit(0)) == 0).alias("empty"),
-        F.array_contains(F.json_object_keys("body"), NEXT_LINK).alias("linked"),
-    )
-    stop = ended.agg(
-        F.min(
-            F.when(F.col("empty"), F.col("page_no")).when(
-                ~F.coalesce("linked", F.lit(False)), F.col("page_no") + 1
-            )
-        )
-    )
-    return pages.where(F.col("page_no") < F.coalesce(stop.scalar(), F.lit(2**62)))
+    number = F.col("page_no")
+    failed = F.col("status") != 200 if "status" in pages.columns else F.lit(False)
+    is_empty = F.get_json_object("body", "$.value[0]").isNull()
+    is_last = F.coalesce(F.get_json_object("body", f"$['{NEXT_LINK}']"), F.lit("")) == ""
+    end = F.when(failed, None).when(is_empty, number).when(is_last, number + 1)
+    return pages.agg(
+        F.min(number).alias("first"), F.min(end).alias("end"), F.min(F.when(failed, number)).alias("failed")
+    ).first()
 
 
-def page_columns(pages: DataFrame) -> list[str]:
+def page_columns(pages: DataFrame, first: int) -> list[str]:
     """Column names: keys of the first record of the first page, system columns left out."""
-    first = pages.agg(F.min("page_no")).scalar()
-    keys = (
-        pages.where(F.col("page_no") == first)
-        .select(F.json_object_keys(F.get(_records(F.col("body")), F.lit(0))).alias("keys"))
-        .first()
-    )
-    names = (keys and keys["keys"]) or []
-    return [name for name in dict.fromkeys(names) if not name.startswith(_SYSTEM_PREFIX)]
+    keys = F.json_object_keys(F.get(_records(F.col("body")), F.lit(0))).alias("keys")
+    row = pages.where(F.col("page_no") == first).select(keys).first()
+    return [name for name in dict.fromkeys((row and row["keys"]) or []) if not name.startswith(_SYSTEM_PREFIX)]
 
 
 def paged_scan(pages: DataFrame, column_indexes: list[int] | None = None) -> DataFrame | None:
     """All records of the reachable pages as text columns; None when a reachable page has failed.
 
-    Only the column names of one record come to the driver. A key missing in a later record gives
-    NULL, an extra key is ignored.
+    Page numbers and the column names of one record come to the driver, records do not. A key missing
+    in a later record gives NULL, an extra key is ignored.
     """
-    reached = _reached_pages(pages)
-    if "status" in pages.columns and not reached.where(F.col("status") != 200).isEmpty():
+    bounds = _bounds(pages)
+    end = bounds["end"]
+    if bounds["failed"] is not None and (end is None or bounds["failed"] < end):
         return None
-    names = page_columns(pages)
+    names = page_columns(pages, bounds["first"]) if bounds["first"] is not None else []
     if column_indexes is not None:
         names = [names[i] for i in column_indexes if i < len(names)]
+    reached = pages if end is None else pages.where(F.col("page_no") < end)
     record = F.from_json("record", "map<string,string>")
     return (
         reached.select(F.explode(_records(F.col("body"))).alias("record"))

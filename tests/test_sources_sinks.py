@@ -105,6 +105,8 @@ def test_reading_stops(spark):
     assert paged_scan(pages(spark, FIRST, page({"c1": 2}, link=False), more)).count() == 2
     assert paged_scan(pages(spark, page(), FIRST)).count() == 0
     assert paged_scan(pages(spark, FIRST, more, more)).count() == 3
+    assert paged_scan(pages(spark, {**FIRST, "@odata.nextLink": None}, more)).count() == 1
+    assert paged_scan(pages(spark, FIRST).where("page_no < 0")).columns == []
 
 
 def test_failed_page_gives_none_only_when_reached(spark):
@@ -114,7 +116,7 @@ def test_failed_page_gives_none_only_when_reached(spark):
 
 def test_landed_pages_are_read(spark, tmp_path):
     pages(spark, FIRST).write.json(str(tmp_path / "pages"))
-    assert page_columns(read_pages(spark, str(tmp_path / "pages"))) == ["c1", "c2", "Id", "id"]
+    assert page_columns(read_pages(spark, str(tmp_path / "pages")), 0) == ["c1", "c2", "Id", "id"]
 
 
 def test_union_takes_the_first_schema(spark):

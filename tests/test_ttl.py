@@ -48,6 +48,11 @@ def test_blank_ids_are_never_duplicates(spark):
     assert run(spark, rows) == {1, 2, 3, 4, 5}
 
 
+def test_numeric_zero_is_no_id(spark):
+    rows = spark.createDataFrame([(0, at(0), 1), (0, at(1), 2), (7, at(0), 3), (7, at(1), 4)], SCHEMA.replace("id string", "id long"))
+    assert {r["seq"] for r in accepted_arrivals(rows).collect()} == {1, 2, 3}
+
+
 def test_no_rows(spark):
     assert run(spark, []) == set()
 
