@@ -111,7 +111,7 @@ def _decide(
     kinds = f"{work}/kinds"
     counts = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.min("seq").alias("seq"))
     kind = F.when(F.col("n") == 1, "one").when(F.col("n") <= bound, "few").otherwise("hot")
-    counts.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(kinds)
+    _replace(counts.withColumn("kind", kind), "kind", kinds)
     by_kind = spark.read.schema(counts.schema).option("basePath", kinds)
     present = {r["kind"] for r in spark.read.schema("kind string").parquet(kinds).distinct().collect()}
 
@@ -206,7 +206,7 @@ def _walk_buckets(
     per_shelf = (span["high"] - span["low"]) // MOST_SHELVES + 1
     shelved = bucketed.withColumn("shelf", F.floor(F.col("bucket") / per_shelf).cast("long"))
     # Rebalancing splits a shelf over many files when it is large and joins small ones.
-    shelved.hint("rebalance", "shelf").write.mode("overwrite").partitionBy("shelf").parquet(f"{folder}/rows")
+    _replace(shelved.hint("rebalance", "shelf"), "shelf", f"{folder}/rows")
     rows = spark.read.schema(shelved.schema).parquet(f"{folder}/rows")
 
     state = rows.select("k").distinct()
@@ -272,6 +272,11 @@ def _pack(profile: list[tuple[int, int]], bound: int) -> list[tuple[int, int, bo
     return spans
 
 
+def _replace(df: DataFrame, by: str, path: str) -> None:
+    """Write ``df`` in folders; folders of an earlier write go, whatever the session's overwrite mode."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(by).parquet(path)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -59,32 +59,44 @@ def decide_batch(
 ) -> DataFrame:
     """Verdicts ``(key, ts, seq, accepted)`` of one micro-batch; writes them and their ledger rows.
 
-    Ledger rows that ended before the batch's first arrival are not read: receipt times do not run
-    backwards from batch to batch by more than a batch.
+    A batch reads the ledger rows that end after its first arrival. A base also keeps those of one
+    TTL before it, so arrivals may land that much out of order across batches.
     """
     spark = batch.sparkSession
-    oldest = batch.agg(F.min(ts)).scalar()
-    ledger = earlier_ledger(spark, root, batch_id, compact_every)
-    live = ledger.where(F.col("expires_at") > oldest) if ledger else None
+    earlier = earlier_ledger(spark, root, batch_id, compact_every)
+    live = kept = earlier
+    oldest = batch.agg(F.min(ts)).first()[0] if earlier is not None else None
+    if oldest is not None:
+        # Literals, so that the ledger's files are skipped by their statistics.
+        ts_type = batch.schema[ts].dataType
+        live = earlier.where(F.col("expires_at") > F.lit(oldest).cast(ts_type))
+        kept = earlier.where(F.col("expires_at") > F.lit(oldest - ttl).cast(ts_type))
     verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, work=f"{root}/work", **options)
     verdicts = materialise(verdicts, f"{root}/verdicts/batch_id={batch_id}")
     write_batch(ledger_entries(verdicts.where("accepted"), key, ts, ttl), f"{root}/ledger", batch_id)
     if (batch_id + 1) % compact_every == 0:
         own = spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
-        base = own.unionByName(live) if live else own
+        base = own if kept is None else own.unionByName(kept)
         base.write.mode("overwrite").parquet(f"{root}/ledger_base/upto={batch_id + 1}")
     return verdicts
 
 
 def start_dedup(
-    arrivals: DataFrame, root: str, key: str, ts: str, seq: str, ttl: timedelta = ONE_DAY, **options
+    arrivals: DataFrame,
+    root: str,
+    key: str,
+    ts: str,
+    seq: str,
+    ttl: timedelta = ONE_DAY,
+    trigger: dict | None = None,
+    **options,
 ) -> StreamingQuery:
     """Decide a stream of arrivals; verdicts land in ``{root}/verdicts``."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         decide_batch(batch, batch_id, root, key, ts, seq, ttl, **options)
 
-    return _start(arrivals, root, process)
+    return _start(arrivals, root, process, trigger)
 
 
 def start_intake(
@@ -95,6 +107,7 @@ def start_intake(
     ttl: timedelta = ONE_DAY,
     append_sink: Sink | None = None,
     record_sink: Sink | None = None,
+    trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Land a stream of order documents ``(received_at, seq, body)`` below ``root``.
@@ -102,6 +115,8 @@ def start_intake(
     ``dictionary`` and ``mapping`` are read anew for each micro-batch, so refreshed side data apply
     from the next batch on. Each sink gets ``(rows, folder, batch_id)`` and may fail by itself: the
     failure is logged and the other tables are still written. A failed record sink answers 500.
+    ``trigger`` takes what ``DataStreamWriter.trigger`` takes; by default all landed files are
+    processed and the query ends.
     """
     append = append_sink or write_batch
     record = record_sink or write_batch
@@ -135,7 +150,7 @@ def start_intake(
         write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id)
         parsed.unpersist()
 
-    return _start(orders, root, process)
+    return _start(orders, root, process, trigger)
 
 
 def _log_rows(
@@ -156,10 +171,12 @@ def _log_rows(
     return rows
 
 
-def _start(stream: DataFrame, root: str, process: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def _start(
+    stream: DataFrame, root: str, process: Callable[[DataFrame, int], None], trigger: dict | None
+) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", f"{root}/_checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
