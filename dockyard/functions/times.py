@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 ONE_DAY = timedelta(days=1)
 
@@ -18,6 +19,13 @@ _ISO_MINUTES = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,]
 _BASIC = r"^([0-9]{4})([0-9]{2})([0-9]{2})([T ]([0-9]{2})([0-9]{2})([0-9]{2}))?$"
 
 
+def time_literal(value: datetime, data_type: DataType = TimestampNTZType()) -> Column:
+    """``value`` as a literal. A wall clock goes in as text: a datetime would pass through two time zones."""
+    if isinstance(data_type, TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(data_type)
+    return F.lit(value)
+
+
 def _date_of(text: Column) -> Column:
     """``yyyy-M-d`` (padded or not) as a date, NULL when it is no valid one."""
     return F.when(text.rlike(_DATE), text.try_cast("date"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.times import ONE_DAY, epoch_micros
+from ..functions.times import ONE_DAY, epoch_micros, time_literal
 from ..session import materialise, new_folder
 
 # Most arrivals of one key that are gathered into one row.
@@ -154,7 +154,7 @@ def _past_expiry(single: DataFrame, expiry: DataFrame) -> DataFrame:
 
 def _expiry_by_key(ledger: DataFrame) -> DataFrame:
     """One row per key: the time from which it is accepted again."""
-    end = F.coalesce("expires_at", F.lit(_NEVER).cast(ledger.schema["expires_at"].dataType))
+    end = F.coalesce("expires_at", time_literal(_NEVER, ledger.schema["expires_at"].dataType))
     return ledger.groupBy("k").agg(F.max(end).alias("open_at"))
 
 

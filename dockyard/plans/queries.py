@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import clean_text, float_value, int_value
 from ..functions.text import mask_middle, url_groups, url_param
-from ..functions.times import normalise_date, normalise_expiry, received_at_local
+from ..functions.times import normalise_date, normalise_expiry, received_at_local, time_literal
 from ..operators.cache import current_entries, get_or_compute, missing_keys, put_entries
 from ..operators.lookup import dict_last_wins, first_match_wins, resolve_codes, unseen
 from ..operators.orders import cell, land_orders, parse_orders
@@ -65,7 +65,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def _now() -> Column:
-    return F.lit(NOW).cast("timestamp_ntz")
+    return time_literal(NOW)
 
 
 # Orders
@@ -153,9 +153,9 @@ def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows
         if low:
-            part = part.where(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
+            part = part.where(F.col("ts") >= time_literal(low))
         if high:
-            part = part.where(F.col("ts") < F.lit(high).cast("timestamp_ntz"))
+            part = part.where(F.col("ts") < time_literal(high))
         part.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(rows.schema).parquet(landing)
         start_dedup(stream, root, "id", "ts", "event_id").awaitTermination()

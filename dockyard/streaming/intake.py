@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import ONE_DAY
+from ..functions.times import ONE_DAY, time_literal
 from ..operators.orders import cell, land_orders, parse_orders, quarantined
 from ..operators.outcomes import error_log, outcome_rows
 from ..operators.ttl import classify_arrivals, ledger_entries
@@ -69,8 +69,8 @@ def decide_batch(
     if oldest is not None:
         # Literals, so that the ledger's files are skipped by their statistics.
         ts_type = batch.schema[ts].dataType
-        live = earlier.where(F.col("expires_at") > F.lit(oldest).cast(ts_type))
-        kept = earlier.where(F.col("expires_at") > F.lit(oldest - ttl).cast(ts_type))
+        live = earlier.where(F.col("expires_at") > time_literal(oldest, ts_type))
+        kept = earlier.where(F.col("expires_at") > time_literal(oldest - ttl, ts_type))
     verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, work=f"{root}/work", **options)
     verdicts = materialise(verdicts, f"{root}/verdicts/batch_id={batch_id}")
     write_batch(ledger_entries(verdicts.where("accepted"), key, ts, ttl), f"{root}/ledger", batch_id)

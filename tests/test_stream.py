@@ -111,6 +111,20 @@ def test_ledger_bases_replace_the_batches_before_them(spark, tmp_path):
     assert table(spark, str(tmp_path / "2"), "ledger_base/upto=10").count() == 2
 
 
+def test_verdicts_do_not_depend_on_the_session_time_zone(spark, tmp_path):
+    schema = "id string, received_at timestamp_ntz, seq long"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+    try:
+        for n, hours in enumerate([0, 23, 24, 25]):
+            batch = spark.createDataFrame([("a", START + timedelta(hours=hours), n)], schema)
+            decide_batch(batch, n, str(tmp_path), "id", "received_at", "seq", compact_every=2)
+        accepted = {r["seq"] for r in table(spark, str(tmp_path), "verdicts").where("accepted").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert accepted == {0, 2}
+
+
 def test_a_batch_without_arrivals_keeps_the_ledger(spark, tmp_path):
     root, schema = str(tmp_path), "id string, received_at timestamp_ntz, seq long"
     batches = [[("a", START, 1)], [], [("a", START + timedelta(hours=1), 2)]]
