@@ -36,9 +36,15 @@ def normalise_date(text: Column) -> Column:
     return F.coalesce(F.concat(_date_of(text).cast("string"), F.lit("T00:00:00Z")), text)
 
 
+def wall_text(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss[.ffffff]``. A formatter would move hours that the session time zone skips."""
+    return ts.cast("timestamp_ntz").cast("string")
+
+
 def iso_text(ts: Column) -> Column:
     """Naive ISO text; the fraction is written, with six digits, only when it is not zero."""
-    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    text = F.translate(wall_text(ts), " ", "T")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
 def naive_timestamp(text: Column) -> Column:
@@ -70,7 +76,10 @@ def received_at_local(received_at: Column, naive_utc: bool = True) -> Column:
     """Receipt time at the fixed offset, 12-hour clock. ``naive_utc``: the column is a UTC wall clock."""
     zone = F.lit("UTC") if naive_utc else None
     local = F.convert_timezone(zone, F.lit(LOCAL_OFFSET), received_at)
-    return F.date_format(local, "yyyy-MM-dd hh:mm:ss a")
+    text, hour = wall_text(local), F.hour(local)
+    clock_hour = F.lpad(((hour + 11) % 12 + 1).cast("string"), 2, "0")
+    half = F.when(hour < 12, " AM").otherwise(" PM")
+    return F.concat(F.substring(text, 1, 11), clock_hour, F.substring(text, 14, 6), half)
 
 
 def epoch_micros(ts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import received_at_local
+from ..functions.times import received_at_local, wall_text
 from ..schema import FAILED, MSG_DUPLICATE, MSG_FAILED, MSG_UPLOADED, SUCCESS
 
 
@@ -30,7 +30,7 @@ def error_log(rows: DataFrame, script: str, at: Column, description: Column, mes
     """Log rows: script, time to the second, description, message."""
     return rows.select(
         F.lit(script).alias("script_name"),
-        F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("logged_at"),
+        F.substring(wall_text(at), 1, 19).alias("logged_at"),
         description.alias("description"),
         message.alias("message"),
     )

@@ -61,6 +61,19 @@ def test_received_at_local(spark):
     assert one(spark, instant, "2024-01-01 04:30:00") == "2024-01-01 12:30:00 PM"
 
 
+def test_skipped_hours_are_kept(spark):
+    """02:30 does not exist in New York on this day, but it is a good UTC wall clock."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        naive = lambda c: c.cast("timestamp_ntz")
+        assert one(spark, lambda c: received_at_local(naive(c)), "2024-03-09 18:30:00") == "2024-03-10 02:30:00 AM"
+        assert one(spark, lambda c: normalise_expiry(c, naive(c)), "2024-03-10T02:30") == "2024-03-10T02:30:00"
+        assert one(spark, lambda c: epoch_micros(naive(c)), "2024-03-10 02:30:00") == 1_710_037_800_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_epoch_micros(spark):
     micros = lambda c: epoch_micros(c.cast("timestamp_ntz"))
     assert one(spark, micros, "1970-01-02 00:00:01.000005") == 86_401_000_005
