@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from dockyard.operators.ttl import accepted_arrivals
 from dockyard.schema import LANDED_ORDER
-from dockyard.sinks.records import write_batch
 from dockyard.sources.landing import land_documents, read_orders, stream_orders
 from dockyard.streaming.intake import decide_batch, start_dedup, start_intake
 
