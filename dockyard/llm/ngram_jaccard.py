@@ -145,60 +145,58 @@ def heads(docs: DataFrame, n: int, ratio: Ratio, hot) -> DataFrame:
     return docs.mapInPandas(made, "id long, key long, n_shingles long, digest binary, head array<long>")
 
 
-def _columns(ratio: Ratio):
-    """Streams columns: pairs (a, b, na, nb) of small ones, chains (a, b, null, null) of large ones."""
-
-    def streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held, leader = None, None, None  # the column that goes on: its members, or its first when chained
-
-        def paired(members: np.ndarray, bounds: list[tuple[int, int]]):
-            left, right = [], []
-            for lo, hi in bounds:
-                i, j = np.triu_indices(hi - lo, 1)
-                left.append(lo + i)
-                right.append(lo + j)
-            if not left:
-                return
-            x, y = members[np.concatenate(left)], members[np.concatenate(right)]
+def _pairs(members: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ratio: Ratio) -> Iterator[pd.DataFrame]:
+    """The pairs of each column of 2 to COLUMN members whose sizes can match; columns of equal length together."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= COLUMN)]).tolist():
+        i, j = np.triu_indices(size, 1)
+        first = starts[sizes == size]
+        for lo in range(0, len(first), step := max(1, (1 << 18) // len(i))):
+            at = first[lo : lo + step, None]
+            x, y = members[(at + i).ravel()], members[(at + j).ravel()]
             small, large = np.minimum(x[:, 1], y[:, 1]), np.maximum(x[:, 1], y[:, 1])
-            x, y = x[fit := small * ratio.den >= large * ratio.num], y[fit]
-            swap = x[:, 0] > y[:, 0]
-            x[swap], y[swap] = y[swap], x[swap].copy()
+            fit = small * ratio.den >= large * ratio.num
+            x, y = x[fit], y[fit]
+            swap = x[:, :1] > y[:, :1]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
             yield pd.DataFrame({"a": x[:, 0], "b": y[:, 0], "na": x[:, 1], "nb": y[:, 1]})
 
-        def chained(members: np.ndarray, first: int):
-            return pd.DataFrame({"a": np.full(len(members), first), "b": members[:, 0], "na": -1, "nb": -1})
 
+def _columns(ratio: Ratio):
+    """Streams sorted columns: pairs (a, b, na, nb) of small ones, chains (a, b, -1, -1) of large ones."""
+
+    def chained(members: np.ndarray, first: int) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.full(len(members), first), "b": members[:, 0], "na": -1, "nb": -1})
+
+    def streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The last column may go on in the next batch: its members are held, or its first one once it is chained.
+        grams, members = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        last, leader = None, None
         for frame in frames:
-            grams = frame["gram"].to_numpy(np.int64)
-            members = frame[["cls", "n"]].to_numpy(np.int64)
-            cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]
-            bounds = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
+            new, rows = frame["gram"].to_numpy(np.int64), frame[["cls", "n"]].to_numpy(np.int64)
+            if leader is not None:
+                more = int(np.searchsorted(new, last, "right"))
+                if more:
+                    yield chained(rows[:more], leader)
+                new, rows = new[more:], rows[more:]
+                if not len(new):
                     continue
-                if grams[lo] == last:  # at the batch's start only
-                    if leader is not None:
-                        yield chained(members[lo:hi], leader)
-                        continue
-                    part = np.concatenate((held, members[lo:hi]))
-                else:
-                    if held is not None and leader is None:
-                        yield from paired(held, [(0, len(held))])
-                    last, leader, part = grams[lo], None, members[lo:hi]
-                held = part
-                if len(part) > COLUMN:
-                    leader = int(part[0, 0])
-                    yield chained(part, leader)
-                elif hi < len(grams) and part is not held[:0] and len(part) == hi - lo:
-                    bounds.append((lo, hi))
-                    held = None
-                elif hi < len(grams):
-                    yield from paired(part, [(0, len(part))])
-                    held = None
-            yield from paired(members, bounds)
-        if held is not None and leader is None:
-            yield from paired(held, [(0, len(held))])
+                leader = None
+            grams, members = np.concatenate((grams, new)), np.concatenate((members, rows))
+            starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+            if not len(starts):
+                continue
+            sizes = np.diff(np.append(starts, len(grams)))
+            yield from _pairs(members, starts[:-1], sizes[:-1], ratio)
+            for k in np.flatnonzero(sizes > COLUMN).tolist():
+                part = members[starts[k] : starts[k] + sizes[k]]
+                yield chained(part, int(part[0, 0]))
+            if sizes[-1] > COLUMN:
+                last, leader = int(grams[-1]), int(members[starts[-1], 0])
+                grams, members = grams[:0], members[:0]
+            else:
+                grams, members = grams[starts[-1] :], members[starts[-1] :]
+        if len(grams):
+            yield from _pairs(members, np.zeros(1, np.int64), np.array([len(grams)]), ratio)
 
     return streamed
 
