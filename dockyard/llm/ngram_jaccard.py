@@ -29,11 +29,11 @@ from dockyard.llm.tables import fresh, keep, lowered
 from dockyard.llm.words import blocks, shingle_sets
 
 #: N-grams held by this share of documents are ordered last; at most (mean set size / share) of them exist.
-HOT_SHARE = 0.0005
+HOT_SHARE = 0.0002
 #: The most hot n-grams that are broadcast (16 bytes each); the share is raised until the bound holds.
 HOT_MOST = 1 << 20
 #: Columns with more documents are chained, not paired.
-COLUMN = 128
+COLUMN = 512
 #: Documents in a block of the product.
 BLOCK = 2048
 
@@ -321,7 +321,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     wanted = ranked.join(placed, ["community", "block"])
     texts = source.alias("s").join(ranked.select("cls", "id", "key").alias("k"), F.expr("s.key = k.key and s.id <=> k.id")).select("cls", "text")
     work = texts.join(wanted.select("cls", "community", "block", "i", "j", "unit", "weight"), "cls")
-    product = keep(work.groupBy("unit").applyInPandas(_product(ratio, n), "a long, b long, links long"), "links")
+    # A task's work is its number of block pairs, not its bytes, so the number of tasks isn't left to their size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-matched.count() // 64))
+    product = keep(work.repartition(tasks, "unit").groupBy("unit").applyInPandas(_product(ratio, n), "a long, b long, links long"), "links")
 
     roots = components(product.where("b is not null").select("a", "b"))
     degree = product.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
