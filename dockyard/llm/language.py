@@ -94,7 +94,8 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, bits: int
         for frame in frames:
             texts = frame["text"].tolist()
             sums = np.zeros((len(texts), len(names)))
-            for first, block, held in blocks(texts):
+            # A block's sums take 8 bytes per position and language.
+            for first, block, held in blocks(texts, max(1 << 14, (1 << 23) // max(4, len(names)))):
                 if not names:
                     break
                 at, bounds = features(block, bits)
