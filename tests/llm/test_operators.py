@@ -1,0 +1,223 @@
+"""The operators on odd tables, against brute force."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from dockyard.llm import bpe, embeddings, exact_dedup, language, ngram_jaccard, packing, quality, secrets, suffix_tree, token_counts
+from dockyard.llm.components import components
+from dockyard.llm.queries import QUERIES
+from dockyard.llm.tables import tokenizer_path
+
+LOWER = {i + 65: i + 97 for i in range(26)}
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+JSON, RANKS, PIECES = (tokenizer_path(f"{n}") for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+
+
+def lowered(text):
+    return (text or "").translate(LOWER)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def counted(pairs):
+    return Counter((i, repr(x)) for i, x in pairs)
+
+
+def test_exact_dedup(docs):
+    plain = docs.select("doc_id", "text").collect()
+    groups = {}
+    for i, t in plain:
+        groups.setdefault(lowered(t), []).append(i)
+    found = rows_of(exact_dedup.dedup(docs))
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = [(i, (best[lowered(t)], len(groups[lowered(t)]), hashlib.sha256(lowered(t).encode()).hexdigest())) for i, t in plain]
+    assert counted((r["doc_id"], (r["keep_id"], r["group_size"], r["text_sha256"])) for r in found) == counted(want)
+    assert sorted(r["text_sha256"] for r in found if r["kept"]) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in groups)
+    out = exact_dedup.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(lowered(r["text"]) for r in out.collect()) == sorted(groups)
+
+
+def test_cuckoo_index_over_batches(spark):
+    def batch(*words):
+        rows = [(w, n) for n, w in enumerate(words)]
+        df = spark.createDataFrame(rows, "w string, n long")
+        return df.select(exact_dedup.digest_of(F.col("w")).alias("digest"), F.col("n").alias("keep_id"), F.col("n").alias("keep_row"))
+
+    index = exact_dedup.CuckooIndex(spark, 4).insert(batch("a", "b", "a")).insert(batch("c", "A")).delete(batch("b", "never"))
+    live = {r["copies"]: r["keep_id"] for r in index.live().collect()}
+    assert live == {3: 2, 1: 0}
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 140)] + [(7, 7), (None, 3)]
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == {n: 0 for n in range(41)} | {n: 100 for n in range(100, 140)}
+
+
+def test_ngram_jaccard(docs):
+    found = rows_of(ngram_jaccard.join(docs, block=2))
+    plain = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()) for i, w in ((i, WORD.findall(lowered(t))) for i, t in docs.select("doc_id", "text").collect())]
+    near = [[a is not b and bool(x and y) and 100 * len(x & y) >= 80 * len(x | y) for b, (_, y) in enumerate(plain)] for a, (_, x) in enumerate(plain)]
+    for a in range(len(plain)):
+        near[a][a] = False
+    want = []
+    for a, (i, x) in enumerate(plain):
+        seen, todo = {a}, [a]
+        while todo:
+            for b, y in enumerate(near[todo.pop()]):
+                if y and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        ids = [plain[b][0] for b in seen if plain[b][0] is not None]
+        want.append((i, (len(x), min(ids, default=None), sum(near[a]))))
+    assert counted((r["doc_id"], (r["n_shingles"], r["component_id"], r["n_links"])) for r in found) == counted(want)
+    out = ngram_jaccard.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.where("doc_id is not null and text is not null and length(trim(text)) > 6").collect()) == [1, 7, 9, 10, 11, 12, 14]
+
+
+def test_embeddings(spark):
+    turn = np.random.default_rng(1)
+    base = turn.standard_normal((60, 16))
+    rows = [(n, n % 3, (base[n % 60] + turn.standard_normal(16) * 0.1 * (n > 60)).tolist()) for n in range(200)]
+    rows += [(500, 1, None), (501, 1, [0.0] * 16), (502, 1, [float("nan")] * 16), (503, None, rows[0][2]), (504, 0, rows[0][2]), (None, 0, rows[0][2]), (505, 0, [1e300, 1e300]), (506, 0, [1.0, 1.0]), (507, 0, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("row", F.lit("x")).withColumn("cls", F.lit(1))
+    found = rows_of(embeddings.near_duplicates(df, block=16))
+
+    def unit(v):
+        if v is None or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        v = np.array(v) / np.abs(v).max()
+        return v / np.linalg.norm(v)
+
+    units = [unit(v) for _, _, v in rows]
+    near = [[b for b, v in enumerate(units) if a != b and u is not None and v is not None and len(u) == len(v) and rows[a][1] is not None and rows[a][1] == rows[b][1] and u @ v >= 0.93] for a, u in enumerate(units)]
+    assert sum(map(len, near)) > 100
+    assert counted((r["vec_id"], r["n_links"]) for r in found) == counted((rows[a][0], len(x)) for a, x in enumerate(near))
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_suffix_tree(docs, documents):
+    for table, share in ((docs, 2.0**-20), (documents, 1e-3)):
+        plain = table.select("doc_id", "text").collect()
+        tokens = [(i, [*WORD.findall(lowered(t)), "\n"]) for i, t in plain]
+        counts = Counter()
+        for i, words in tokens:
+            if i is not None and zlib.crc32(str(i).encode()) % 10:
+                counts.update(words)
+        total, distinct = sum(counts.values()), len(counts)
+        found = rows_of(suffix_tree.score(table, frequent_share=share))
+        want = counted((i, (len(w), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w), 4))) for i, w in tokens)
+        assert counted((r["doc_id"], (r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4))) for r in found) == want
+        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
+    held = [r for r in found if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_secrets(docs):
+    kinds = [("assign", secrets.RULES[0].pattern, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
+
+    def base(text):
+        found = [(m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p, g, least) in enumerate(kinds) for m in re.finditer(p, text or "") if len(m.group(g)) >= least]
+        return ",".join(x[2] for x in sorted(found))
+
+    found = rows_of(secrets.digest_rows(docs))
+    want = [(i, hashlib.sha256(base(t).encode()).hexdigest()) for i, t in docs.select("doc_id", "text").collect()]
+    assert counted((r["doc_id"], r["base_sha256"]) for r in found) == counted(want)
+    assert [(r["n_assign"], r["n_access"], r["n_hex"]) for r in found if r["doc_id"] == 10] == [(1, 1, 1)]
+    assert [r["n_assign"] for r in found if r["doc_id"] == 14] == [0]
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("doc_id = 10").first()["text"] == "[assign]\"; [access] [hex] token=short"
+
+
+def test_language(spark, docs, documents):
+    found = rows_of(language.identify(docs))
+    assert {r["lang_pred"] for r in found if r["doc_id"] in (4, 5, 6, 12)} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in found) and len(found) == docs.count()
+    guessed = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert guessed.where("lang = lang_pred").count() >= 0.97 * guessed.count() > 0
+
+
+def test_packing(docs):
+    whole = Tokenizer.from_file(JSON)
+    found = sorted(rows_of(packing.pack(docs, JSON, with_ids=True)), key=lambda r: (r["sequence_id"], r["offset"]))
+    texts = Counter(tuple([*whole.encode(t or "", add_special_tokens=False).ids, 2]) for _, t in docs.select("doc_id", "text").collect())
+    assert sum(r["length"] for r in found) == sum(len(t) * n for t, n in texts.items())
+    ends = {}
+    for r in found:
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and r["length"] == len(r["ids"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024 and len(ends) - 1 <= sum(ends.values()) // 1024
+    by_doc = {}
+    for r in sorted((r for r in found if r["doc_id"] not in (None, 9)), key=lambda r: (r["doc_id"], r["piece"])):
+        by_doc.setdefault(r["doc_id"], []).extend(r["ids"])
+        assert r["start"] + r["length"] == len(by_doc[r["doc_id"]])
+    assert all(texts[tuple(ids)] for ids in by_doc.values())
+
+
+def test_quality(spark, docs, labels, data_dir):
+    found = rows_of(quality.classify(docs, labels).drop("key"))
+    assert len(found) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found)
+    assert all(r["score"] == 0.5 for r in rows_of(quality.classify(docs, labels.limit(0))))
+    out = quality.accepted(docs, labels)
+    assert out.columns == docs.columns
+    documents, marks = (spark.read.parquet(f"{data_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.classify(documents, marks).join(marks, "doc_id").where("held_out")
+    assert held.where("predicted = quality").count() >= 0.9 * held.count() > 0
+
+
+def test_token_counts(docs, documents):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for table in (docs, documents):
+        want = [(i, (len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 4096)) for i, t in table.select("doc_id", "text").collect()]
+        assert counted((r["doc_id"], (r["n_bytes"], r["n_tokens"], r["over_limit"])) for r in rows_of(token_counts.count(table, PIECES))) == counted(want)
+
+
+def test_bpe(docs):
+    own = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=bpe.load_ranks(open(RANKS, "rb").read()), special_tokens={})
+    coded = bpe.encode(docs, RANKS)
+    plain = docs.select("doc_id", "text").collect()
+    assert counted((r["doc_id"], r["ids"]) for r in rows_of(coded)) == counted((i, own.encode_ordinary(t or "")) for i, t in plain)
+    assert counted(map(tuple, bpe.decode(coded, RANKS).collect())) == counted((i, t or "") for i, t in plain)
+
+
+@pytest.mark.parametrize("name", ["dedup", "jaccard", "secrets", "language", "packing", "quality", "counts", "bpe", "tree"])
+def test_empty_tables(no_docs, labels, name):
+    made = {
+        "dedup": lambda: exact_dedup.deduplicated(no_docs), "jaccard": lambda: ngram_jaccard.deduplicated(no_docs), "secrets": lambda: secrets.redacted(no_docs),
+        "language": lambda: language.identify(no_docs), "packing": lambda: packing.pack(no_docs, JSON), "quality": lambda: quality.accepted(no_docs, labels),
+        "counts": lambda: token_counts.count(no_docs, PIECES), "bpe": lambda: bpe.encode(no_docs, RANKS), "tree": lambda: suffix_tree.score(no_docs),
+    }[name]()
+    assert made.count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path, labels):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        if number < 4:
+            assert now.columns == docs.columns
+            now.write.parquet(str(tmp_path / f"stage{number}"))
+            now = spark.read.parquet(str(tmp_path / f"stage{number}"))
+    assert now.count() > 0
+
+
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
