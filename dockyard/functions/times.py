@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, TimestampNTZType
+from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
 ONE_DAY = timedelta(days=1)
 
@@ -82,6 +82,18 @@ def received_at_local(received_at: Column, naive_utc: bool = True) -> Column:
     return F.concat(F.substring(text, 1, 11), clock_hour, F.substring(text, 14, 6), half)
 
 
+def elapsed_after(ts: Column, ttl: timedelta, kind: DataType) -> Column:
+    """``ttl`` of elapsed time after ``ts``: a day is 24 hours, whatever the session time zone's clock does."""
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(F.unix_micros(ts) + F.lit(ttl // timedelta(microseconds=1)))
+    return ts + F.lit(ttl)
+
+
+def instant_micros(ts: Column, kind: DataType) -> Column:
+    """Microseconds since 1970-01-01 of an instant, or of a wall clock."""
+    return F.unix_micros(ts) if isinstance(kind, TimestampType) else epoch_micros(ts)
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 of a wall clock, without going through any time zone."""
     seconds = (

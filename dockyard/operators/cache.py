@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise, new_folder
+
 
 def put_entries(rows: DataFrame, k: Column, v: Column, written_at: Column, seq: Column, expires_at: Column) -> DataFrame:
     """Entries to append. A null ``expires_at`` never expires."""
@@ -40,9 +42,11 @@ def get_or_compute(
     ``compute`` gets the missing keys only. A computed null, blank or zero value is no value: it is
     neither returned nor saved.
     """
-    wanted = keys.select("k").distinct()
     hits = current_entries(entries, now).where(F.col("v").isNotNull()).select("k", "v")
+    # Looked up once: hits and misses are two reads of one stored table.
+    known = keys.select("k").distinct().join(hits, "k", "left")
+    known = materialise(known, new_folder(keys.sparkSession, "known"))
     text = F.col("v").cast("string")
-    fresh = compute(missing_keys(keys, entries, now)).select("k", "v")
+    fresh = compute(known.where(F.col("v").isNull()).select("k")).select("k", "v")
     computed = fresh.where(text.isNotNull() & (text != "") & (text != "0"))
-    return wanted.join(hits, "k").unionByName(computed), computed
+    return known.where(F.col("v").isNotNull()).unionByName(computed), computed

@@ -21,14 +21,17 @@ def resolve_codes(
 ) -> DataFrame:
     """Replace each code column by the dictionary's name for it; an unknown code becomes ``''``.
 
-    ``dictionary`` must have one row per key. A hit with a null name stays null. No broadcast is
-    forced: Catalyst (by size) and AQE (by measured size) pick it, and a dictionary beyond the
+    Of a key's rows the last in the dictionary's order counts, so no row of ``df`` is multiplied. A hit with
+    a null name stays null. No broadcast is forced: Catalyst (by size) and AQE (by measured size) pick it, and a dictionary beyond the
     threshold falls back to a skew-split sort-merge join.
     """
+    # max_by leaves a null name null where the last row has one, as long as its position isn't.
+    last = F.max_by(F.struct(F.col(value)), F.col("_at")).alias("_last")
+    dictionary = dictionary.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(last)
     out = df
     for i, column in enumerate(columns):
         k, v = f"_key{i}", f"_name{i}"
-        side = dictionary.select(F.col(key).alias(k), F.col(value).alias(v))
+        side = dictionary.select(F.col(key).alias(k), F.col("_last")[value].alias(v))
         out = out.join(side, F.col(column) == F.col(k), "left").withColumn(
             column, F.when(F.col(k).isNull(), "").otherwise(F.col(v))
         ).drop(k, v)

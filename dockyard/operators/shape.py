@@ -60,7 +60,7 @@ def clean_payload(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return named.select([clean_cell(F.col(f"`{c}`"), is_date_name(c)).alias(c) for c in named.columns])
 
 
-# Most rows that are kept as one sorted heap per task.
+# Most rows that are kept as one sorted heap per task; more are numbered in ranges first. Both give the same rows in order.
 TOP_K_BOUND = 100_000
 
 
@@ -72,7 +72,7 @@ def limit_rows(df: DataFrame, limit: int, pos: str) -> DataFrame:
         return df
     if limit - 1 <= TOP_K_BOUND:
         return df.orderBy(pos).limit(limit - 1)
-    return number_rows(df, pos, name="_row").where(F.col("_row") < limit - 1).drop("_row")
+    return number_rows(df, pos, name="_row").where(F.col("_row") < limit - 1).orderBy("_row").drop("_row")
 
 
 def number_rows(df: DataFrame, *order: str, name: str = "_pos", start: int = 0) -> DataFrame:

@@ -5,7 +5,8 @@ becomes the new anchor. A rejected arrival changes nothing, so repeats never ren
 A null, blank or (numeric) zero key is never a duplicate.
 
 A count per key, which combines before its shuffle, sorts the keys into three kinds. A key seen once
-is decided from that count alone. A key with few arrivals is folded inside one row, all in the JVM.
+is decided from that count alone. A key with few arrivals is folded inside one row, in one linear pass. A TTL is
+elapsed time in every branch, so the kinds agree whatever the session time zone is; only the plan depends on the bound.
 The arrivals of a key with more than ``group_bound`` are never gathered: they go to a table cut into
 time buckets of one TTL. Accepted arrivals lie at least one TTL apart, so a bucket holds at most one
 per key, and that one is a plain minimum over the arrivals past the expiry: an aggregate that
@@ -18,11 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.times import ONE_DAY, epoch_micros, time_literal
+from ..functions.times import ONE_DAY, elapsed_after, instant_micros, time_literal
 from ..session import materialise, new_folder
 
 # Most arrivals of one key that are gathered into one row.
@@ -86,8 +88,9 @@ def drop_repeats(df: DataFrame, key: str = "id", ts: str = "received_at", seq: s
 def ledger_entries(accepted: DataFrame, key: str = "id", ts: str = "received_at", ttl: timedelta = ONE_DAY) -> DataFrame:
     """Ledger rows of accepted arrivals: key, acceptance and expiry. Blank keys leave no entry."""
     is_number = isinstance(accepted.schema[key].dataType, NumericType)
+    expires = elapsed_after(F.col(ts), ttl, accepted.schema[ts].dataType)
     return accepted.where(F.col(key) != (0 if is_number else "")).select(
-        F.col(key).alias("k"), F.col(ts).alias("accepted_at"), (F.col(ts) + F.lit(ttl)).alias("expires_at")
+        F.col(key).alias("k"), F.col(ts).alias("accepted_at"), expires.alias("expires_at")
     )
 
 
@@ -142,7 +145,7 @@ def _decide(
         if accepted_only:
             parts.append(_exploded(folded).withColumn("accepted", F.lit(True)))
         else:
-            verdicts = folded.select("k", F.explode(_flagged()).alias("a"))
+            verdicts = folded.select("k", F.explode("flagged").alias("a"))
             parts.append(verdicts.select("k", "a.ts", "a.seq", "a.accepted"))
     return parts
 
@@ -159,36 +162,40 @@ def _expiry_by_key(ledger: DataFrame) -> DataFrame:
 
 
 def _fold(rows: DataFrame, ttl: timedelta, state: DataFrame | None) -> DataFrame:
-    """Per key: ``arrivals`` in order, the accepted ones as ``kept`` and the last expiry ``open_at``."""
+    """Per key: arrivals in order with their verdict (``flagged``), the accepted ones as ``kept`` and the last expiry ``open_at``."""
     grouped = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("ts", "seq"))).alias("arrivals"))
     ts_type = rows.schema["ts"].dataType
     if state is None:
         grouped = grouped.withColumn("open_at", F.lit(None).cast(ts_type))
     else:
         grouped = grouped.join(state, "k", "left")
-    step_ttl = F.lit(ttl)
-    none_kept = F.expr("filter(arrivals, x -> false)")
-
-    def step(acc: Column, x: Column) -> Column:
-        is_open = acc["open_at"].isNull() | (x["ts"] >= acc["open_at"])
-        taken = F.struct(
-            (x["ts"] + step_ttl).alias("open_at"), F.array_append(acc["kept"], x).alias("kept")
-        )
-        return F.when(is_open, taken).otherwise(acc)
-
-    start = F.struct(F.col("open_at").alias("open_at"), none_kept.alias("kept"))
-    return grouped.withColumn("f", F.aggregate("arrivals", start, step)).select(
-        "k", "arrivals", F.col("f.kept").alias("kept"), F.col("f.open_at").alias("open_at")
-    )
-
+    width = ttl // timedelta(microseconds=1)
 
-def _flagged() -> Column:
-    """Arrivals of one folded row with their verdict."""
-    kept = F.transform("kept", lambda x: x["seq"])
-    return F.transform(
-        "arrivals",
-        lambda x: F.struct(x["ts"].alias("ts"), x["seq"].alias("seq"), F.array_contains(kept, x["seq"]).alias("accepted")),
-    )
+    # One pass over each key's sorted arrivals; the times alone go to Python, in Arrow batches.
+    @F.pandas_udf("array<boolean>")
+    def verdicts(times: pd.Series, opens: pd.Series) -> pd.Series:
+        out = []
+        for arrivals, start in zip(times, opens):
+            open_at = None if start != start or start is None else int(start)
+            flags = []
+            for t in arrivals.tolist():
+                taken = open_at is None or t >= open_at
+                if taken:
+                    open_at = t + width
+                flags.append(taken)
+            out.append(flags)
+        return pd.Series(out, dtype=object)
+
+    def micros(x: Column) -> Column:
+        return instant_micros(x, ts_type)
+
+    times = F.transform("arrivals", lambda x: micros(x["ts"]))
+    flagged = grouped.withColumn("_flags", verdicts(times, micros(F.col("open_at"))))
+    flagged = flagged.withColumn("flagged", F.zip_with("arrivals", "_flags", lambda x, f: F.struct(x["ts"].alias("ts"), x["seq"].alias("seq"), f.alias("accepted"))))
+    kept = F.transform(F.filter("flagged", lambda x: x["accepted"]), lambda x: F.struct(x["ts"].alias("ts"), x["seq"].alias("seq")))
+    flagged = flagged.withColumn("kept", kept)
+    last = elapsed_after(F.element_at("kept", -1)["ts"], ttl, ts_type)
+    return flagged.select("k", "flagged", "kept", F.when(F.size("kept") > 0, last).otherwise(F.col("open_at")).alias("open_at"))
 
 
 def _exploded(folded: DataFrame) -> DataFrame:
@@ -201,7 +208,7 @@ def _walk_buckets(
     """``(rows, kept)`` of the hot keys. Each step reads only its own time buckets."""
     spark = hot.sparkSession
     width = ttl // timedelta(microseconds=1)
-    bucketed = hot.withColumn("bucket", F.floor(epoch_micros(F.col("ts")) / width).cast("long"))
+    bucketed = hot.withColumn("bucket", F.floor(instant_micros(F.col("ts"), hot.schema["ts"].dataType) / width).cast("long"))
     span = bucketed.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
     per_shelf = (span["high"] - span["low"]) // MOST_SHELVES + 1
     shelved = bucketed.withColumn("shelf", F.floor(F.col("bucket") / per_shelf).cast("long"))
@@ -252,9 +259,10 @@ def _first_open(part: DataFrame, state: DataFrame, ttl: timedelta) -> DataFrame:
     """Per key the first arrival of one bucket that is past the expiry."""
     is_open = F.col("open_at").isNull() | (F.col("ts") >= F.col("open_at"))
     first = F.min(F.struct("ts", "seq")).alias("a")
+    expires = elapsed_after(F.col("a.ts"), ttl, part.schema["ts"].dataType)
     return (
         part.join(state, "k").where(is_open).groupBy("k").agg(first)
-        .select("k", F.array("a").alias("kept"), (F.col("a.ts") + F.lit(ttl)).alias("open_at"))
+        .select("k", F.array("a").alias("kept"), expires.alias("open_at"))
     )
 
 

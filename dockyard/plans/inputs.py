@@ -24,24 +24,23 @@ def location_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order its first and last line and their number.
+    """Per order its lines, in line order, and their number.
 
-    Documents carry these two lines: both are aggregates that combine before the shuffle, so no
-    order's lines are ever gathered, however many there are.
+    A document holds all lines of its order, so an order's lines meet in one row: a document's natural size.
     """
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.min(line).alias("first"), F.max(line).alias("last"), F.count("*").alias("n")
+        F.sort_array(F.collect_list(line)).alias("lines"), F.count("*").alias("n")
     )
 
 
-def _item(line: str) -> Column:
+def _item(line: Column) -> Column:
     return F.struct(
-        F.col(f"{line}.l_partkey").cast("string").alias("id"),
-        F.col(f"{line}.l_quantity").cast("int").alias("quantity"),
-        F.col(f"{line}.l_returnflag").alias("quantityUnit"),
+        line["l_partkey"].cast("string").alias("id"),
+        line["l_quantity"].cast("int").alias("quantity"),
+        line["l_returnflag"].alias("quantityUnit"),
         F.struct(
-            F.col(f"{line}.l_extendedprice").cast("decimal(14,2)").cast("string").alias("amount"),
+            line["l_extendedprice"].cast("decimal(14,2)").cast("string").alias("amount"),
             F.lit("USD").alias("currency"),
         ).alias("price"),
     )
@@ -67,9 +66,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(order_lines(spark, sf_dir), F.col("l_orderkey") == key, "left")
     )
-    items = F.when(F.col("n") > 1, F.array(_item("first"), _item("last"))).when(
-        F.col("n") == 1, F.array(_item("first"))
-    )
+    items = F.transform("lines", _item)
     volume = F.struct(
         F.col("o_totalprice").cast("decimal(14,2)").cast("string").alias("value"), F.lit("M3").alias("unit")
     )

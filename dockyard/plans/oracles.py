@@ -7,7 +7,7 @@ from .queries import LOGICAL
 
 _FLAT = """
 WITH fl AS (
- SELECT *, least(n, 2) AS n_line_items FROM (
+ SELECT *, n AS n_line_items FROM (
   SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey
    ORDER BY l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_returnflag) AS rn FROM lineitem) WHERE rn=1),
 d AS (SELECT n_nationkey k, n_name v FROM nation WHERE n_regionkey<3),

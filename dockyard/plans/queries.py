@@ -13,7 +13,7 @@ from ..functions.text import mask_middle, url_groups, url_param
 from ..functions.times import normalise_date, normalise_expiry, received_at_local, time_literal
 from ..operators.cache import current_entries, get_or_compute, missing_keys, put_entries
 from ..operators.lookup import dict_last_wins, first_match_wins, resolve_codes, unseen
-from ..operators.orders import cell, land_orders, parse_orders
+from ..operators.orders import cell, flatten_orders, land_orders, parse_orders
 from ..operators.outcomes import error_log, outcome_rows, status_board
 from ..operators.shape import (
     clean_payload,
@@ -293,11 +293,11 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
 def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absent key, null and value of ``k`` kept apart."""
     way = F.col("event_id") % 5
-    props = F.when(way == 0, '{"k":null}').when(way == 1, "{}").otherwise(F.col("props"))
-    value = F.from_json(props, "k string")["k"]
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.when(F.array_contains(F.json_object_keys(props), "k"), value).otherwise("").alias("k")
-    )
+    value = F.from_json("props", "k string")["k"]
+    pair = F.when(way == 0, '"teamId":null,').when(way == 1, "").otherwise(F.concat(F.lit('"teamId":'), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2), F.lit(",")))
+    body = F.concat(F.lit("{"), pair, F.lit('"lineItems":[{"id":"1"}]}'))
+    parsed = parse_orders(table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("received_at"), body.alias("body")))
+    return flatten_orders(parsed, ["event_id"]).select("event_id", F.col("teamId").alias("k"))
 
 
 def _part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,10 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
 def load_table(
     spark: SparkSession, files: str, table: str, location: str | None = None, multi_line: bool = True
 ) -> DataFrame | None:
-    """Replace ``table`` by the rows of CSV ``files``; a blank name or missing files do nothing."""
+    """Replace ``table`` by the rows of CSV ``files``; a blank name or missing files do nothing.
+
+    Rows whose cell count differs from the header's replace ``{table}_ragged``, source text included, so none is lost.
+    """
     if not table:
         return None
     scan = read_csv(spark, files, multi_line)
@@ -38,6 +41,10 @@ def load_table(
     if location:
         writer = writer.option("path", location)
     writer.saveAsTable(table)
+    beside = scan[1].write.mode("overwrite").format("parquet")
+    if location:
+        beside = beside.option("path", f"{location.rstrip('/')}_ragged")
+    beside.saveAsTable(f"{table}_ragged")
     return spark.table(table)
 
 

@@ -3,8 +3,8 @@
 Each micro-batch runs the same transforms as a batch job. What is remembered between batches is one
 ledger row per accepted id, kept as a table beside the outputs: a batch reads the ledger of earlier
 batches only and writes its own folder of every table, so a batch that is run again after a lost
-driver or executor replaces its own output and decides the same. Every so many batches the live part
-of the ledger is written as one base, so the ledger that is read stays one TTL long. Hot ids inside a micro-batch take
+driver or executor replaces its own output and decides the same. The ledger is one plain table, filtered by expiry when it
+is read. What a sink fails to write is kept and written before the next batch. Hot ids inside a micro-batch take
 the same bucket walk as in a batch job, which a per-key state function could not split.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,20 +31,16 @@ SCRIPT = "intake"
 Sink = Callable[[DataFrame, str, int], None]
 
 
-# Batches after which the live ledger is written anew as one base.
-COMPACT_EVERY = 100
+def earlier_ledger(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
+    """Ledger rows of all batches before ``batch_id``: one plain table, from which nothing is ever taken out.
 
-
-def earlier_ledger(spark: SparkSession, root: str, batch_id: int, compact_every: int) -> DataFrame | None:
-    """Ledger rows of all batches before ``batch_id``: the last base and the batches since.
-
-    Folder names follow from the batch number alone, so nothing is listed and a rerun reads the same.
+    A rerun reads the same rows. Verdicts so depend on the arrivals alone, not on how they fall into batches.
     """
-    base = batch_id // compact_every * compact_every
-    folders = [f"{root}/ledger/batch_id={n}" for n in range(base, batch_id)]
-    if base:
-        folders.append(f"{root}/ledger_base/upto={base}")
-    return spark.read.parquet(*folders).select("k", "accepted_at", "expires_at") if folders else None
+    if not batch_id:
+        return None
+    schema = spark.read.parquet(f"{root}/ledger/batch_id={batch_id - 1}").schema
+    ledger = spark.read.schema(f"{schema.toDDL()}, batch_id long").parquet(f"{root}/ledger")
+    return ledger.where(F.col("batch_id") < batch_id).select("k", "accepted_at", "expires_at")
 
 
 def decide_batch(
@@ -54,33 +51,48 @@ def decide_batch(
     ts: str,
     seq: str,
     ttl: timedelta = ONE_DAY,
-    compact_every: int = COMPACT_EVERY,
     **options,
 ) -> DataFrame:
     """Verdicts ``(key, ts, seq, accepted)`` of one micro-batch; writes them and their ledger rows.
 
-    A batch reads the ledger rows that end after its first arrival. A base also keeps those of one
-    TTL before it, so arrivals may land that much out of order across batches.
+    A batch reads the ledger rows that end after its first arrival, which the files' statistics leave few; arrivals
+    may land out of order by any time.
     """
     spark = batch.sparkSession
-    earlier = earlier_ledger(spark, root, batch_id, compact_every)
-    live = kept = earlier
-    oldest = batch.agg(F.min(ts)).first()[0] if earlier is not None else None
+    live = earlier_ledger(spark, root, batch_id)
+    oldest = batch.agg(F.min(ts)).first()[0] if live is not None else None
     if oldest is not None:
-        # Literals, so that the ledger's files are skipped by their statistics.
-        ts_type = batch.schema[ts].dataType
-        live = earlier.where(F.col("expires_at") > time_literal(oldest, ts_type))
-        kept = earlier.where(F.col("expires_at") > time_literal(oldest - ttl, ts_type))
+        # A literal, so that the ledger's files are skipped by their statistics.
+        live = live.where(F.col("expires_at") > time_literal(oldest, batch.schema[ts].dataType))
     verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, work=f"{root}/work", **options)
     verdicts = materialise(verdicts, f"{root}/verdicts/batch_id={batch_id}")
     write_batch(ledger_entries(verdicts.where("accepted"), key, ts, ttl), f"{root}/ledger", batch_id)
-    if (batch_id + 1) % compact_every == 0:
-        own = spark.read.parquet(f"{root}/ledger/batch_id={batch_id}")
-        base = own if kept is None else own.unionByName(kept)
-        base.write.mode("overwrite").parquet(f"{root}/ledger_base/upto={batch_id + 1}")
     return verdicts
 
 
+def hold_pending(rows: DataFrame, root: str, name: str, batch_id: int) -> None:
+    """Keep the rows of a failed sink until a later batch, or the next start, has written them."""
+    rows.write.mode("overwrite").parquet(f"{root}/pending/{name}/batch_id={batch_id}")
+
+
+def drain_pending(spark: SparkSession, root: str, name: str, sink: Sink, before: int) -> None:
+    """Write what ``sink`` failed to write in earlier batches. A batch that is done is marked, and a sink's folders are
+    replaced whole, so that a repeat changes nothing. A batch that fails again stays pending."""
+
+    def batches(kind: str) -> set[int]:
+        try:
+            found = spark.read.parquet(f"{root}/{kind}/{name}").select("batch_id").distinct().collect()
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return set()
+            raise
+        return {r["batch_id"] for r in found}
+
+    for batch_id in sorted(n for n in batches("pending") - batches("repaired") if n < before):
+        sink(spark.read.parquet(f"{root}/pending/{name}/batch_id={batch_id}"), f"{root}/{name}", batch_id)
+        spark.range(1).write.mode("overwrite").parquet(f"{root}/repaired/{name}/batch_id={batch_id}")
+
+
 def start_dedup(
     arrivals: DataFrame,
     root: str,
@@ -116,7 +128,8 @@ def start_intake(
     from the next batch on. Each sink gets ``(rows, folder, batch_id)`` and may fail by itself: the
     failure is logged and the other tables are still written. A failed record sink answers 500.
     ``trigger`` takes what ``DataStreamWriter.trigger`` takes; by default all landed files are
-    processed and the query ends.
+    processed and the query ends. Rows that a sink failed to write are kept and written before the next
+    batch, also after a restart, so that no accepted order is lost.
     """
     append = append_sink or write_batch
     record = record_sink or write_batch
@@ -130,25 +143,36 @@ def start_intake(
         rejected = materialise(verdicts.where(~F.col("accepted")), f"{root}/refused/batch_id={batch_id}")
         failures = []
 
-        def attempt(sink: Sink, build: Callable[[], DataFrame], name: str) -> bool:
+        def attempt(work: Callable[[], None], name: str) -> bool:
             try:
-                sink(build(), f"{root}/{name}", batch_id)
+                work()
                 return True
             except Exception as error:  # a sink's failure must not stop the others
                 failures.append((f"failed to write {name}", str(error)))
                 return False
 
-        flat = land_orders(parsed, dictionary(), keep=["received_at", "seq"]).join(
-            rejected.select("seq"), "seq", "left_anti"
-        )
-        attempt(append, lambda: flat, "orders")
-        recorded = attempt(record, lambda: record_rows(flat, mapping()), "records")
-
-        write_batch(quarantined(parsed).select("received_at", "seq", "body", "reason"), f"{root}/quarantine", batch_id)
-        answers = outcome_rows(verdicts, keep=["seq"], sink_failed=F.lit(not recorded) & F.col("accepted"))
-        write_batch(answers, f"{root}/outcomes", batch_id)
-        write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id)
-        parsed.unpersist()
+        def written(sink: Sink, rows: DataFrame, name: str) -> bool:
+            attempt(lambda: drain_pending(spark, root, name, sink, batch_id), name)
+            done = attempt(lambda: sink(rows, f"{root}/{name}", batch_id), name)
+            if not done:
+                hold_pending(rows, root, name, batch_id)
+            return done
+
+        try:
+            flat = land_orders(parsed, dictionary(), keep=["received_at", "seq"]).join(
+                rejected.select("seq"), "seq", "left_anti"
+            )
+            written(append, flat, "orders")
+            recorded = written(record, record_rows(flat, mapping()), "records")
+
+            bad = quarantined(parsed).select("received_at", "seq", "body", "reason")
+            write_batch(bad, f"{root}/quarantine", batch_id)
+            answers = outcome_rows(verdicts, keep=["seq"], sink_failed=F.lit(not recorded) & F.col("accepted"))
+            write_batch(answers, f"{root}/outcomes", batch_id)
+            # Logging never stops a batch.
+            attempt(lambda: write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id), "log")
+        finally:
+            parsed.unpersist()
 
     return _start(orders, root, process, trigger)
 

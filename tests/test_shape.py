@@ -82,7 +82,7 @@ def test_limit_counts_the_header(spark):
 def test_large_limit_takes_no_heap(spark, monkeypatch):
     monkeypatch.setattr(shape, "TOP_K_BOUND", 10)
     df = spark.range(1000).select((999 - F.col("id")).alias("id"))
-    assert sorted(r["id"] for r in limit_rows(df, 500, "id").collect()) == list(range(499))
+    assert [r["id"] for r in limit_rows(df, 500, "id").collect()] == list(range(499))
 
 
 def test_number_rows(spark):
@@ -127,3 +127,12 @@ def test_status_board(spark):
             (2, "other", "x", 9)]
     df = spark.createDataFrame(rows, "row_no int, field string, value string, seq long").withColumn("at", F.col("seq"))
     assert {tuple(r) for r in status_board(df).collect()} == {(1, "20%", "3", None), (2, None, None, "5s")}
+
+
+def test_a_code_that_occurs_twice_does_not_multiply_rows(spark):
+    from dockyard.operators.lookup import resolve_codes
+
+    orders = spark.createDataFrame([("1",), ("2",), ("3",)], "code string")
+    dictionary = spark.createDataFrame([("1", "old"), ("2", "two"), ("1", "new"), ("2", None)], "k string, v string").coalesce(1)
+    assert [r["code"] for r in resolve_codes(orders, dictionary, ["code"]).collect()].count("new") == 1
+    assert sorted(map(str, (r["code"] for r in resolve_codes(orders, dictionary, ["code"]).collect()))) == ["", "None", "new"]

@@ -2,6 +2,8 @@
 
 import json
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,10 @@ def test_envelope_framing(spark):
         *part(0, 0, '{"a":1}'), *part(0, 1, '{"a":2}'), "--changeset_0--", "--batch_0--",
     ]
     assert rows[1]["body"].split(CRLF)[3:12] == part(1, 0, '{"a":null}')
+
+
+def test_load_table_keeps_ragged_rows_beside_the_table(spark, tmp_path):
+    name = f"ragged_{uuid.uuid4().hex}"
+    loaded = load_table(spark, put(tmp_path, "r.csv", "a,b\n1,x\n2\n3,z,9\n"), name, str(tmp_path / "t"))
+    assert [tuple(r) for r in loaded.collect()] == [("1", "x")]
+    assert sorted(r["raw"] for r in spark.table(f"{name}_ragged").collect()) == ["2", "3,z,9"]

@@ -148,3 +148,17 @@ def test_get_or_compute(spark, entries):
     values, computed = get_or_compute(keys, entries, compute, now)
     assert {tuple(r) for r in values.collect()} == {("a", "new"), ("c", "c"), ("b", "got b"), ("d", "got d")}
     assert {r["k"] for r in computed.collect()} == {"b", "d"}
+
+
+@pytest.mark.parametrize("bound", [1, 20_000])
+@pytest.mark.parametrize(("hours", "want"), [(12, [True, True]), (13, [True, False]), (24, [True, False])])
+def test_a_ttl_is_elapsed_time_over_a_clock_change(spark, bound, hours, want):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 25 hours of that day: 04:00Z and 16:00Z are twelve hours apart on any clock.
+        rows = spark.sql("SELECT 'a' AS id, timestamp_seconds(1730606400 + 43200 * id) AS received_at, id AS seq FROM range(2)")
+        got = classify_arrivals(rows, ttl=timedelta(hours=hours), group_bound=bound).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r["accepted"] for r in got] == want
