@@ -36,6 +36,8 @@ HOT_MOST = 1 << 20
 COLUMN = 512
 #: Documents in a block of the product.
 BLOCK = 2048
+#: Places in the filter before the texts' shuffle: 2**26 bits.
+MARK_BITS = 26
 
 _HASH_BITS = np.uint64(57)
 
@@ -266,6 +268,22 @@ def _product(ratio: Ratio, n: int):
     return unit
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` but for most of those whose keys don't occur in ``wanted``.
+
+    The filter is a bitmap of 2**MARK_BITS hash places, at most 8 MB whatever the input is. It lets all wanted rows through and
+    some others; the fuller it is, the more others, down to no effect. It only saves shuffling.
+    """
+
+    def places(df: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64(*keys), F.lit(1 << MARK_BITS))
+        return df.select("*", F.shiftright(place, 15).alias("shelf"), F.pmod(place, F.lit(1 << 15)).alias("place"))
+
+    bits = places(wanted.select(*keys)).groupBy("shelf").agg(F.bitmap_construct_agg("place").alias("bits"))
+    bit = F.expr("getbit(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) = 1")
+    return places(rows).join(F.broadcast(bits), "shelf").where(bit).select(*rows.columns)
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, share: float = HOT_SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
 
@@ -319,8 +337,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     matched = matched.select("community", "i", "j", F.when(F.col("last") == 0, F.pmod(F.xxhash64("community"), F.lit(units))).otherwise(units + F.pmod(F.xxhash64("community", "i", "j"), F.lit(1 << 40))).alias("unit"))
     placed = matched.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     wanted = ranked.join(placed, ["community", "block"])
-    texts = source.alias("s").join(ranked.select("cls", "id", "key").alias("k"), F.expr("s.key = k.key and s.id <=> k.id")).select("cls", "text")
-    work = texts.join(wanted.select("cls", "community", "block", "i", "j", "unit", "weight"), "cls")
+    # Texts meet their units in one join; rows outside communities stay out of its shuffle.
+    likely = _marked(source, wanted, "key", "id").alias("s")
+    work = likely.join(wanted.alias("w"), F.expr("s.key = w.key and s.id <=> w.id")).select("cls", "text", "community", "block", "i", "j", "unit", "weight")
     # A task's work is its number of block pairs, not its bytes, so the number of tasks isn't left to their size.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-matched.count() // 64))
     product = keep(work.repartition(tasks, "unit").groupBy("unit").applyInPandas(_product(ratio, n), "a long, b long, links long"), "links")
