@@ -16,6 +16,7 @@ LOCAL_OFFSET = "+08:00"
 _DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 _PADDED_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _ISO_MINUTES = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?$"
+_OFFSET = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 _BASIC = r"^([0-9]{4})([0-9]{2})([0-9]{2})([T ]([0-9]{2})([0-9]{2})([0-9]{2}))?$"
 
 
@@ -48,7 +49,13 @@ def iso_text(ts: Column) -> Column:
 
 
 def naive_timestamp(text: Column) -> Column:
-    """ISO date or date-time text without an offset as ``timestamp_ntz``, NULL when it is none."""
+    """ISO date or date-time text as ``timestamp_ntz``, NULL when it is none. With ``Z`` or an offset it is the UTC wall clock."""
+    shown = F.regexp_extract(text, _OFFSET, 1)
+    clock = F.regexp_replace(text, _OFFSET, "")
+    part = lambda first: F.substring(F.translate(shown, "Z:", ""), first, 2).try_cast("int")
+    minutes = F.coalesce(part(2) * 60 + part(4), F.lit(0)) * F.when(shown.startswith("-"), -1).otherwise(1)
+    utc = F.translate(clock, ",", ".").try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes)
+    aware = F.when(text.rlike(_OFFSET) & clock.rlike(_ISO_MINUTES), utc)
     basic = F.when(
         text.rlike(_BASIC),
         F.concat(
@@ -57,14 +64,14 @@ def naive_timestamp(text: Column) -> Column:
         ),
     )
     plain = F.when(text.rlike(_PADDED_DATE) | text.rlike(_ISO_MINUTES), F.translate(text, ",", "."))
-    return F.coalesce(plain, basic).try_cast("timestamp_ntz")
+    return F.coalesce(F.coalesce(plain, basic).try_cast("timestamp_ntz"), aware)
 
 
 def normalise_expiry(text: Column, now: Column, ttl: timedelta = ONE_DAY) -> Column:
     """Expiry text as naive ISO text.
 
-    Blank means ``now + ttl``; an ISO date or date-time stands for itself; an unpadded date means
-    the end of that day; anything else gives NULL and belongs in quarantine.
+    Blank means ``now + ttl``; an ISO date or date-time stands for itself, one with an offset for its UTC wall clock; an
+    unpadded date means the end of that day; anything else gives NULL and belongs in quarantine.
     """
     end_of_day = F.concat(_date_of(text).cast("string"), F.lit("T23:59:59"))
     return F.when(text.isNull() | (text == ""), iso_text(now + F.lit(ttl))).otherwise(

@@ -70,6 +70,16 @@ ORACLES: dict[str, str] = {
  WHEN 2 THEN 'malformed' WHEN 3 THEN 'empty_line_items' WHEN 6 THEN 'malformed' ELSE 'null_object' END AS route FROM orders""",
     "order_intake": _INTAKE,
     "stream_order_intake": _INTAKE,
+    "stream_sink_failure": _FLAT + f"SELECT {_COLUMNS}, {_LOCAL} AS {RECEIVED_AT_LOCAL} FROM flat",
+    "ragged_quarantine": """SELECT CASE s_suppkey%5 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) WHEN 1 THEN s_suppkey||','||s_name||',more'
+ ELSE s_suppkey||','||s_name END AS raw, CASE WHEN s_suppkey%5<2 THEN 'ragged' ELSE 'loaded' END AS route FROM supplier""",
+    "ttl_evict": """SELECT user_id AS k, event_id AS v, ts AS written_at FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,event_id DESC) rn FROM events WHERE ts<=TIMESTAMP '2024-01-15')
+ WHERE rn=1 AND (event_type='signup' OR TIMESTAMP '2024-01-15'<ts+INTERVAL 1 DAY)
+ UNION ALL SELECT user_id, event_id, ts FROM events WHERE ts>TIMESTAMP '2024-01-15'""",
+    "expiry_offsets": """SELECT o_orderkey, strftime(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)+CASE o_orderkey%4
+ WHEN 0 THEN INTERVAL 630 MINUTE WHEN 1 THEN INTERVAL 150 MINUTE WHEN 2 THEN INTERVAL 840 MINUTE END,'%Y-%m-%dT%H:%M:%S') AS expires_at
+ FROM orders""",
     "ttl_dedup": _DEDUP,
     "stream_ttl_dedup": _DEDUP,
     "ttl_dedup_hot": """

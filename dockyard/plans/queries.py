@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import clean_text, float_value, int_value
 from ..functions.text import mask_middle, url_groups, url_param
 from ..functions.times import normalise_date, normalise_expiry, received_at_local, time_literal
-from ..operators.cache import current_entries, get_or_compute, missing_keys, put_entries
+from ..operators.cache import current_entries, evict, get_or_compute, missing_keys, put_entries
 from ..operators.lookup import dict_last_wins, first_match_wins, resolve_codes, unseen
 from ..operators.orders import cell, flatten_orders, land_orders, parse_orders
 from ..operators.outcomes import error_log, outcome_rows, status_board
@@ -126,6 +126,23 @@ def stream_order_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/orders").drop("received_at", "seq", "batch_id")
 
 
+@query("stream_sink_failure")
+def stream_sink_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order table's first write fails; the restart writes it, and the orders sent again an hour later are refused."""
+    root, landing = new_folder(spark, "intake"), new_folder(spark, "landing")
+    docs = materialise(sent_documents(spark, sf_dir), new_folder(spark, "documents"))
+
+    def fail(*_) -> None:
+        raise OSError("no room")
+
+    for copy, sink in enumerate([fail, None]):
+        land_documents(docs.where(F.col("copy") == copy), landing)
+        start_intake(
+            stream_orders(spark, landing), root, lambda: location_dictionary(spark, sf_dir), lambda: LOGICAL, append_sink=sink
+        ).awaitTermination()
+    return spark.read.parquet(f"{root}/orders").drop("received_at", "seq", "batch_id")
+
+
 # Repeats
 
 
@@ -253,6 +270,26 @@ def expiry_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", normalise_expiry(text, day).alias("expires_at"))
 
 
+@query("expiry_offsets")
+def expiry_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expiry text with ``Z`` and with offsets, and text that can't be read."""
+    day, way = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    shown = F.date_format(day, "yyyy-MM-dd")
+    text = (
+        F.when(way == 0, F.concat(shown, F.lit("T10:30:00Z")))
+        .when(way == 1, F.concat(shown, F.lit("T10:30:00+08:00")))
+        .when(way == 2, F.concat(shown, F.lit(" 10:30-0330")))
+        .otherwise(F.concat(F.lit("on "), shown))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", normalise_expiry(text, day).alias("expires_at"))
+
+
+@query("ttl_evict")
+def ttl_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that stay when expired and replaced ones go."""
+    return evict(_entries(spark, sf_dir), _now()).select("k", "v", "written_at")
+
+
 # Logs
 
 
@@ -476,6 +513,22 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, folder)[0]
 
 
+@query("ragged_quarantine")
+def ragged_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 100 suppliers; every fifth row has a cell too few, the next a cell too many."""
+    folder = new_folder(spark, "ragged")
+    key = F.col("s_suppkey")
+    line = F.concat_ws(",", key, F.when(key % 5 != 0, F.col("s_name")), F.when(key % 5 == 1, "more"))
+    files = (
+        table(spark, sf_dir, "supplier").groupBy(F.floor(key / 100).alias("part"))
+        .agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    )
+    files.select("part", F.concat(F.lit("s_suppkey,s_name\n"), "lines").alias("value")).write.partitionBy("part").text(folder)
+    whole, ragged = read_csv(spark, f"{folder}/part=*")
+    good = whole.select(F.concat_ws(",", "s_suppkey", "s_name").alias("raw"), F.lit("loaded").alias("route"))
+    return good.unionByName(ragged.select("raw", F.lit("ragged").alias("route")))
+
+
 @query("table_load")
 def table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads into one table; the second replaces the first."""

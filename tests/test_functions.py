@@ -48,6 +48,8 @@ def test_normalise_date_keeps_null(spark):
     ("2025-06-01T10:00", "2025-06-01T10:00:00"), ("2025-06-01 10:00:01.5", "2025-06-01T10:00:01.500000"),
     ("20250601", "2025-06-01T00:00:00"), ("20250601T101112", "2025-06-01T10:11:12"),
     ("2025-02-30", None), ("2025-13-1", None), ("soon", None),
+    ("2025-06-01T00:00:00Z", "2025-06-01T00:00:00"), ("2025-06-01T01:00:00.5+02:00", "2025-05-31T23:00:00.500000"),
+    ("2025-06-01 01:00-0330", "2025-06-01T04:30:00"), ("2025-06-01Z", None), ("2025-02-30T00:00Z", None),
 ])
 def test_normalise_expiry(spark, text, expiry):
     now = F.lit(datetime(2024, 1, 2, 4, 5, 6, 7)).cast("timestamp_ntz")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dockyard.operators import ttl as ttl_module
-from dockyard.operators.cache import current_entries, get_or_compute, missing_keys
+from dockyard.operators.cache import checked_expiry, current_entries, evict, get_or_compute, missing_keys, stored_expiry
 from dockyard.operators.ttl import _pack, accepted_arrivals, classify_arrivals, drop_repeats, ledger_entries
 
 START = datetime(2024, 1, 1)
@@ -162,3 +162,26 @@ def test_a_ttl_is_elapsed_time_over_a_clock_change(spark, bound, hours, want):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert [r["accepted"] for r in got] == want
+
+
+def test_unreadable_expiry_is_refused_at_put_and_expired_at_get(spark):
+    rows = spark.createDataFrame([("a", "soon"), ("b", "2025-06-01T00:00:00Z"), ("c", "")], "k string, text string")
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    good, refused = checked_expiry(rows, F.col("text"), now)
+    assert {r["k"]: str(r["expires_at"]) for r in good.collect()} == {"b": "2025-06-01 00:00:00", "c": "2024-01-03 00:00:00"}
+    assert [tuple(r) for r in refused.collect()] == [("a", "soon")]
+    stored = rows.select("k", F.lit(1).alias("v"), now.alias("written_at"), F.lit(1).alias("seq"), stored_expiry(F.col("text")).alias("expires_at"))
+    for year, live in ((2024, "bc"), (2030, "c")):
+        found = current_entries(stored, F.lit(f"{year}-01-02 00:00:00").cast("timestamp_ntz"))
+        assert sorted(r["k"] for r in found.collect()) == list(live)
+
+
+def test_eviction_changes_no_later_look(spark):
+    at = lambda d: datetime(2024, 1, d)
+    rows = [("a", 1, at(1), 1, None), ("a", 2, at(2), 2, at(3)), ("b", 3, at(1), 3, at(9)), ("b", 4, at(1), 4, at(9)), ("c", 5, at(6), 5, at(7))]
+    entries = spark.createDataFrame(rows, "k string, v int, written_at timestamp_ntz, seq int, expires_at timestamp_ntz")
+    left = evict(entries, F.lit(str(at(4))).cast("timestamp_ntz"))
+    assert sorted(r["v"] for r in left.collect()) == [4, 5]
+    for day in (4, 6, 8, 10):
+        now = F.lit(str(at(day))).cast("timestamp_ntz")
+        assert sorted(current_entries(left, now).collect()) == sorted(current_entries(entries, now).collect())
