@@ -36,6 +36,8 @@ HOT_MOST = 1 << 20
 COLUMN = 512
 #: Documents in a block of the product.
 BLOCK = 2048
+#: Digests a task holds to leave out repeated heads.
+SEEN = 1 << 18
 #: Places in the filter before the texts' shuffle: 2**26 bits.
 MARK_BITS = 26
 
@@ -131,20 +133,31 @@ def _digest(codes: np.ndarray) -> bytes:
 
 
 def heads(docs: DataFrame, n: int, ratio: Ratio, hot) -> DataFrame:
-    """Per row: id, key (of its text), n_shingles, digest (of its set) and head."""
+    """Per row: id, key (of its text), n_shingles, digest (of its set), code (the digest's first 64 bits) and head.
+
+    A task gives the head of equal sets once, or again after SEEN other sets; their later rows have a null head.
+    """
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, counts = hot.value
+        hot_codes, counts = hot.value
+        seen: set[bytes] = set()
         for frame in frames:
-            sizes, digests, found = [], [], []
+            sizes, digests, codes, found = [], [], [], []
             for _, grams in _texts(frame, n):
                 size = len(grams)
+                digest = _digest(grams) if size else None
                 sizes.append(size)
-                digests.append(_digest(grams) if size else None)
-                found.append(ordered(grams, codes, counts)[: ratio.head(size)].view(np.int64) if size else None)
-            yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "n_shingles": sizes, "digest": digests, "head": found})
+                digests.append(digest)
+                codes.append(int.from_bytes(digest[:8], "little", signed=True) if size else 0)
+                new = size > 0 and digest not in seen
+                found.append(ordered(grams, hot_codes, counts)[: ratio.head(size)].view(np.int64) if new else None)
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(digest)
+            yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "n_shingles": sizes, "digest": digests, "code": codes, "head": found})
 
-    return docs.mapInPandas(made, "id long, key long, n_shingles long, digest binary, head array<long>")
+    return docs.mapInPandas(made, "id long, key long, n_shingles long, digest binary, code long, head array<long>")
 
 
 def _pairs(members: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ratio: Ratio) -> Iterator[pd.DataFrame]:
@@ -184,6 +197,10 @@ def _columns(ratio: Ratio):
                     continue
                 leader = None
             grams, members = np.concatenate((grams, new)), np.concatenate((members, rows))
+            # Tasks that met equal sets sent the same entry; sorted, repeats are neighbours.
+            once = np.ones(len(grams), bool)
+            once[1:] = (grams[1:] != grams[:-1]) | (members[1:, 0] != members[:-1, 0])
+            grams, members = grams[once], members[once]
             starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
             if not len(starts):
                 continue
@@ -304,11 +321,13 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     # Classes of equal sets; the row with the smallest id stands for the class and numbers it.
     classes = (
         rows.where("digest is not null").groupBy("digest")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m"), F.count("*").alias("weight"))
-        .select("digest", F.col("m.row").alias("cls"), F.col("m.id").alias("least"), "weight")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "key", "n_shingles", "code")).alias("m"), F.count("*").alias("weight"))
+        .select("digest", "weight", F.col("m.row").alias("cls"), F.col("m.id").alias("least"), "m.key", "m.n_shingles", "m.code")
     )
     classes = keep(classes, "classes")
-    entries = rows.join(classes.select(F.col("cls").alias("row")), "row").select(F.explode("head").alias("gram"), F.col("row").alias("cls"), F.col("n_shingles").cast("int").alias("n"))
+    # Columns name a set by its code, which every copy knows, so heads needn't meet their classes. Sets whose codes
+    # are equal by chance come into one community; whole sets decide there.
+    entries = rows.where("head is not null").select(F.explode("head").alias("gram"), F.col("code").alias("cls"), F.col("n_shingles").cast("int").alias("n"))
     found = keep(
         entries.repartition("gram").sortWithinPartitions("gram", "cls")
         .mapInPandas(_columns(ratio), "a long, b long, na int, nb int"),
@@ -322,12 +341,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
         .select("a", "b")
     )
     chains = found.where("na < 0 and a <> b").select("a", "b").distinct()
-    member = components(pairs.unionByName(chains)).select(F.col("node").alias("cls"), F.col("root").alias("community"))
-
-    # Blocks: a community's classes by size. Communities of one block share units by hash.
-    info = rows.select(F.col("row").alias("cls"), "id", "key", "n_shingles").join(classes.select("cls", "weight"), "cls")
-    ranked = member.join(info, "cls").withColumn("at", F.row_number().over(Window.partitionBy("community").orderBy("n_shingles", "cls")) - 1)
-    ranked = keep(ranked.withColumn("block", F.floor(F.col("at") / block).cast("long")), "members")
+    member = components(pairs.unionByName(chains)).select(F.col("node").alias("code"), F.col("root").alias("community"))
+
+    # Blocks: a community's classes by size. Communities of one block share units by hash. The window runs over
+    # the distinct sizes of a community; classes of one size are dealt over its places by hash.
+    info = classes.select("code", "cls", F.col("least").alias("id"), "key", "n_shingles", "weight")
+    members = keep(member.join(info, "code").drop("code"), "members")
+    sizes = members.groupBy("community", "n_shingles").agg(F.count("*").alias("many"))
+    sizes = sizes.withColumn("upto", F.sum("many").over(Window.partitionBy("community").orderBy("n_shingles")))
+    ranked = members.join(sizes, ["community", "n_shingles"])
+    ranked = keep(ranked.withColumn("block", F.expr(f"(upto - 1 - pmod(xxhash64(cls), many)) div {block}")).drop("many", "upto"), "ranked")
     size = ranked.groupBy("community", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     last = size.groupBy("community").agg(F.max("block").alias("last"))
     units = max(1, -(-ranked.count() // block)) * 4
