@@ -313,7 +313,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     """
     spark = docs.sparkSession
     ratio = Ratio(num, den)
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), lowered(F.col("text")).alias("text"))
+    # A generator's output is computed once per row; a plain column would be lower-cased anew for each use of it.
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(F.array(lowered(F.col("text")))).alias("text"))
     source = source.withColumn("key", F.xxhash64("text"))
     hot = spark.sparkContext.broadcast(hot_ngrams(source.select("text"), n, share))
     rows = keep(heads(source, n, ratio, hot).withColumn("row", F.monotonically_increasing_id()), "heads")
