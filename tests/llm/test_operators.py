@@ -128,6 +128,38 @@ def test_suffix_tree(docs, documents):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_suffix_tree_keeps_contexts_of_all_words_and_depths(spark, documents):
+    odd = [(n, f"rare{n % 7} mid{n % 3} odd{n % 7 % 2} then{n % 7} tail") for n in range(10_000, 10_200)]
+    table = documents.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    tokens = [(i, ["<s>", *WORD.findall(lowered(t)), "</s>"]) for i, t in table.collect()]
+    training = [w for i, w in tokens if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(x for w in training for x in w[1:])
+    whole = sum(counts.values()) + 0.1 * (len(counts) + 1)
+    nexts = [{} for _ in range(4)]
+    for w in training:
+        for k in range(1, len(w)):
+            for d in range(1, min(3, k) + 1):
+                nexts[d].setdefault(tuple(w[k - d : k]), Counter())[w[k]] += 1
+    states = {}
+
+    def chance(context, word):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (counts[word] + 0.1) / whole
+        seen = states[context]
+        return (seen[word] + 20 * chance(context[1:], word)) / (seen.total() + 20)
+
+    for d in (1, 2, 3):
+        for context, seen in nexts[d].items():
+            if seen.total() >= 4 and sum(n * math.log(n / seen.total() / chance(context[1:], x)) for x, n in seen.items()) > 1.92 * len(seen):
+                states[context] = seen
+    assert all(sum(len(c) == d for c in states) > 20 for d in (1, 2, 3))
+    want = counted((i, round(sum(math.log10(chance(tuple(w[max(0, k - 3) : k]), w[k])) for k in range(1, len(w))), 4)) for i, w in tokens)
+    for share in (2.0**-20, 1e-3):
+        assert counted((r["doc_id"], round(r["score"], 4)) for r in suffix_tree.score(table, frequent_share=share).collect()) == want
+
+
 def test_secrets(docs):
     kinds = [("assign", secrets.RULES[0].pattern, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
 
