@@ -34,6 +34,9 @@ class Rule:
     least: int = 1
 
 
+#: What may stand between a key's BEGIN and END lines: base64, header fields, line breaks (escaped ones too), marks of quotes and comments.
+_KEY_BODY = r"""[A-Za-z0-9+/=\x20\t\r\n:,\\"'>#*|-]*"""
+
 #: In the order in which spans with the same start are listed.
 #: A maximal run of 16 or more is the same match as a run of any length that is dropped below 16 (hex, access);
 #: for assign the length is tested afterwards, since a short value still uses up its text.
@@ -44,7 +47,8 @@ RULES = (
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # The whole block; one without an END line reaches as far as its body can.
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_KEY_BODY}?-----END [A-Z ]{{0,30}}PRIVATE KEY-----|{_KEY_BODY})"),
 )
 
 _MOST = 64  # alternatives that a derivation keeps apart
