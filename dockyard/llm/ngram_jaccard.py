@@ -9,7 +9,8 @@ Only rows that can reach the threshold are multiplied. The steps:
 3. Columns of the head incidence are streamed, sorted by n-gram. A column's pairs are accumulated to overlap
    counts, and pairs whose sizes or counts exclude the threshold go. A column of more than COLUMN documents
    gives no pairs: its documents are chained to one community instead.
-4. Communities (components of the surviving pairs and chains) are sorted by size and cut into blocks. Two
+4. Communities (components of the surviving pairs and chains) are sorted by size and cut into blocks, by number
+   of documents and by number of n-grams, so that a task's memory doesn't follow the documents' length. Two
    blocks whose size ranges can match are multiplied in one task from whole sets, which decides every pair
    exactly once. A task gives each document's number of links and a spanning forest of them, never all pairs.
 """
@@ -36,6 +37,8 @@ HOT_MOST = 1 << 20
 COLUMN = 512
 #: Documents in a block of the product.
 BLOCK = 2048
+#: N-grams in a block of the product (8 bytes each, in several arrays); a set of more makes a block of its own.
+BLOCK_GRAMS = 1 << 21
 #: Digests a task holds to leave out repeated heads.
 SEEN = 1 << 18
 #: Places in the filter before the texts' shuffle: 2**26 bits.
@@ -301,7 +304,21 @@ def _marked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     return places(rows).join(F.broadcast(bits), "shelf").where(bit).select(*rows.columns)
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, share: float = HOT_SHARE) -> DataFrame:
+def blocked(members: DataFrame, block: int, grams: int) -> DataFrame:
+    """``members`` (community, cls, n_shingles, ...) with the block of each: some ``block`` classes and ``grams`` n-grams at most.
+
+    The window runs over the distinct sizes of a community; classes of one size are dealt over its places by hash.
+    """
+    sizes = members.groupBy("community", "n_shingles").agg(F.count("*").alias("many"))
+    upto = Window.partitionBy("community").orderBy("n_shingles")
+    sizes = sizes.withColumns({"upto": F.sum("many").over(upto), "grams": F.sum(F.col("many") * F.col("n_shingles")).over(upto)})
+    ranked = members.join(sizes, ["community", "n_shingles"]).withColumn("behind", F.expr("1 + pmod(xxhash64(cls), many)"))
+    # Neither number falls from place to place, so their sum is the same only where both are.
+    number = F.expr(f"(upto - behind) div {block} + (grams - behind * n_shingles) div {grams}")
+    return ranked.withColumn("block", number).drop("many", "upto", "grams", "behind")
+
+
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, share: float = HOT_SHARE, grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
 
     Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased. A set holds the
@@ -344,17 +361,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     chains = found.where("na < 0 and a <> b").select("a", "b").distinct()
     member = components(pairs.unionByName(chains)).select(F.col("node").alias("code"), F.col("root").alias("community"))
 
-    # Blocks: a community's classes by size. Communities of one block share units by hash. The window runs over
-    # the distinct sizes of a community; classes of one size are dealt over its places by hash.
+    # Blocks: a community's classes by size. Communities of one block share units by hash.
     info = classes.select("code", "cls", F.col("least").alias("id"), "key", "n_shingles", "weight")
     members = keep(member.join(info, "code").drop("code"), "members")
-    sizes = members.groupBy("community", "n_shingles").agg(F.count("*").alias("many"))
-    sizes = sizes.withColumn("upto", F.sum("many").over(Window.partitionBy("community").orderBy("n_shingles")))
-    ranked = members.join(sizes, ["community", "n_shingles"])
-    ranked = keep(ranked.withColumn("block", F.expr(f"(upto - 1 - pmod(xxhash64(cls), many)) div {block}")).drop("many", "upto"), "ranked")
+    ranked = keep(blocked(members, block, grams), "ranked")
     size = ranked.groupBy("community", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     last = size.groupBy("community").agg(F.max("block").alias("last"))
-    units = max(1, -(-ranked.count() // block)) * 4
+    classes_in, grams_in = ranked.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    units = max(1, -(-classes_in // block), -(-grams_in // grams)) * 4
     left, right = size.alias("l"), size.alias("r")
     matched = left.join(right, F.expr(f"l.community = r.community and l.block <= r.block and l.hi * {den} >= r.lo * {num}"))
     matched = matched.select("l.community", F.col("l.block").alias("i"), F.col("r.block").alias("j")).join(last, "community")

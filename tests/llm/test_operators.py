@@ -92,6 +92,22 @@ def test_ngram_jaccard(docs):
     assert sorted(r["doc_id"] for r in out.where("doc_id is not null and text is not null and length(trim(text)) > 6").collect()) == [1, 7, 9, 10, 11, 12, 14]
 
 
+def test_ngram_blocks_are_bounded_by_ngrams(spark, docs):
+    members = [(c, 1000 * c + n, 1 + n * 50 if c else 7) for c in (0, 1) for n in range(100)]
+    df = spark.createDataFrame(members, "community long, cls long, n_shingles long")
+    found = rows_of(ngram_jaccard.blocked(df, 40, 20_000))
+    assert sorted((r["community"], r["cls"], r["n_shingles"]) for r in found) == members
+    held = {}
+    for r in found:
+        held.setdefault((r["community"], r["block"]), []).append(r["n_shingles"])
+    long = {b: x for (c, b), x in held.items() if c}
+    assert max(map(len, long.values())) <= 40 and max(map(sum, long.values())) <= 20_000 + 5_000 and len(long) > 10
+    order = [x for b in sorted(long) for x in sorted(long[b])]
+    assert order == sorted(order)
+    whole, cut = (counted((r["doc_id"], (r["n_shingles"], r["component_id"], r["n_links"])) for r in rows_of(ngram_jaccard.join(docs, **k))) for k in ({}, {"grams": 5}))
+    assert whole == cut
+
+
 def test_embeddings(spark):
     turn = np.random.default_rng(1)
     base = turn.standard_normal((60, 16))
