@@ -1,10 +1,10 @@
 """Exact deduplication over a cuckoo-filter index of live digests.
 
 The index is a table of shards. A shard holds the full digests of its live texts (the bucketed content) with
-their counts and keepers, and a cuckoo filter over them. A batch is combined to one row per distinct text
-before anything is shuffled by digest, so a text that a third of all rows repeat travels as one row per task.
-Each shard then probes its filter: a miss proves a digest new; a hit is verified against the digests stored
-in the bucket and may prove false. Insertions that find no place after a bounded number of evictions
+their counts and keepers, and a cuckoo filter over them. Each task combines its rows of a batch to one per distinct
+text (again after MOST others) before they are shuffled by shard, so a text that a third of all rows repeat travels as one
+row per task. Each shard then probes its filter: a miss proves a digest new; a hit is verified against the digests
+stored in the bucket, where copies and keeper are merged, or proves false. Insertions that find no place after a bounded number of evictions
 double the table, which is filled again from the stored keys. Deletions take one fingerprint out.
 """
 
@@ -24,11 +24,22 @@ from dockyard.session import new_folder
 #: Digests a shard is planned for, and the least number of shards (small shards cost little, many keep tasks even).
 SHARD_KEYS = 50_000
 LEAST_SHARDS = 256
+#: Digests a task holds while it combines its rows.
+MOST = 1 << 17
 
 STATE = "shard int, digest binary, copies long, keep_id long, keep_row long, filter binary"
 ARROW = pa.schema([("shard", pa.int32()), ("digest", pa.binary()), ("copies", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("filter", pa.binary())])
 
 
+BATCH = pa.schema([f for f in ARROW if f.name not in ("shard", "filter")])
+
+
+def _merge(held: list, copies: int, keep_id: int | None, keep_row: int) -> None:
+    """Adds copies to [copies, keep_id, keep_row]; the largest id, then row, is the keeper, and no id is the smallest."""
+    held[0] += copies
+    held[1:] = max((held[1:], [keep_id, keep_row]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
 class CuckooFilter:
     """Buckets of four 16-bit fingerprints; 0 marks a free place. Digests are 32 bytes, evenly spread."""
 
@@ -115,8 +126,7 @@ class Shard:
 
     def insert(self, digest: bytes, copies: int, keep_id: int | None, keep_row: int) -> None:
         if digest in self.filter and (held := self.content.get(digest)) is not None:  # a hit, verified
-            held[0] += copies
-            held[1:] = max((held[1:], [keep_id, keep_row]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+            _merge(held, copies, keep_id, keep_row)
             return
         self.content[digest] = [copies, keep_id, keep_row]  # a miss, or a hit that proved false
         if not self.filter.insert(digest):
@@ -160,6 +170,32 @@ def _changes(delete: bool):
     return run
 
 
+def combined(digests: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows (digest, keep_id, keep_row) as (digest, copies, keep_id, keep_row), one per digest and task, or again after ``most`` others."""
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+
+        def flushed() -> pa.RecordBatch:
+            columns = zip(*((d, *x) for d, x in held.items()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, BATCH, strict=True)], schema=BATCH)
+
+        for table in tables:
+            for digest, keep_id, keep_row in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                if (known := held.get(digest)) is not None:
+                    _merge(known, 1, keep_id, keep_row)
+                    continue
+                if len(held) >= most:
+                    yield flushed()
+                    held.clear()
+                held[digest] = [1, keep_id, keep_row]
+        if held:
+            yield flushed()
+
+    rows = digests.select("digest", F.col("keep_id").cast("long"), F.col("keep_row").cast("long"))
+    return rows.mapInArrow(run, "digest binary, copies long, keep_id long, keep_row long")
+
+
 def digest_of(text: Column) -> Column:
     """SHA-256 of the text as UTF-8 with A-Z lower-cased, as binary; null counts as empty."""
     return F.unhex(F.sha2(lowered(text).cast("binary"), 256))
@@ -192,8 +228,7 @@ class CuckooIndex:
 
     def insert(self, digests: DataFrame) -> CuckooIndex:
         """Adds rows (digest, keep_id, keep_row); of equal digests the largest id, then row, is the keeper."""
-        batch = digests.groupBy("digest").agg(F.count("*").alias("copies"), F.max(F.struct("keep_id", "keep_row")).alias("k"))
-        return self._changed(batch.select("digest", "copies", "k.keep_id", "k.keep_row"), False)
+        return self._changed(combined(digests), False)
 
     def delete(self, digests: DataFrame) -> CuckooIndex:
         """Takes the texts of these digests out, all copies of each; digests that are not live change nothing."""

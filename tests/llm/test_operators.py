@@ -64,6 +64,22 @@ def test_cuckoo_index_over_batches(spark):
     assert live == {3: 2, 1: 0}
 
 
+@pytest.mark.parametrize("most", [2, 1000])
+def test_tasks_combine_and_shards_merge_copies(spark, most):
+    rows = [(f"{n % 7}", None if n % 5 == 0 else n % 11, n) for n in range(90)]
+    df = spark.createDataFrame(rows, "w string, keep_id long, keep_row long").repartition(3).withColumn("digest", exact_dedup.digest_of(F.col("w")))
+    parts = exact_dedup.combined(df, most)
+    sent = parts.groupBy("digest").count().collect()
+    assert len(sent) == 7 and all(r["count"] == 3 if most > 7 else r["count"] > 3 for r in sent)
+    assert "hashpartitioning(digest" not in parts._jdf.queryExecution().toString()
+    index = exact_dedup.CuckooIndex(spark, 2)._changed(parts, False).insert(df.where("w = '3'"))
+    want = {}
+    for w, i, n in rows + [r for r in rows if r[0] == "3"]:
+        copies, best = want.get(w, (0, (False, 0, 0)))
+        want[w] = copies + 1, max(best, (i is not None, i or 0, n))
+    assert sorted((r["copies"], r["keep_id"], r["keep_row"]) for r in index.live().collect()) == sorted((c, i, n) for c, (_, i, n) in want.values())
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(n, n + 1) for n in range(40)] + [(100, n) for n in range(101, 140)] + [(7, 7), (None, 3)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
