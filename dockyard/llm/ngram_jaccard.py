@@ -319,7 +319,7 @@ def blocked(members: DataFrame, block: int, grams: int) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, share: float = HOT_SHARE, grams: int = BLOCK_GRAMS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links, and the row's number and the one of its component's first row.
 
     Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased. A set holds the
     distinct n-word shingles, or the whole sequence where words are fewer. Sets a and b are linked when
@@ -386,24 +386,25 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     degree = product.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     linked = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     linked = keep(linked.join(degree, "cls", "left"), "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = linked.join(least, "root").select("digest", F.col("cls").alias("class_id"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # A class's number is its first row by (no id, id, row); so is the number of the component's first class.
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("m"))
+    least = least.select("root", F.col("m.least").alias("component_id"), F.col("m.cls").alias("first_row"))
+    answer = linked.join(least, "root").select("digest", F.col("cls").alias("class_id"), "component_id", "first_row", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # Rows without shingles have no digest; they keep out of the join, where they would be one key.
-    some = rows.where("digest is not null").join(answer, "digest").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links", "row", "key")
-    none = rows.where("digest is null").select(F.col("id").alias("doc_id"), "n_shingles", F.col("id").alias("component_id"), F.col("row").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row", "key")
+    some = rows.where("digest is not null").join(answer, "digest").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links", "row", "first_row", "key")
+    none = rows.where("digest is null").select(F.col("id").alias("doc_id"), "n_shingles", F.col("id").alias("component_id"), F.col("row").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row", F.col("row").alias("first_row"), "key")
     return some.unionByName(none)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of their component; others go.
+    """The rows of ``docs``, all columns, one of each component: the one with the smallest doc_id; others go.
 
-    Rows without shingles stay; of rows with a null id those stay whose component has no id; of rows that repeat id and
-    text one stays.
+    A null id is larger than any. Of linked rows with one id, or none with an id, the first stays. Rows without shingles
+    stay; of those that repeat id and text one stays.
     """
     key, seen, text_key, number = (fresh(docs, x) for x in ("near_key", "near_id", "near_text", "near_number"))
     found = join(docs)
-    # One row per component: its own id, or the class's first row where it has none.
-    kept = found.where("n_shingles = 0 or doc_id = component_id or (component_id is null and row = class_id)")
+    kept = found.where("row = first_row")
     kept = kept.select(F.col("key").alias(key), F.col("doc_id").alias(seen)).distinct()
     rows = docs.withColumn(text_key, F.xxhash64(lowered(docs["text"])))
     rows = rows.join(kept, (rows[text_key] == kept[key]) & docs["doc_id"].cast("long").eqNullSafe(kept[seen]), "left_semi")

@@ -124,6 +124,15 @@ def test_ngram_blocks_are_bounded_by_ngrams(spark, docs):
     assert whole == cut
 
 
+def test_one_row_of_linked_rows_with_repeated_or_null_ids_stays(spark):
+    words = [f"w{n}" for n in range(60)]
+    a, b, c = (" ".join(f"{p}{w}" for w in words) for p in "abc")
+    rows = [(1, a), (1, a + " more"), (1, a), (None, b), (None, b + " more"), (None, b.upper()), (None, c), (3, c + " more"), (3, c), (2, None), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = [(r["doc_id"], lowered(r["text"])) for r in ngram_jaccard.deduplicated(df).collect()]
+    assert sorted((i or 0, t[:1]) for i, t in out) == [(0, ""), (0, "b"), (1, "a"), (2, ""), (3, "c")]
+
+
 def test_embeddings(spark):
     turn = np.random.default_rng(1)
     base = turn.standard_normal((60, 16))
