@@ -251,6 +251,16 @@ def test_language(spark, docs, documents):
     assert guessed.where("lang = lang_pred").count() >= 0.97 * guessed.count() > 0
 
 
+def test_languages_in_groups_score_as_at_once(spark, documents):
+    odd = documents.select("doc_id", "text", F.concat("lang", F.lit("-"), F.col("doc_id") % 3).alias("lang"))
+    whole, cut = ({r["doc_id"]: r for r in language.identify(odd, most).collect()} for most in (400, 5))
+    names = {r["lang"] for r in odd.select("lang").distinct().collect()}
+    assert len(names) > 10 and len(whole) == len(cut) == documents.count()
+    assert all(whole[i]["lang_pred"] == cut[i]["lang_pred"] and abs(whole[i]["score"] - cut[i]["score"]) < 1e-9 for i in whole)
+    many = spark.createDataFrame([(n, "some words here", f"l{n:03}") for n in range(600)], "doc_id long, text string, lang string")
+    assert language.identify(many).where("lang_pred like 'l%'").count() == 600
+
+
 def test_packing(docs):
     whole = Tokenizer.from_file(JSON)
     found = sorted(rows_of(packing.pack(docs, JSON, with_ids=True)), key=lambda r: (r["sequence_id"], r["offset"]))
