@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dockyard.llm import host_rules
 from dockyard.llm.secrets import RULES
 from dockyard.llm.tables import LOWER, UPPER
 
@@ -67,4 +68,49 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(b) FROM reach r WHE
 FROM sets s
 """
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_secret_scans": SECRETS, "op5_ngram_jaccard": JACCARD}
+_RAW_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_RATES = {r: f"((k_{r} + m_{r} * w_{r}) / (n + w_{r}))" for r in host_rules.RULES}
+
+
+def _prior(rule: str) -> str:
+    mean = f"(s_{rule}::DOUBLE / (h * {host_rules.UNITS})::DOUBLE)"
+    spread = f"(t_{rule}::DOUBLE / (h * {host_rules.UNITS})::DOUBLE / {host_rules.UNITS}::DOUBLE - {mean} * {mean})"
+    strongest = f"{host_rules.STRONGEST}::DOUBLE"
+    weight = f"CASE WHEN {spread} > 0 THEN least(greatest({mean} * (1::DOUBLE - {mean}) / {spread} - 1::DOUBLE, 0::DOUBLE), {strongest}) ELSE {strongest} END"
+    return f"{mean} AS m_{rule}, {weight} AS w_{rule}"
+
+
+HOSTS = f"""
+WITH split AS (
+    SELECT doc_id, nullif(regexp_extract(translate(coalesce(source, ''), '{UPPER}', '{LOWER}'), '{host_rules.HOST}', 1), '') AS host,
+           {_RAW_WORDS} AS w, coalesce(text, '') AS t,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) > 4)
+), covered AS (
+    SELECT doc_id, count(DISTINCT j) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1)
+    GROUP BY doc_id
+), counts AS (
+    SELECT s.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+           coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
+    FROM split s LEFT JOIN covered c ON c.doc_id = s.doc_id
+), hosts AS (
+    SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER ({rule}) AS k_{r}" for r, rule in host_rules.RULES.items())}
+    FROM counts WHERE host IS NOT NULL GROUP BY host
+), sums AS (
+    SELECT count(*) AS h, {", ".join(f"sum(({host_rules.UNITS} * k_{r}) // n) AS s_{r}, sum((({host_rules.UNITS} * k_{r}) // n)::HUGEINT * (({host_rules.UNITS} * k_{r}) // n)) AS t_{r}" for r in host_rules.RULES)}
+    FROM hosts
+), fitted AS (
+    SELECT {", ".join(_prior(r) for r in host_rules.RULES)} FROM sums
+), bad AS (
+    SELECT host FROM hosts, fitted WHERE greatest({", ".join(_RATES.values())}) > {host_rules.LIMIT}::DOUBLE
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host, host_failed
+FROM (SELECT *, ({") OR (".join(host_rules.RULES[r] for r in host_rules.BASE)}) AS base_failed, coalesce(host IN (SELECT host FROM bad), false) AS host_failed FROM counts)
+"""
+
+
+ORACLES = {"op1_exact_dedup": EXACT, "op4_secret_scans": SECRETS, "op5_ngram_jaccard": JACCARD, "op11_host_rules": HOSTS}

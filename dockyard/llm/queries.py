@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockyard.llm import bpe, embeddings, exact_dedup, language, ngram_jaccard, packing, quality, secrets, suffix_tree, token_counts
+from dockyard.llm import bpe, embeddings, exact_dedup, host_rules, language, ngram_jaccard, packing, quality, secrets, suffix_tree, token_counts
 from dockyard.llm.tables import read, tokenizer_path
 
 
@@ -50,4 +50,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_suffix_tree, op4_secret_scans, op5_ngram_jaccard, op6_language_id, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_byte_bpe)}
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_exact_dedup, op2_embedding_dedup, op3_suffix_tree, op4_secret_scans, op5_ngram_jaccard, op6_language_id,
+    op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_byte_bpe, op11_host_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
