@@ -113,4 +113,56 @@ FROM (SELECT *, ({") OR (".join(host_rules.RULES[r] for r in host_rules.BASE)})
 """
 
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_secret_scans": SECRETS, "op5_ngram_jaccard": JACCARD, "op11_host_rules": HOSTS}
+def _leaf(text: str) -> str:
+    columns = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}) || ':' || {c} END" for c in columns) + ")"
+
+
+_UP = "list_transform(range(0, len(a), 3), lambda i: sha256(array_to_string(a[i + 1:i + 3], '')))"
+#: The siblings before and behind the node at place p (from 0) of a level a.
+_BEFORE = "array_to_string(a[p - p % 3 + 1:p], '')"
+_AFTER = "array_to_string(a[p + 2:p - p % 3 + 3], '')"
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a short ASCII text, bit by bit."""
+    shift = "lambda c, k: xor(c // 2, CASE WHEN c % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)"
+    steps = f"lambda c, x: list_reduce(range(8), {shift}, xor(c, ascii(x)::UBIGINT))"
+    return f"xor(list_reduce(string_split({text}, ''), {steps}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, {_leaf("text")} AS leaf,
+           CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claimed,
+           (row_number() OVER (PARTITION BY source ORDER BY doc_id)) - 1 AS p
+    FROM documents
+), trees(source, level, a) AS (
+    SELECT source, 0, list(leaf ORDER BY doc_id) FROM leaves GROUP BY source
+    UNION ALL SELECT source, level + 1, {_UP} FROM trees WHERE len(a) > 1
+), subroots AS (
+    SELECT source, a[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS q FROM trees WHERE len(a) = 1
+), top(level, a) AS (
+    SELECT 0, list(subroot ORDER BY q) FROM subroots
+    UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(a) > 1
+), steps AS (
+    SELECT doc_id, level, a, p // (3 ** level)::BIGINT AS p FROM (SELECT l.doc_id, t.level, t.a, l.p FROM leaves l JOIN trees t ON t.source IS NOT DISTINCT FROM l.source WHERE len(t.a) > 1)
+    UNION ALL SELECT l.doc_id, 1000 + t.level, t.a, s.q // (3 ** t.level)::BIGINT
+    FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, top t WHERE len(t.a) > 1
+), sides AS (
+    SELECT doc_id, level, {_BEFORE} AS b, {_AFTER} AS c FROM (SELECT doc_id, level, a, p::BIGINT AS p FROM steps)
+), proofs AS (
+    SELECT doc_id, list(struct_pack(b := b, c := c) ORDER BY level) AS w FROM sides GROUP BY doc_id
+), folds(doc_id, i, d) AS (
+    SELECT doc_id, 0, claimed FROM leaves
+    UNION ALL SELECT f.doc_id, i + 1, sha256(w[i + 1].b || d || w[i + 1].c) FROM folds f JOIN proofs p ON p.doc_id = f.doc_id WHERE i < len(w)
+), folded AS (
+    SELECT doc_id, arg_max(d, i) AS d FROM folds GROUP BY doc_id
+)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT a[1] FROM top WHERE len(a) = 1) AS root,
+       sha256(coalesce(array_to_string(list_transform(w, lambda x: x.b || x.c), ''), '')) AS proof_sha256, f.d AS folded_root,
+       f.d = (SELECT a[1] FROM top WHERE len(a) = 1) AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN folded f ON f.doc_id = l.doc_id LEFT JOIN proofs p ON p.doc_id = l.doc_id
+"""
+
+ORACLES = {"op1_exact_dedup": EXACT, "op4_secret_scans": SECRETS, "op5_ngram_jaccard": JACCARD, "op11_host_rules": HOSTS, "op12_merkle_manifest": MERKLE}
