@@ -24,8 +24,9 @@ HOST = r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)"
 
 #: A host whose shrunk failure rate of any rule is above this loses its documents.
 LIMIT = 0.5
-#: The weight of a prior fitted to hosts that don't differ, in documents.
-STRONGEST = 1_000_000.0
+#: The least and the largest weight of a prior, in documents: hosts that are either clean or junk fit one of no weight, and
+#: one document of one would be a verdict; hosts that don't differ fit one of endless weight.
+WEAKEST, STRONGEST = 10.0, 1_000_000.0
 #: Rates are counted in units of this part, so their sums over hosts are exact in any order.
 UNITS = 1_000_000
 #: Parts into which the documents of one host are dealt where verdicts are too many to broadcast.
@@ -147,7 +148,7 @@ def prior(hosts: DataFrame) -> dict[str, tuple[float, float]]:
         mean = float(sums[f"s_{r}"]) / float(h * UNITS)
         spread = float(sums[f"t_{r}"]) / float(h * UNITS) / UNITS - mean * mean
         weight = mean * (1.0 - mean) / spread - 1.0 if spread > 0 else STRONGEST
-        found[r] = mean, min(max(weight, 0.0), STRONGEST)
+        found[r] = mean, min(max(weight, WEAKEST), STRONGEST)
     return found
 
 

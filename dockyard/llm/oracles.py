@@ -76,7 +76,7 @@ def _prior(rule: str) -> str:
     mean = f"(s_{rule}::DOUBLE / (h * {host_rules.UNITS})::DOUBLE)"
     spread = f"(t_{rule}::DOUBLE / (h * {host_rules.UNITS})::DOUBLE / {host_rules.UNITS}::DOUBLE - {mean} * {mean})"
     strongest = f"{host_rules.STRONGEST}::DOUBLE"
-    weight = f"CASE WHEN {spread} > 0 THEN least(greatest({mean} * (1::DOUBLE - {mean}) / {spread} - 1::DOUBLE, 0::DOUBLE), {strongest}) ELSE {strongest} END"
+    weight = f"CASE WHEN {spread} > 0 THEN least(greatest({mean} * (1::DOUBLE - {mean}) / {spread} - 1::DOUBLE, {host_rules.WEAKEST}::DOUBLE), {strongest}) ELSE {strongest} END"
     return f"{mean} AS m_{rule}, {weight} AS w_{rule}"
 
 
@@ -165,4 +165,45 @@ SELECT l.doc_id, l.leaf, s.subroot, (SELECT a[1] FROM top WHERE len(a) = 1) AS r
 FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN folded f ON f.doc_id = l.doc_id LEFT JOIN proofs p ON p.doc_id = l.doc_id
 """
 
-ORACLES = {"op1_exact_dedup": EXACT, "op4_secret_scans": SECRETS, "op5_ngram_jaccard": JACCARD, "op11_host_rules": HOSTS, "op12_merkle_manifest": MERKLE}
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v)"
+
+DIVERGENCE = f"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), occurring AS (
+    SELECT DISTINCT lang, source FROM d
+), words AS (
+    SELECT doc_id, lang, source, translate(unnest(w), '{UPPER}', '{LOWER}') AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+), langs AS (
+    SELECT lang, sum(c) AS n, count(*) AS v FROM kept GROUP BY lang
+), counts AS (
+    SELECT w.lang, w.source, w.term, count(*) AS c FROM words w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL
+), totals AS (
+    SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL
+), dense AS (
+    SELECT o.lang, o.source, k.term, coalesce(c.c, 0) AS c, k.c AS c_lang, l.n AS n_lang, coalesce(t.n, 0) AS n, l.v AS v
+    FROM occurring o JOIN kept k ON k.lang = o.lang JOIN langs l ON l.lang = o.lang
+    LEFT JOIN counts c ON c.lang = o.lang AND c.source = o.source AND c.term = k.term LEFT JOIN totals t ON t.lang = o.lang AND t.source = o.source
+), shares AS (
+    SELECT *, {_SHARE.format(n="c", total="n")} AS p, {_SHARE.format(n="c_lang", total="n_lang")} AS q FROM dense
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM occurring a JOIN occurring b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE c > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms QUALIFY rank <= 200
+"""
+
+ORACLES = {
+    "op1_exact_dedup": EXACT, "op4_secret_scans": SECRETS, "op5_ngram_jaccard": JACCARD, "op11_host_rules": HOSTS, "op12_merkle_manifest": MERKLE,
+    "op13_source_divergence": DIVERGENCE,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockyard.llm import bpe, embeddings, exact_dedup, host_rules, language, merkle, ngram_jaccard, packing, quality, secrets, suffix_tree, token_counts
+from dockyard.llm import bpe, divergence, embeddings, exact_dedup, host_rules, language, merkle, ngram_jaccard, packing, quality, secrets, suffix_tree, token_counts
 from dockyard.llm.tables import read, tokenizer_path
 
 
@@ -58,8 +58,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_exact_dedup, op2_embedding_dedup, op3_suffix_tree, op4_secret_scans, op5_ngram_jaccard, op6_language_id,
     op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_byte_bpe, op11_host_rules, op12_merkle_manifest,
+    op13_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
