@@ -107,8 +107,26 @@ def byte_level_starts(block: Block) -> np.ndarray:
     return start
 
 
+def same_bytes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the ranges lo to hi of ``data`` hold what the ranges first to last of ``other`` hold; no range is empty."""
+    sizes = hi - lo
+    same = sizes == last - first
+    some = np.flatnonzero(same)
+    if len(some):
+        sizes = sizes[some]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        at = np.arange(ends[-1])
+        differs = data[np.repeat(lo[some] - begins, sizes) + at] != other[np.repeat(first[some] - begins, sizes) + at]
+        same[some] = np.add.reduceat(differs, begins) == 0
+    return same
+
+
 class Cache:
-    """What an encoder gives for each piece (a row of numbers), kept by the piece's code; forgotten when full."""
+    """What an encoder gives for each piece (a row of numbers), kept by the piece's code; forgotten when full.
+
+    A code only finds a row: what counts is that the bytes are the same. A piece whose code belongs to another one is encoded by itself.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20):
         """``encode`` gives all pieces' numbers in a row and how many each has."""
@@ -120,6 +138,8 @@ class Cache:
         self.rows = np.zeros(0, np.int64)  # the row of each code
         self.flat = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)  # where rows begin in flat
+        self.raw = np.zeros(0, np.uint8)  # the pieces' bytes, row by row
+        self.ends = np.zeros(1, np.int64)  # where rows begin in raw
 
     def look(self, data: np.ndarray, codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The row of each piece; unknown pieces are encoded, each once."""
@@ -132,16 +152,28 @@ class Cache:
         known[inside] = self.codes[place[inside]] == distinct[inside]
         new = at[~known]
         if len(new):
-            raw = data.tobytes()
-            flat, sizes = self.encode([raw[a:b] for a, b in zip(lo[new].tolist(), hi[new].tolist(), strict=True)])
-            rows = len(self.starts) - 1 + np.arange(len(new))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-            self.flat = np.concatenate((self.flat, flat))
+            rows = self._encoded(data, lo[new], hi[new])
             codes = np.concatenate((self.codes, distinct[~known]))
             order = np.argsort(codes, kind="stable")
             self.codes, self.rows = codes[order], np.concatenate((self.rows, rows))[order]
             place = np.searchsorted(self.codes, distinct)
-        return self.rows[place][back]
+        rows = self.rows[place][back]
+        other = np.flatnonzero(~same_bytes(data, lo, hi, self.raw, self.ends[rows], self.ends[rows + 1]))
+        if len(other):
+            rows[other] = self._encoded(data, lo[other], hi[other])
+        return rows
+
+    def _encoded(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """New rows for these pieces."""
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        flat, sizes = self.encode(pieces)
+        rows = len(self.starts) - 1 + np.arange(len(pieces))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, flat))
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(pieces), np.uint8)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(hi - lo)))
+        return rows
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of these rows one after the other, and where each row's begin (len + 1 entries)."""

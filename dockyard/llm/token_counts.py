@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockyard.llm.pretokens import Block, Cache, blocks
+from dockyard.llm.pretokens import Block, Cache, blocks, same_bytes
 from dockyard.llm.tables import vocabulary
+from dockyard.llm.words import hash_spans
 
 #: Entries of the broadcast table (12 bytes each), and of each task's summary.
 TABLE = 1 << 15
@@ -61,37 +62,36 @@ def _blocks(texts: list[str]):
     return blocks([f" {t}" if t else "" for t in texts])
 
 
-def frequent(docs: DataFrame, model: PieceModel, size: int = TABLE, summary: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (sorted) and token counts of the most frequent pre-tokens of all texts."""
+def frequent(docs: DataFrame, model: PieceModel, size: int = TABLE, summary: int = SUMMARY) -> tuple[np.ndarray, ...]:
+    """The most frequent pre-tokens of all texts by their codes: codes, token counts, their bytes, and where each one's begin and end."""
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[int, tuple[int, bytes]] = {}
+        words: dict[bytes, int] = {}
         for frame in frames:
             for _, block, _ in _blocks(frame["text"].tolist()):
                 codes, lo, hi, _ = block.pieces(word_starts(block))
                 codes, at, counts = np.unique(codes, return_index=True, return_counts=True)
                 best = np.argsort(-counts, kind="stable")[:summary]
                 raw = block.data.tobytes()
-                for code, a, b, n in zip(codes[best].tolist(), lo[at[best]].tolist(), hi[at[best]].tolist(), counts[best].tolist(), strict=True):
+                for a, b, n in zip(lo[at[best]].tolist(), hi[at[best]].tolist(), counts[best].tolist(), strict=True):
                     if b - a <= LONGEST:
-                        held = words.get(code)
-                        words[code] = (n, raw[a:b]) if held is None else (held[0] + n, held[1])
+                        words[raw[a:b]] = words.get(raw[a:b], 0) + n
                 if len(words) > 8 * summary:
-                    words = dict(sorted(words.items(), key=lambda x: -x[1][0])[: 2 * summary])
-        top = sorted(words.values(), key=lambda x: -x[0])[:summary]
-        yield pd.DataFrame({"word": [w for _, w in top], "n": [n for n, _ in top]}, columns=["word", "n"]).astype({"n": "int64"})
+                    words = dict(sorted(words.items(), key=lambda x: -x[1])[: 2 * summary])
+        top = sorted(words.items(), key=lambda x: -x[1])[:summary]
+        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]}, columns=["word", "n"]).astype({"n": "int64"})
 
     found = docs.mapInPandas(local, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     words = [bytes(r["word"]) for r in found.collect()]
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes, _ = model.lengths(words)
-    ends = np.cumsum([len(w) for w in words])
-    from dockyard.llm.words import hash_spans
-
-    codes = hash_spans(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
-    order = np.argsort(codes)
-    return codes[order], sizes[order].astype(np.int32)
+    raw, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = np.append(0, ends[:-1])
+    codes = hash_spans(raw, starts, ends)
+    # Of words with one code the first counts; the others are looked up as words that the table lacks.
+    codes, order = np.unique(codes, return_index=True)
+    return codes, sizes[order].astype(np.int32), raw, starts[order], ends[order]
 
 
 def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -106,7 +106,7 @@ def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     table = spark.sparkContext.broadcast(frequent(source.select("text"), PieceModel(held.value)))
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sizes = table.value
+        known, sizes, raw, first_byte, last_byte = table.value
         cache = Cache(PieceModel(held.value).lengths)
         for frame in frames:
             totals = np.zeros(len(frame), np.int64)
@@ -117,6 +117,9 @@ def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
                     miss = known[at] != codes
+                    hit = np.flatnonzero(~miss)
+                    word = at[hit]
+                    miss[hit] = ~same_bytes(block.data, lo[hit], hi[hit], raw, first_byte[word], last_byte[word])
                     tokens = np.where(miss, 0, sizes[at]).astype(np.int64)
                 if miss.any():
                     rows = cache.look(block.data, codes[miss], lo[miss], hi[miss])

@@ -1,7 +1,8 @@
 """Vectorised word hashing for tasks: whole texts in, numpy arrays out.
 
 A word is a maximal run of characters other than space and U+0009 to U+000D; A-Z are lower-cased,
-nothing else. A word's code is a 64-bit polynomial hash of its UTF-8 bytes, finished by a mixer.
+nothing else. A word's code is the sum of one random 64-bit number per (byte, place in the word), finished by a mixer:
+no algebra of powers links the places, so words that differ have codes that differ but for a chance of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import numpy as np
 
 #: Bytes of text hashed at once; a longer text makes a block of its own, so memory follows the longest text.
 BLOCK_BYTES = 1 << 21
-_MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 _BLANK = np.zeros(256, bool)
@@ -32,19 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power_table(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the multiplier (up) or of its inverse modulo 2**64 (down); grown on demand."""
-    if len(_powers[kind]) < n:
-        base = _MULTIPLIER if kind == "up" else pow(_MULTIPLIER, -1, 1 << 64)
-        size = max(n, BLOCK_BYTES + 64)
-        table = np.full(size, base, np.uint64)
-        table[0] = 1
-        _powers[kind] = np.multiply.accumulate(table)
-    return _powers[kind][:n]
+#: Numbers for the 256 bytes at each of 64 places; a byte further on takes the number of its place modulo 64, mixed with the rest.
+PLACES = 64
+_NUMBERS = mix(mix(np.arange(1, 256 * PLACES + 1, dtype=np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
 
 
 def blocks(texts: Sequence[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -76,11 +66,20 @@ def spans(raws: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit codes of the byte ranges, the same for the same bytes anywhere."""
+    """64-bit codes of the byte ranges (in order, not overlapping), the same for the same bytes anywhere."""
     n = len(data)
+    begin = np.zeros(n, np.int32)
+    begin[starts] = starts
+    place = np.arange(n, dtype=np.int32)
+    place -= np.maximum.accumulate(begin)
+    values = _NUMBERS[((place & (PLACES - 1)) << 8) | data]
+    # Bytes behind a blank count on from the word before; they are in no range.
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        values[far] = mix(values[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power_table("up", n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power_table("down", n)[starts])
+    np.cumsum(values, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def word_codes(raws: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
