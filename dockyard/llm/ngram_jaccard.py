@@ -8,8 +8,13 @@ Only rows that can reach the threshold are multiplied. The steps:
    whatever the order is; passages that many documents repeat so stay out of nearly all heads.
 3. Columns of the head incidence are streamed, sorted by n-gram. A column's pairs are accumulated to overlap
    counts, and pairs whose sizes or counts exclude the threshold go. A column of more than COLUMN documents
-   gives no pairs: its documents are chained to one community instead.
-4. Communities (components of the surviving pairs and chains) are sorted by size and cut into blocks, by number
+   gives no pairs, so an entry never gives more than COLUMN / 2 of them; its documents are crowded ones.
+4. For the crowded documents alone the n-grams are counted, and those that more than COLUMN of them hold are put last
+   in a new order, by a bitmap of fixed size. Their heads by that order are streamed in the same way, and documents
+   of one column beyond COLUMN are now chained to one community: they hold hardly an n-gram that isn't common, as near copies do,
+   while a passage shared by documents that differ otherwise has left their heads. Any two crowded documents
+   that are similar share a column of this order; others have shared a smaller column of the first one.
+5. Communities (components of the surviving pairs and chains) are sorted by size and cut into blocks, by number
    of documents and by number of n-grams, so that a task's memory doesn't follow the documents' length. Two
    blocks whose size ranges can match are multiplied in one task from whole sets, which decides every pair
    exactly once. A task gives each document's number of links and a spanning forest of them, never all pairs.
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockyard.llm.components import components
+from dockyard.llm.components import components, hub_join
 from dockyard.llm.exact_dedup import one_each
 from dockyard.llm.tables import fresh, keep, lowered
 from dockyard.llm.words import blocks, shingle_sets
@@ -33,8 +38,10 @@ from dockyard.llm.words import blocks, shingle_sets
 HOT_SHARE = 0.0002
 #: The most hot n-grams that are broadcast (16 bytes each); the share is raised until the bound holds.
 HOT_MOST = 1 << 20
-#: Columns with more documents are chained, not paired.
-COLUMN = 512
+#: Columns with more documents give no pairs: their documents are crowded.
+COLUMN = 32
+#: Bits of the bitmap of n-grams that many crowded documents hold (16 MB). It may mark others; the order stays one for all.
+COMMON_BITS = 27
 #: Documents in a block of the product.
 BLOCK = 2048
 #: N-grams in a block of the product (8 bytes each, in several arrays); a set of more makes a block of its own.
@@ -62,16 +69,60 @@ class Ratio:
         return ((a + b) * self.num + self.den + self.num - 1) // (self.den + self.num)
 
 
-def ordered(codes: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Keys that sort as the n-grams' global order and stay distinct: the magnitude of a hot one's count, then its hash."""
+def ordered(codes: np.ndarray, hot: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """Keys that sort as the n-grams' global order and stay distinct: the magnitude of a hot one's count, then its hash.
+
+    N-grams marked in the bitmap ``common`` stand behind all unmarked ones, before the hot ones.
+    """
     keys = codes >> np.uint64(64 - int(_HASH_BITS))
+    if common is not None:
+        keys[_marks(common, codes)] |= np.uint64(1) << _HASH_BITS
     if len(hot) and len(codes):
         at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
         found = hot[at] == codes
+        # A magnitude is 2 at least, so that hot n-grams follow the common ones.
+        keys[found] &= (np.uint64(1) << _HASH_BITS) - np.uint64(1)
         keys[found] |= counts[at[found]] << _HASH_BITS
     return np.sort(keys)
 
 
+def _marks(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes & np.uint64((1 << COMMON_BITS) - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def common_ngrams(docs: DataFrame, n: int, most: int):
+    """A broadcast bitmap of the n-grams that more than ``most`` rows of ``docs`` hold, counted exactly.
+
+    A task adds up what it meets before anything is shuffled, so copies in one task cost one entry.
+    """
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def combined() -> pd.DataFrame:
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"code": codes.view(np.int64), "n": counts.astype(np.int32)})
+
+        for frame in frames:
+            for _, found in _texts(frame, n):
+                held.append(found)
+                size += len(found)
+                if size > 1 << 22:
+                    yield combined()
+                    held, size = [], 0
+        if size:
+            yield combined()
+
+    counts = docs.mapInPandas(local, "code long, n int").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    at = F.col("code").bitwiseAND(F.lit((1 << COMMON_BITS) - 1))
+    words = at.alias("at")
+    words = counts.select(words).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (COMMON_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return docs.sparkSession.sparkContext.broadcast(out)
+
+
 def _texts(frame: pd.DataFrame, n: int) -> Iterator[tuple[int, np.ndarray]]:
     for first, raws in blocks(frame["text"].tolist()):
         for i, codes in enumerate(shingle_sets(raws, n), first):
@@ -135,10 +186,11 @@ def _digest(codes: np.ndarray) -> bytes:
     return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
 
 
-def heads(docs: DataFrame, n: int, ratio: Ratio, hot) -> DataFrame:
+def heads(docs: DataFrame, n: int, ratio: Ratio, hot, common=None) -> DataFrame:
     """Per row: id, key (of its text), n_shingles, digest (of its set), code (the digest's first 64 bits) and head.
 
     A task gives the head of equal sets once, or again after SEEN other sets; their later rows have a null head.
+    ``common`` is the bitmap of the second order.
     """
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +205,7 @@ def heads(docs: DataFrame, n: int, ratio: Ratio, hot) -> DataFrame:
                 digests.append(digest)
                 codes.append(int.from_bytes(digest[:8], "little", signed=True) if size else 0)
                 new = size > 0 and digest not in seen
-                found.append(ordered(grams, hot_codes, counts)[: ratio.head(size)].view(np.int64) if new else None)
+                found.append(ordered(grams, hot_codes, counts, common and common.value)[: ratio.head(size)].view(np.int64) if new else None)
                 if new:
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -345,19 +397,27 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     classes = keep(classes, "classes")
     # Columns name a set by its code, which every copy knows, so heads needn't meet their classes. Sets whose codes
     # are equal by chance come into one community; whole sets decide there.
-    entries = rows.where("head is not null").select(F.explode("head").alias("gram"), F.col("code").alias("cls"), F.col("n_shingles").cast("int").alias("n"))
-    found = keep(
-        entries.repartition("gram").sortWithinPartitions("gram", "cls")
-        .mapInPandas(_columns(ratio), "a long, b long, na int, nb int"),
-        "columns",
-    )
-    head = "greatest(na - (na * {0} + {1} - 1) div {1} + 1, 0)".format(num, den), "greatest(nb - (nb * {0} + {1} - 1) div {1} + 1, 0)".format(num, den)
-    pairs = (
-        found.where("na >= 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    def streamed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The columns of these heads, and the pairs of small ones that counts and sizes don't exclude."""
+        entries = rows.where("head is not null").select(F.explode("head").alias("gram"), F.col("code").alias("cls"), F.col("n_shingles").cast("int").alias("n"))
+        found = entries.repartition("gram").sortWithinPartitions("gram", "cls").mapInPandas(_columns(ratio), "a long, b long, na int, nb int")
+        found = keep(found, name)
+        head = (f"greatest({x} - ({x} * {num} + {den} - 1) div {den} + 1, 0)" for x in ("na", "nb"))
+        shared = found.where("na >= 0").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         # What a pair shares lies in both heads or behind the end of one of them.
-        .where(F.expr(f"shared + greatest(na - {head[0]}, nb - {head[1]}) >= ((na + nb) * {num} + {den + num - 1}) div {den + num}"))
-        .select("a", "b")
-    )
+        reach = F.expr(f"shared + greatest(na - {next(head)}, nb - {next(head)}) >= ((na + nb) * {num} + {den + num - 1}) div {den + num}")
+        return found, shared.where(reach).select("a", "b")
+
+    found, pairs = streamed(rows, "columns")
+    crowded = found.where("na < 0").select(F.explode(F.array("a", "b")).alias("code")).distinct()
+    crowded = keep(classes.join(crowded, "code", "left_semi").select(F.col("least").alias("id"), "key"), "crowded")
+    if not crowded.isEmpty():
+        # One row of each crowded set, and a few others that the filter lets through: they only make the superset larger.
+        some = _marked(source, crowded, "key", "id")
+        common = common_ngrams(some.select("text"), n, COLUMN)
+        again = keep(heads(some, n, ratio, hot, common), "crowded-heads")
+        found, more = streamed(again, "crowded-columns")
+        pairs = pairs.unionByName(more)
     chains = found.where("na < 0 and a <> b").select("a", "b").distinct()
     member = components(pairs.unionByName(chains)).select(F.col("node").alias("code"), F.col("root").alias("community"))
 
@@ -387,9 +447,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     linked = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     linked = keep(linked.join(degree, "cls", "left"), "linked")
     # A class's number is its first row by (no id, id, row); so is the number of the component's first class.
-    least = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("m"))
-    least = least.select("root", F.col("m.least").alias("component_id"), F.col("m.cls").alias("first_row"))
-    answer = linked.join(least, "root").select("digest", F.col("cls").alias("class_id"), "component_id", "first_row", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("m"), F.count("*").alias("n"))
+    least = least.select("root", F.col("m.least").alias("component_id"), F.col("m.cls").alias("first_row"), "n")
+    answer = hub_join(linked, least, "root", linked.count()).select("digest", F.col("cls").alias("class_id"), "component_id", "first_row", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # Rows without shingles have no digest; they keep out of the join, where they would be one key.
     some = rows.where("digest is not null").join(answer, "digest").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links", "row", "first_row", "key")
     none = rows.where("digest is null").select(F.col("id").alias("doc_id"), "n_shingles", F.col("id").alias("component_id"), F.col("row").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row", F.col("row").alias("first_row"), "key")
