@@ -36,6 +36,12 @@ class Rule:
 
 #: What may stand between a key's BEGIN and END lines: base64, header fields, line breaks (escaped ones too), marks of quotes and comments.
 _KEY_BODY = r"""[A-Za-z0-9+/=\x20\t\r\n:,\\"'>#*|-]*"""
+#: Where no END line follows, only what can't be prose is the key's: header fields and runs of base64 behind line breaks or blanks
+#: (escaped ones too, whose n the run takes in), and behind such a run a short one that no word looks like. A key has 147 lines at most; engines that
+#: both must read the pattern allow no larger bounds on nested repeats than these.
+_KEY_BREAK = r"""[\x20\t\r\n"'>#*|\\]*(?:r\\+)?"""
+_KEY_LINE = rf"""(?:{_KEY_BREAK}(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*|[A-Za-z0-9+/=]{{20,}}),?)"""
+_KEY_LINES = rf"""{_KEY_LINE}{{1,49}}{_KEY_LINE}{{0,49}}{_KEY_LINE}{{0,49}}(?:{_KEY_BREAK}[A-Za-z]*[0-9+/=][A-Za-z0-9+/=]*)?(?:[\r\n]+$)?"""
 
 #: In the order in which spans with the same start are listed.
 #: A maximal run of 16 or more is the same match as a run of any length that is dropped below 16 (hex, access);
@@ -47,8 +53,8 @@ RULES = (
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    # The whole block; one without an END line reaches as far as its body can.
-    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_KEY_BODY}?-----END [A-Z ]{{0,30}}PRIVATE KEY-----|{_KEY_BODY})"),
+    # The whole block; one without an END line reaches as far as its lines do.
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_KEY_BODY}?-----END [A-Z ]{{0,30}}PRIVATE KEY-----|{_KEY_LINES})?"),
 )
 
 _MOST = 64  # alternatives that a derivation keeps apart
