@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -14,10 +15,15 @@ ONE_DAY = timedelta(days=1)
 LOCAL_OFFSET = "+08:00"
 
 _DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
-_PADDED_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-_ISO_MINUTES = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?$"
-_OFFSET = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
-_BASIC = r"^([0-9]{4})([0-9]{2})([0-9]{2})([T ]([0-9]{2})([0-9]{2})([0-9]{2}))?$"
+# Year, month, day; hours, minutes, seconds and fraction; offset. Separators are groups too, so one match tells every format apart.
+_MOMENT = (
+    "^([0-9]{4})(-?)([0-9]{1,2})(-?)([0-9]{1,2})"
+    "(?:[T ]([0-9]{2})(:?)([0-9]{2})(?:(:?)([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?"
+    "(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+)
+_PARTS = ["year", "sep1", "month", "sep2", "day", "hour", "sep3", "minute", "sep4", "second", "fraction", "offset"]
+# Stands between the parts of a matched text; a text that holds it is no time.
+_MARK = "\u0001"
 
 
 def time_literal(value: datetime, data_type: DataType = TimestampNTZType()) -> Column:
@@ -42,29 +48,58 @@ def wall_text(ts: Column) -> Column:
     return ts.cast("timestamp_ntz").cast("string")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def iso_text(ts: Column) -> Column:
     """Naive ISO text; the fraction is written, with six digits, only when it is not zero."""
     text = F.translate(wall_text(ts), " ", "T")
-    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
+    return bound(text, lambda t: F.when(F.length(t) > 19, F.rpad(t, 26, "0")).otherwise(t))
+
+
+def _moment(text: Column, body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the parts of a date or date-time text, which is matched once; NULL for any other text."""
+    marked = F.regexp_replace(text, _MOMENT, _MARK + _MARK.join(f"${i}" for i in range(1, len(_PARTS) + 1)))
+
+    def read(parts: Column) -> Column:
+        named = {name: F.get(parts, F.lit(i + 1)) for i, name in enumerate(_PARTS)}
+        return F.when(F.size(parts) == len(_PARTS) + 1, body(named))
+
+    return F.when(~F.contains(text, F.lit(_MARK)), bound(F.split(marked, _MARK, -1), read))
+
+
+def _instant(part: dict[str, Column]) -> Column:
+    """The wall clock of a padded date, of a date-time or of its basic form; with an offset it is the UTC one."""
+    dated = (F.length(part["month"]) == 2) & (F.length(part["day"]) == 2)
+    timed, full = part["hour"] != "", part["second"] != ""
+    extended = (part["sep1"] == "-") & (part["sep2"] == "-") & (~timed | ((part["sep3"] == ":") & (~full | (part["sep4"] == ":"))))
+    # An offset needs a time.
+    extended = extended & (timed | (part["offset"] == ""))
+    basic = (part["sep1"] == "") & (part["sep2"] == "") & (part["offset"] == "")
+    basic = basic & (~timed | ((part["sep3"] == "") & (part["sep4"] == "") & full & (part["fraction"] == "")))
+    clock = F.concat(
+        part["year"], F.lit("-"), part["month"], F.lit("-"), part["day"], F.lit("T"), F.when(timed, part["hour"]).otherwise("00"), F.lit(":"),
+        F.when(timed, part["minute"]).otherwise("00"), F.lit(":"), F.when(full, part["second"]).otherwise("00"),
+        F.when(part["fraction"] != "", F.concat(F.lit("."), part["fraction"])).otherwise(""),
+    )
+    ts = clock.try_cast("timestamp_ntz")
+    digits = F.translate(part["offset"], "Z:", "")
+    minutes = (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")) * F.when(digits.startswith("-"), -1).otherwise(1)
+    utc = F.when(digits == "", ts).otherwise(ts - F.make_dt_interval(mins=minutes))
+    return F.when(dated & (extended | basic), utc)
 
 
 def naive_timestamp(text: Column) -> Column:
     """ISO date or date-time text as ``timestamp_ntz``, NULL when it is none. With ``Z`` or an offset it is the UTC wall clock."""
-    shown = F.regexp_extract(text, _OFFSET, 1)
-    clock = F.regexp_replace(text, _OFFSET, "")
-    part = lambda first: F.substring(F.translate(shown, "Z:", ""), first, 2).try_cast("int")
-    minutes = F.coalesce(part(2) * 60 + part(4), F.lit(0)) * F.when(shown.startswith("-"), -1).otherwise(1)
-    utc = F.translate(clock, ",", ".").try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes)
-    aware = F.when(text.rlike(_OFFSET) & clock.rlike(_ISO_MINUTES), utc)
-    basic = F.when(
-        text.rlike(_BASIC),
-        F.concat(
-            F.regexp_replace(text, _BASIC, "$1-$2-$3"),
-            F.when(F.length(text) > 8, F.regexp_replace(text, _BASIC, "T$5:$6:$7")).otherwise(""),
-        ),
-    )
-    plain = F.when(text.rlike(_PADDED_DATE) | text.rlike(_ISO_MINUTES), F.translate(text, ",", "."))
-    return F.coalesce(F.coalesce(plain, basic).try_cast("timestamp_ntz"), aware)
+    return _moment(text, _instant)
+
+
+def _end_of_day(part: dict[str, Column]) -> Column:
+    alone = (part["sep1"] == "-") & (part["sep2"] == "-") & (part["hour"] == "") & (part["offset"] == "")
+    day = F.concat(part["year"], F.lit("-"), part["month"], F.lit("-"), part["day"]).try_cast("date")
+    return F.when(alone, F.concat(day.cast("string"), F.lit("T23:59:59")))
 
 
 def normalise_expiry(text: Column, now: Column, ttl: timedelta = ONE_DAY) -> Column:
@@ -73,10 +108,8 @@ def normalise_expiry(text: Column, now: Column, ttl: timedelta = ONE_DAY) -> Col
     Blank means ``now + ttl``; an ISO date or date-time stands for itself, one with an offset for its UTC wall clock; an
     unpadded date means the end of that day; anything else gives NULL and belongs in quarantine.
     """
-    end_of_day = F.concat(_date_of(text).cast("string"), F.lit("T23:59:59"))
-    return F.when(text.isNull() | (text == ""), iso_text(now + F.lit(ttl))).otherwise(
-        F.coalesce(iso_text(naive_timestamp(text)), end_of_day)
-    )
+    read = _moment(text, lambda part: F.coalesce(iso_text(_instant(part)), _end_of_day(part)))
+    return F.when(text.isNull() | (text == ""), iso_text(now + F.lit(ttl))).otherwise(read)
 
 
 def received_at_local(received_at: Column, naive_utc: bool = True) -> Column:

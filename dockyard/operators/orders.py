@@ -18,7 +18,7 @@ from ..schema import (
     TOP_KEYS,
     VOLUME_KEYS,
 )
-from .lookup import resolve_codes
+from .lookup import resolve_codes, resolve_codes_as_of
 
 # Leaves land as text. Objects land as maps so that an absent key and a null value stay apart.
 _DOCUMENT = ", ".join(
@@ -119,9 +119,21 @@ def flatten_orders(parsed: DataFrame, keep: list[str] | None = None) -> DataFram
     return good.select(*(keep or []), *[cell(c).alias(c) for c in ORDER_COLUMNS], stamp)
 
 
+LOCATION_CODES = ["homebaseId", "locationId"]
+
+
 def land_orders(parsed: DataFrame, dictionary: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Flat rows with both location codes resolved."""
-    return resolve_codes(flatten_orders(parsed, keep), dictionary, ["homebaseId", "locationId"])
+    """Flat rows with both location codes resolved; of a code's rows the one with the largest ``pos`` counts, if there is one."""
+    return resolve_codes(flatten_orders(parsed, keep), dictionary, LOCATION_CODES, pos=_position(dictionary))
+
+
+def land_orders_as_of(parsed: DataFrame, versions: DataFrame, keep: list[str]) -> DataFrame:
+    """The same with the names that were valid at each order's ``received_at``."""
+    return resolve_codes_as_of(flatten_orders(parsed, keep), versions, LOCATION_CODES, "received_at", pos=_position(versions))
+
+
+def _position(dictionary: DataFrame) -> str | None:
+    return "pos" if "pos" in dictionary.columns else None
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ A null, blank or (numeric) zero key is never a duplicate.
 A count per key, which combines before its shuffle, sorts the keys into three kinds. A key seen once
 is decided from that count alone. A key with few arrivals is folded inside one row, in one linear pass. A TTL is
 elapsed time in every branch, so the kinds agree whatever the session time zone is; only the plan depends on the bound.
-The arrivals of a key with more than ``group_bound`` are never gathered: they go to a table cut into
-time buckets of one TTL. Accepted arrivals lie at least one TTL apart, so a bucket holds at most one
-per key, and that one is a plain minimum over the arrivals past the expiry: an aggregate that
-combines before its shuffle, however many rows the key has. Buckets are walked in time order with
-one state row per hot key.
+The arrivals of a key with more than ``group_bound`` are never gathered: they are sorted into chunks of
+(key, time), as many as it takes. An arrival's successor is the first one at or after its expiry. A task follows the
+successors inside its chunk; what leaves a chunk is, for each arrival of its first TTL (no other can be the
+first accepted one there), when the key is open again. An as-of join links these entries from chunk to chunk, and pointer
+doubling marks the ones that the key's first arrival leads to: rounds grow with the logarithm of the chunks a key
+passes, or of its time span in TTLs where that is less.
 """
 
 from __future__ import annotations
@@ -19,19 +20,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StructType
 
 from ..functions.times import ONE_DAY, elapsed_after, instant_micros, time_literal
 from ..session import materialise, new_folder
+from .asof import asof_join
+from .links import walk
 
 # Most arrivals of one key that are gathered into one row.
 GROUP_BOUND = 20_000
 
-# Most folders the arrivals of hot keys are cut into; a folder holds one or more whole buckets.
-MOST_SHELVES = 1_000
+# Arrivals of hot keys that one task sorts and follows, 16 bytes each and what the key and the sequence number take.
+CHUNK_ROWS = 1 << 21
 
 _NEVER = datetime(9999, 12, 31)
 
@@ -44,6 +50,7 @@ def classify_arrivals(
     ttl: timedelta = ONE_DAY,
     ledger: DataFrame | None = None,
     group_bound: int = GROUP_BOUND,
+    chunk_rows: int | None = None,
     work: str | None = None,
 ) -> DataFrame:
     """Every arrival as ``(key, ts, seq, accepted)``.
@@ -54,7 +61,7 @@ def classify_arrivals(
     may be overwritten once the result has been stored; by default each call takes a new one.
     """
     narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
-    verdicts = _union(_decide(narrow, ttl, ledger, group_bound, work))
+    verdicts = _union(_decide(narrow, ttl, ledger, group_bound, chunk_rows or CHUNK_ROWS, work))
     return verdicts.withColumnsRenamed({"k": key, "ts": ts, "seq": seq})
 
 
@@ -66,11 +73,12 @@ def accepted_arrivals(
     ttl: timedelta = ONE_DAY,
     ledger: DataFrame | None = None,
     group_bound: int = GROUP_BOUND,
+    chunk_rows: int | None = None,
     work: str | None = None,
 ) -> DataFrame:
     """The accepted arrivals only, as ``(key, ts, seq)``."""
     narrow = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(seq).alias("seq"))
-    accepted = _union(_decide(narrow, ttl, ledger, group_bound, work, accepted_only=True))
+    accepted = _union(_decide(narrow, ttl, ledger, group_bound, chunk_rows or CHUNK_ROWS, work, accepted_only=True))
     return accepted.drop("accepted").withColumnsRenamed({"k": key, "ts": ts, "seq": seq})
 
 
@@ -99,6 +107,7 @@ def _decide(
     ttl: timedelta,
     ledger: DataFrame | None,
     bound: int,
+    chunk_rows: int,
     work: str | None,
     accepted_only: bool = False,
 ) -> list[DataFrame]:
@@ -116,7 +125,7 @@ def _decide(
     kind = F.when(F.col("n") == 1, "one").when(F.col("n") <= bound, "few").otherwise("hot")
     _replace(counts.withColumn("kind", kind), "kind", kinds)
     by_kind = spark.read.schema(counts.schema).option("basePath", kinds)
-    present = {r["kind"] for r in spark.read.schema("kind string").parquet(kinds).distinct().collect()}
+    present = {r["kind"]: r["n"] for r in spark.read.schema("kind string, n long").parquet(kinds).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
 
     # Only ledger rows of keys that arrived matter; a small set of keys filters the ledger where it lies.
     expiry = None
@@ -131,7 +140,7 @@ def _decide(
     if "hot" in present:
         # Taken out before the other keys are shuffled, so that no shuffle on the key meets a hot one.
         hot_keys = by_kind.parquet(f"{kinds}/kind=hot").select("k")
-        rows, kept = _walk_buckets(keyed.join(hot_keys, "k", "left_semi"), ttl, expiry, bound, f"{work}/hot")
+        rows, kept = _follow_chunks(keyed.join(hot_keys, "k", "left_semi"), ttl, expiry, present["hot"] // chunk_rows + 1, f"{work}/hot")
         keyed = keyed.join(hot_keys, "k", "left_anti")
         taken = kept.withColumn("accepted", F.lit(True))
         if accepted_only:
@@ -202,82 +211,113 @@ def _exploded(folded: DataFrame) -> DataFrame:
     return folded.select("k", F.explode("kept").alias("a")).select("k", "a.ts", "a.seq")
 
 
-def _walk_buckets(
-    hot: DataFrame, ttl: timedelta, expiry: DataFrame | None, bound: int, folder: str
-) -> tuple[DataFrame, DataFrame]:
-    """``(rows, kept)`` of the hot keys. Each step reads only its own time buckets."""
-    spark = hot.sparkSession
+def _follow_chunks(hot: DataFrame, ttl: timedelta, expiry: DataFrame | None, parts: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, kept)`` of the hot keys, followed in ``parts`` chunks."""
+    rows = hot
+    if expiry is not None:
+        # What comes before an earlier acceptance has expired starts nothing.
+        rows = hot.join(expiry, "k", "left").where(F.col("open_at").isNull() | (F.col("ts") >= F.col("open_at"))).select("k", "ts", "seq")
     width = ttl // timedelta(microseconds=1)
-    bucketed = hot.withColumn("bucket", F.floor(instant_micros(F.col("ts"), hot.schema["ts"].dataType) / width).cast("long"))
-    span = bucketed.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
-    per_shelf = (span["high"] - span["low"]) // MOST_SHELVES + 1
-    shelved = bucketed.withColumn("shelf", F.floor(F.col("bucket") / per_shelf).cast("long"))
-    # Rebalancing splits a shelf over many files when it is large and joins small ones.
-    _replace(shelved.hint("rebalance", "shelf"), "shelf", f"{folder}/rows")
-    rows = spark.read.schema(shelved.schema).parquet(f"{folder}/rows")
-
-    state = rows.select("k").distinct()
-    if expiry is None:
-        state = state.withColumn("open_at", F.lit(None).cast(rows.schema["ts"].dataType))
-    else:
-        state = state.join(expiry, "k", "left")
-    state = materialise(state, f"{folder}/start")
-
-    steps = []
-    for part, is_one_bucket in _steps(rows, bound):
-        part = part.select("k", "ts", "seq")
-        won = _first_open(part, state, ttl) if is_one_bucket else _fold(part, ttl, state)
-        won = won.select("k", "kept", F.col("open_at").alias("moved_to"))
-        after = state.join(won, "k", "left").select(
-            "k", F.coalesce("moved_to", "open_at").alias("open_at"), "kept"
-        )
-        steps.append(f"{folder}/step={len(steps)}")
-        after = materialise(after, steps[-1])
-        state = after.select("k", "open_at")
-    kept = spark.read.schema(after.schema).parquet(*steps)
-    return rows.select("k", "ts", "seq"), _exploded(kept)
-
-
-def _steps(rows: DataFrame, bound: int) -> Iterator[tuple[DataFrame, bool]]:
-    """The rows in consecutive pieces of time: whole shelves, or buckets of a shelf that is too full."""
-    for low, high, fits in _pack(_profile(rows, "shelf"), bound):
-        shelves = rows.where(F.col("shelf").between(low, high))
-        if fits:
-            yield shelves, False
-            continue
-        for first, last, fits in _pack(_profile(shelves, "bucket"), bound):
-            yield shelves.where(F.col("bucket").between(first, last)), not fits
-
-
-def _profile(rows: DataFrame, piece: str) -> list[tuple[int, int]]:
-    """Per piece of time the arrivals of its fullest key: one number per piece comes to the driver."""
-    fullest = rows.groupBy(piece, "k").agg(F.count("*").alias("n")).groupBy(piece).agg(F.max("n").alias("n"))
-    return [(r[piece], r["n"]) for r in fullest.orderBy(piece).collect()]
-
-
-def _first_open(part: DataFrame, state: DataFrame, ttl: timedelta) -> DataFrame:
-    """Per key the first arrival of one bucket that is past the expiry."""
-    is_open = F.col("open_at").isNull() | (F.col("ts") >= F.col("open_at"))
-    first = F.min(F.struct("ts", "seq")).alias("a")
-    expires = elapsed_after(F.col("a.ts"), ttl, part.schema["ts"].dataType)
-    return (
-        part.join(state, "k").where(is_open).groupBy("k").agg(first)
-        .select("k", F.array("a").alias("kept"), expires.alias("open_at"))
-    )
-
-
-def _pack(profile: list[tuple[int, int]], bound: int) -> list[tuple[int, int, bool]]:
-    """Join neighbouring pieces while no key can exceed ``bound`` arrivals: ``(low, high, fits)``."""
-    spans: list[tuple[int, int, bool]] = []
-    size = 0
-    for piece, n in profile:
-        if spans and size + n <= bound:
-            spans[-1] = (spans[-1][0], piece, True)
-            size += n
-        else:
-            spans.append((piece, piece, n <= bound))
-            size = n
-    return spans
+    ts_type = hot.schema["ts"].dataType
+    narrow = rows.select("k", instant_micros(F.col("ts"), ts_type).alias("t"), "ts", "seq")
+    order = ["k", "t", "seq"]
+    dealt = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = dealt.select("*", F.spark_partition_id().cast("long").alias("chunk"), F.monotonically_increasing_id().alias("node"))
+    added = StructType().add("open_t", "long").add("last", "long").add("starts", "boolean")
+    schema = StructType([*dealt.schema.fields, *added.fields])
+    chunks = materialise(dealt.mapInArrow(_left_open(width), schema), f"{folder}/chunks")
+
+    entries = chunks.where("open_t is not null").select("k", "t", "node", "open_t", "last", "chunk", "starts")
+    span = entries.agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count_distinct("chunk").alias("chunks")).first()
+    # A walk enters a chunk once, and leaves at least one TTL between two entries.
+    hops = min(span["chunks"], (span["high"] - span["low"]) // width + 1) - 1 if span["chunks"] else 0
+    # Stored by itself, so that the chunks meet a table of their own.
+    taken = materialise(_entered(entries, hops, folder), f"{folder}/entered")
+    taken = taken.select(F.col("chunk").alias("in_chunk"), F.col("node").alias("first"), F.col("last").alias("last_node"))
+    kept = chunks.select("chunk", "k", "t", "ts", "seq", "node").groupBy("chunk").cogroup(taken.groupBy("in_chunk")).applyInArrow(_accepted_in(width), rows.schema)
+    return hot.select("k", "ts", "seq"), materialise(kept, f"{folder}/kept")
+
+
+def _entered(entries: DataFrame, hops: int, folder: str) -> DataFrame:
+    """The entries through which the walks of the keys pass: (chunk, node, last)."""
+    # A key's first arrival is the first of its entries; the count of keys' chunks is all that is grouped here.
+    first = entries.where("starts").groupBy("k").agg(F.min("node").alias("node")).select("node")
+    held = entries.select("chunk", "node", "last")
+    if hops < 1:
+        return held.join(first, "node", "left_semi")
+    targets = entries.select("k", F.col("t").alias("entry_t"), F.col("node").alias("next"))
+    links = asof_join(entries.select("k", "node", "open_t"), targets, "k", "open_t", "entry_t", ["next"], order="next", forward=True)
+    reached = materialise(walk(first, links.select("node", "next"), hops).select("node"), f"{folder}/reached")
+    return held.join(reached, "node", "left_semi")
+
+
+def _segments(keys: pa.Array) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(keys)
+    cuts = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1 if n > 1 else np.zeros(0, np.int64)
+    return np.concatenate(([0], cuts, [n]))
+
+
+def _left_open(width: int):
+    """Adds to a chunk's rows, for each that may be the first accepted one of its key there, when the key is open again
+    behind the chunk (``open_t``) and the key's last row (``last``); ``starts`` marks the key's first row in the chunk."""
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        t, node = (table.column(c).to_numpy() for c in ("t", "node"))
+        open_t, last = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        entry, starts = np.zeros(len(t), bool), np.zeros(len(t), bool)
+        cuts = _segments(pa.concat_arrays(table.column("k").chunks))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            times = t[a:b]
+            # One entry more than the first TTL holds: the first arrival behind it.
+            count = min(int(np.searchsorted(times, times[0] + width, "right")) + 1, b - a)
+            open_t[a : a + count] = times[_ends(times, width)[:count]] + width
+            last[a : a + count] = node[b - 1]
+            entry[a : a + count] = True
+            starts[a] = True
+        for name, values, kind in (("open_t", open_t, pa.int64()), ("last", last, pa.int64())):
+            table = table.append_column(name, pa.array(values, kind, mask=~entry))
+        yield from table.append_column("starts", pa.array(starts)).to_batches(1 << 16)
+
+    return chunk
+
+
+def _ends(times: np.ndarray, width: int) -> np.ndarray:
+    """For each of the sorted times the place of the last one that its successors reach."""
+    n = len(times)
+    step = np.append(np.searchsorted(times, times + width, "left"), n)
+    end = np.arange(n)
+    while True:
+        on = np.flatnonzero(step[:-1] < n)
+        if not len(on):
+            return end
+        # Both tables jump twice as far from here on.
+        end[on] = end[step[on]]
+        step = step[step]
+
+
+def _accepted_in(width: int):
+    """The accepted rows of a chunk, from the entries through which the walks pass."""
+
+    def accepted(rows: pa.Table, entries: pa.Table) -> pa.Table:
+        names = ["k", "ts", "seq"]
+        if not rows.num_rows or not entries.num_rows:
+            return rows.select(names).slice(0, 0)
+        rows = rows.sort_by("node")
+        t, node = rows.column("t").to_numpy(), rows.column("node").to_numpy()
+        taken = []
+        for first, last in zip(entries.column("first").to_pylist(), entries.column("last_node").to_pylist(), strict=True):
+            at, end = np.searchsorted(node, [first, last + 1]).tolist()
+            while at < end:
+                taken.append(at)
+                at += int(np.searchsorted(t[at:end], t[at] + width, "left"))
+        return rows.select(names).take(pa.array(taken, pa.int64()))
+
+    return accepted
 
 
 def _replace(df: DataFrame, by: str, path: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shape import record_json
+from ..operators.shape import number_rows, record_json
 from ..session import spread
 
 # Records of one landed page.
@@ -155,13 +157,45 @@ def record_pages(rows: DataFrame, number: Column, fields: list[Column], linked:
     )
 
 
+def _order_fields() -> list[Column]:
+    """Numbers, texts, booleans, and values of several kinds; nulls in the one that has any."""
+    key = F.col("o_orderkey")
+    flag = F.when(key % 5 != 3, key % 2 == 0)
+    return [F.lit("W/1").alias("@odata.etag"), key, F.col("o_totalprice").cast("decimal(14,2)").alias("price"), flag.alias("flag"), F.col("o_orderstatus")]
+
+
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages, then an empty page, then the same pages again, which must not be read."""
     orders = table(spark, sf_dir, "orders")
-    etag = F.lit("W/1").alias("@odata.etag")
-    pages = record_pages(orders, F.col("o_orderkey"), [etag, F.col("o_orderkey"), F.col("o_orderstatus")])
+    pages = record_pages(orders, F.col("o_orderkey"), _order_fields())
     # The empty page and the stale ones are numbered behind all real ones.
     last = orders.agg((F.floor(F.max("o_orderkey") / PAGE_SIZE) + 1).cast("long").alias("page_no"))
     empty = last.select("page_no", F.lit(200).alias("status"), F.lit('{"value":[],"@odata.nextLink":"next"}').alias("body"))
     stale = pages.select((F.col("page_no") + last.scalar() + 1).alias("page_no"), "status", "body")
     return pages.unionByName(empty).unionByName(stale)
+
+
+def page_link(number: int | Column) -> Column | str:
+    """The address of a page: nothing in it tells the order."""
+    if isinstance(number, int):
+        return f"https://tables.example.com/api/orders?skip={hashlib.md5(str(number).encode()).hexdigest()}"
+    return F.concat(F.lit("https://tables.example.com/api/orders?skip="), F.md5(number.cast("string").cast("binary")))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages ``(link, page_no, status, body)`` landed in the order of their addresses' hashes.
+
+    Each page names the next one and the last one leads back to the first; every page has a copy that nothing leads to.
+    """
+    orders = table(spark, sf_dir, "orders")
+    number = F.floor(F.col("o_orderkey") / PAGE_SIZE).cast("long")
+    # Pages are numbered without gaps, whatever keys are missing.
+    places = number_rows(orders.select(number.alias("place")).distinct(), "place", "place", start=0).select("place", F.col("_pos").alias("nth"))
+    last = places.count() - 1
+    pages = record_pages(orders, F.col("o_orderkey"), _order_fields(), linked=False)
+    placed = pages.join(places, F.col("page_no") == F.col("place"))
+    after = page_link(F.when(F.col("nth") == last, 0).otherwise(F.col("nth") + 1))
+    body = F.concat(F.expr("left(body, length(body) - 1)"), F.lit(',"@odata.nextLink":"'), after, F.lit('"}'))
+    link = page_link(F.col("nth"))
+    linked = placed.select(link.alias("link"), F.xxhash64(link).alias("page_no"), "status", body.alias("body"))
+    return linked.unionByName(linked.withColumn("link", F.concat("link", F.lit("&stale"))))

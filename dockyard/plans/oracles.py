@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..schema import ORDER_COLUMNS, RECEIVED_AT_LOCAL
-from .queries import LOGICAL
+from .queries import LOGICAL, RENAMED_AT
 
 _FLAT = """
 WITH fl AS (
@@ -58,6 +58,11 @@ _LIVE = """SELECT user_id AS k, event_id AS v FROM (
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,event_id DESC) rn FROM events WHERE ts<=TIMESTAMP '2024-01-15')
  WHERE rn=1 AND (event_type='signup' OR TIMESTAMP '2024-01-15'<ts+INTERVAL 1 DAY)"""
 
+_BOARD = """SELECT user_id AS row_no, max_by(event_id,(ts,event_id)) FILTER (event_type='view') AS e,
+ max_by(event_id,(ts,event_id)) FILTER (event_type='click') AS f,
+ max_by(event_id,(ts,event_id)) FILTER (event_type='purchase') AS g
+ FROM events WHERE event_type IN ('view','click','purchase') GROUP BY 1"""
+
 _CELL_TEXT = """CASE p_partkey%7 WHEN 0 THEN '12' WHEN 3 THEN '5.' WHEN 4 THEN '-4' WHEN 6 THEN CAST(p_size AS VARCHAR) END"""
 
 ORACLES: dict[str, str] = {
@@ -71,6 +76,10 @@ ORACLES: dict[str, str] = {
     "order_intake": _INTAKE,
     "stream_order_intake": _INTAKE,
     "stream_sink_failure": _FLAT + f"SELECT {_COLUMNS}, {_LOCAL} AS {RECEIVED_AT_LOCAL} FROM flat",
+    "stream_side_refresh": _FLAT + f"""SELECT {_COLUMNS}, {_LOCAL} AS {RECEIVED_AT_LOCAL} FROM (SELECT * REPLACE (
+ CASE WHEN "homebaseId"<>'' AND received_at>=TIMESTAMP '{RENAMED_AT}' THEN "homebaseId"||' (new)' ELSE "homebaseId" END AS "homebaseId",
+ CASE WHEN "locationId"<>'' AND received_at>=TIMESTAMP '{RENAMED_AT}' THEN "locationId"||' (new)' ELSE "locationId" END AS "locationId") FROM flat)""",
+    "ledger_bucketed": _DEDUP,
     "ragged_quarantine": """SELECT CASE s_suppkey%5 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) WHEN 1 THEN s_suppkey||','||s_name||',more'
  ELSE s_suppkey||','||s_name END AS raw, CASE WHEN s_suppkey%5<2 THEN 'ragged' ELSE 'loaded' END AS route FROM supplier""",
     "ttl_evict": """SELECT user_id AS k, event_id AS v, ts AS written_at FROM (
@@ -104,24 +113,27 @@ UNION ALL
 SELECT 'intake', strftime(ts,'%Y-%m-%d %H:%M:%S'), 'rejected event '||event_id, event_type FROM events WHERE event_type='error'""",
     "ledger_anti_join": """SELECT DISTINCT e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events l
  WHERE l.user_id=e.user_id AND l.event_type='purchase' AND l.ts<=TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-15'<l.ts+INTERVAL 1 DAY)""",
-    "masterdata_lookup": """SELECT c_custkey, coalesce(a.n_name,'') AS homebase, coalesce(b.n_name,'') AS location FROM customer
- LEFT JOIN (SELECT * FROM nation WHERE n_regionkey<3) a ON a.n_nationkey=c_nationkey
- LEFT JOIN (SELECT * FROM nation WHERE n_regionkey<3) b ON b.n_nationkey=c_custkey%30""",
+    "masterdata_lookup": """WITH d AS (SELECT DISTINCT c_nationkey AS k, coalesce(n_name, 'old '||c_nationkey) AS v
+ FROM customer LEFT JOIN nation ON n_nationkey=c_nationkey AND n_regionkey<3
+ UNION SELECT n_nationkey, n_name FROM nation WHERE n_regionkey<3)
+ SELECT c_custkey, coalesce(a.v,'') AS homebase, coalesce(b.v,'') AS location FROM customer
+ LEFT JOIN d a ON a.k=c_nationkey LEFT JOIN d b ON b.k=c_custkey%30""",
     "dict_last_wins": "SELECT o_custkey AS k, max_by(o_orderstatus,o_orderkey) AS v FROM orders GROUP BY 1",
     "first_match_wins": "SELECT o_custkey AS k, min_by(o_orderstatus,o_orderkey) AS v FROM orders GROUP BY 1",
     "ttl_cache_lookup": _LIVE,
     "ttl_miss_keys": f"SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT k FROM ({_LIVE}))",
     "ttl_get_or_compute": f"""WITH live AS ({_LIVE}) SELECT k, v FROM live UNION ALL
  SELECT user_id AS k, count(*) AS v FROM events WHERE event_type='purchase' AND user_id NOT IN (SELECT k FROM live) GROUP BY 1""",
+    "ttl_entry_store": """SELECT user_id AS k, event_id AS v FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,event_id DESC) rn FROM events WHERE ts<=TIMESTAMP '2024-01-15' AND event_id%7<>0)
+ WHERE rn=1 AND (event_type='signup' OR TIMESTAMP '2024-01-15'<ts+INTERVAL 1 DAY)""",
     "expiry_normalise": """SELECT o_orderkey, CASE
  WHEN o_orderkey%4=1 AND (month(o_orderdate)<10 OR day(o_orderdate)<10) THEN strftime(o_orderdate,'%Y-%m-%dT23:59:59')
  WHEN o_orderkey%4=2 THEN strftime(o_orderdate+INTERVAL 90 MINUTE,'%Y-%m-%dT%H:%M:%S')
  WHEN o_orderkey%4=3 THEN strftime(o_orderdate+INTERVAL 1 DAY,'%Y-%m-%dT%H:%M:%S')
  ELSE strftime(o_orderdate,'%Y-%m-%dT00:00:00') END AS expires_at FROM orders""",
-    "status_board": """SELECT user_id AS row_no, max_by(event_id,(ts,event_id)) FILTER (event_type='view') AS e,
- max_by(event_id,(ts,event_id)) FILTER (event_type='click') AS f,
- max_by(event_id,(ts,event_id)) FILTER (event_type='purchase') AS g
- FROM events WHERE event_type IN ('view','click','purchase') GROUP BY 1""",
+    "status_board": _BOARD,
+    "status_board_incremental": _BOARD,
     "default_fill": """SELECT event_id, CASE WHEN event_id%5=0 THEN NULL WHEN event_id%5=1 THEN ''
  ELSE json_extract_string(props,'$.k') END AS k FROM events""",
     "clean_cells": f"""SELECT p_partkey, {_CELL_TEXT} AS text_value,
@@ -145,7 +157,13 @@ SELECT 'intake', strftime(ts,'%Y-%m-%d %H:%M:%S'), 'rejected event '||event_id,
     "limit_rows": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 9",
     "row_positions": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 1 AS _pos FROM orders",
     "range_slice": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey OFFSET 10",
-    "paged_scan": "SELECT o_orderkey, o_orderstatus FROM orders",
+    "paged_scan": """SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(14,2)) AS price,
+ CASE WHEN o_orderkey%5<>3 THEN o_orderkey%2=0 END AS flag FROM orders""",
+    "linked_scan": """SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(14,2)) AS price,
+ CASE WHEN o_orderkey%5<>3 THEN o_orderkey%2=0 END AS flag, o_orderstatus FROM orders""",
+    "linked_scan_notes": """WITH p AS (SELECT row_number() OVER (ORDER BY n)-1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT o_orderkey//100 AS n FROM orders)),
+ l AS (SELECT *, 'https://tables.example.com/api/orders?skip='||md5(CAST(i AS VARCHAR)) AS link FROM p)
+ SELECT link||'&stale' AS link, 'unreachable' AS note FROM l UNION ALL SELECT link, 'cyclic' FROM l WHERE i=c-1""",
     "page_union": "SELECT o_orderkey, CASE WHEN o_orderkey%2=0 THEN o_orderstatus END AS o_orderstatus FROM orders",
     "metadata_dictionary": """SELECT c_mktsegment||' '||c_nationkey AS display, max_by(c_name,c_custkey) AS logical
  FROM customer WHERE c_custkey%5<>0 GROUP BY 1""",
@@ -153,7 +171,11 @@ SELECT 'intake', strftime(ts,'%Y-%m-%d %H:%M:%S'), 'rejected event '||event_id,
  FROM part WHERE p_size%2=0 GROUP BY 1""",
     "csv_roundtrip": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,
  CASE WHEN p_partkey%2=1 THEN p_name||' "x", y'||chr(10)||'z' ELSE p_name END AS p_name FROM part""",
-    "table_load": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier",
+    "csv_split": """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey,
+ CASE WHEN l_orderkey%3=0 THEN 'said "so",'||chr(10)||l_returnflag||chr(10)||'"" ,'||chr(10)||repeat('x'||chr(10), (l_orderkey%50)::INTEGER)
+ ELSE 'plain '||l_orderkey END AS note FROM lineitem""",
+    "table_load": """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name,
+ CASE WHEN s_suppkey%3=2 THEN CAST(s_nationkey AS VARCHAR) ELSE '' END AS s_nationkey FROM supplier""",
     "file_staging": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier",
     "batch_envelope": """SELECT CAST(o_orderkey//500 AS BIGINT) AS batch_id, count(*) AS n_records,
  md5(string_agg('Content-ID: '||(o_orderkey%500)||chr(13)||chr(10)||'{"id":"OE-'||o_orderkey||'"}', chr(13)||chr(10) ORDER BY o_orderkey)) AS body_md5

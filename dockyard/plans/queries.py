@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.cells import clean_text, float_value, int_value
 from ..functions.text import mask_middle, url_groups, url_param
 from ..functions.times import normalise_date, normalise_expiry, received_at_local, time_literal
-from ..operators.cache import current_entries, evict, get_or_compute, missing_keys, put_entries
+from ..operators.cache import checked_expiry, current_entries, evict, get_or_compute, missing_keys, put_entries
+from ..operators.entries import EntryStore
 from ..operators.lookup import dict_last_wins, first_match_wins, resolve_codes, unseen
 from ..operators.orders import cell, flatten_orders, land_orders, parse_orders
-from ..operators.outcomes import error_log, outcome_rows, status_board
+from ..operators.outcomes import board_cells, error_log, outcome_rows, read_board, status_board, upsert_board
 from ..operators.shape import (
     clean_payload,
     limit_rows,
@@ -31,16 +32,19 @@ from ..sinks.envelope import CRLF, batch_envelopes, batch_records
 from ..sinks.files import load_table, stage_csv, write_csv
 from ..sinks.records import record_documents, record_rows
 from ..sources.landing import land_documents, stream_orders
-from ..sources.pages import column_dictionary, paged_scan, table_dictionary, union_pages
+from ..sources.pages import column_dictionary, linked_scan, paged_scan, table_dictionary, union_pages
 from ..sources.tables import range_slice, read_csv
-from ..streaming.intake import start_dedup, start_intake
+from ..streaming.commits import read_committed
+from ..streaming.intake import decide_batch, start_dedup, start_intake
 from .inputs import (
     SENT_AT_HOURS,
     arrivals,
     damaged_documents,
+    linked_pages,
     location_dictionary,
     order_documents,
     order_pages,
+    page_link,
     record_pages,
     sent_documents,
     table,
@@ -128,19 +132,40 @@ def stream_order_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_sink_failure")
 def stream_sink_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order table's first write fails; the restart writes it, and the orders sent again an hour later are refused."""
+    """The order table's only write fails; a restart writes it, though nothing new has landed."""
     root, landing = new_folder(spark, "intake"), new_folder(spark, "landing")
-    docs = materialise(sent_documents(spark, sf_dir), new_folder(spark, "documents"))
 
     def fail(*_) -> None:
         raise OSError("no room")
 
-    for copy, sink in enumerate([fail, None]):
-        land_documents(docs.where(F.col("copy") == copy), landing)
+    docs = order_documents(spark, sf_dir)
+    land_documents(docs, landing)
+    for sink in (fail, None):
         start_intake(
             stream_orders(spark, landing), root, lambda: location_dictionary(spark, sf_dir), lambda: LOGICAL, append_sink=sink
         ).awaitTermination()
-    return spark.read.parquet(f"{root}/orders").drop("received_at", "seq", "batch_id")
+    return read_committed(spark, root, "orders").drop("received_at", "seq", "batch_id")
+
+
+# From this time on the dictionary has other names.
+RENAMED_AT = datetime(1998, 6, 1)
+
+
+@query("stream_side_refresh")
+def stream_side_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary changes between two batches, and odd orders land late; each takes the names of its receipt time."""
+    root, landing = new_folder(spark, "intake"), new_folder(spark, "landing")
+    names = location_dictionary(spark, sf_dir)
+    old = names.select(time_literal(datetime(1970, 1, 1)).alias("valid_from"), "k", "v")
+    new = names.select(time_literal(RENAMED_AT).alias("valid_from"), "k", F.concat("v", F.lit(" (new)")).alias("v"))
+    docs = materialise(order_documents(spark, sf_dir), new_folder(spark, "documents"))
+    cut = time_literal(RENAMED_AT)
+    # The first batch knows the old names alone, and holds the even orders of their time; the second one has all others.
+    early = (F.col("o_orderkey") % 2 == 0) & (F.col("received_at") < cut)
+    for part, known in ((docs.where(early), old), (docs.where(~early), old.unionByName(new))):
+        land_documents(part, landing)
+        start_intake(stream_orders(spark, landing), root, None, lambda: LOGICAL, versions=lambda: known).awaitTermination()  # noqa: B023
+    return read_committed(spark, root, "orders").drop("received_at", "seq", "batch_id")
 
 
 # Repeats
@@ -155,9 +180,9 @@ def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ttl_dedup_hot")
 def ttl_dedup_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five ids hold all arrivals, so the bucket walk decides them; TTL five days."""
+    """Five ids hold all arrivals, so chunk walks decide them; TTL five days."""
     rows = table(spark, sf_dir, "events")
-    verdicts = classify_arrivals(rows, "event_type", "ts", "event_id", timedelta(days=5), group_bound=100)
+    verdicts = classify_arrivals(rows, "event_type", "ts", "event_id", timedelta(days=5), group_bound=100, chunk_rows=2_000)
     return verdicts.select("event_type", "event_id", "accepted")
 
 
@@ -180,6 +205,23 @@ def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(accepted, "event_id", "left_semi").select("event_id", "user_id", "ts")
 
 
+@query("ledger_bucketed")
+def ledger_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in ten batches against the stored ledger, each reading what can still refuse something."""
+    root = new_folder(spark, "ledger")
+    rows = arrivals(spark, sf_dir)
+    cuts = [datetime(2024, 1, 1) + timedelta(days=3 * n) for n in range(1, 10)]
+    for number, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = rows
+        if low:
+            part = part.where(F.col("ts") >= time_literal(low))
+        if high:
+            part = part.where(F.col("ts") < time_literal(high))
+        decide_batch(part.select("id", "ts", "event_id"), number, root, "id", "ts", "event_id")
+    accepted = spark.read.parquet(f"{root}/verdicts").where("accepted").select("event_id")
+    return rows.join(accepted, "event_id", "left_semi").select("event_id", "user_id", "ts")
+
+
 @query("outcome_rows")
 def outcome_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = classify_arrivals(arrivals(spark, sf_dir), "id", "ts", "event_id")
@@ -199,12 +241,20 @@ def ledger_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("masterdata_lookup")
 def masterdata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes by a dictionary of several files: a large first one that repeats its codes, and a small one that renames some."""
+    folder = new_folder(spark, "masterdata")
+    old = table(spark, sf_dir, "customer").select(
+        F.lit(1).alias("file"), F.col("c_nationkey").cast("string").alias("k"), F.concat(F.lit("old "), "c_nationkey").alias("v")
+    )
+    new = location_dictionary(spark, sf_dir).select(F.lit(2).alias("file"), "k", "v")
+    old.unionByName(new).write.partitionBy("file").option("header", True).csv(folder)
+    dictionary, _ = read_csv(spark, f"{folder}/file=*", with_position=True)
     codes = table(spark, sf_dir, "customer").select(
         "c_custkey",
         F.col("c_nationkey").cast("string").alias("homebase"),
         (F.col("c_custkey") % 30).cast("string").alias("location"),
     )
-    return resolve_codes(codes, location_dictionary(spark, sf_dir), ["homebase", "location"])
+    return resolve_codes(codes, dictionary, ["homebase", "location"], pos="_pos")
 
 
 def _status_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,15 +297,35 @@ def ttl_miss_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ttl_get_or_compute")
 def ttl_get_or_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing users get their number of purchases; those without one have no value."""
+    """Missing users get their number of purchases, which is put and read back; those without one have no value."""
     events = table(spark, sf_dir, "events")
 
     def purchases(missing: DataFrame) -> DataFrame:
-        counts = events.groupBy(F.col("user_id").alias("k")).agg(F.count_if(F.col("event_type") == "purchase").alias("v"))
-        return counts.join(missing, "k")
+        # Events of other users, and other events, are dropped before anything is counted.
+        bought = events.where("event_type = 'purchase'").select(F.col("user_id").alias("k"))
+        return bought.join(missing, "k", "left_semi").groupBy("k").agg(F.count("*").alias("v"))
 
-    keys = events.select(F.col("user_id").alias("k"))
-    return get_or_compute(keys, _entries(spark, sf_dir), purchases, _now())[0]
+    entries = _entries(spark, sf_dir)
+    _, computed = get_or_compute(events.select(F.col("user_id").alias("k")), entries, purchases, _now())
+    put = put_entries(computed, F.col("k"), F.col("v"), _now(), F.lit(1 << 62), _now() + F.lit(timedelta(days=1)))
+    return current_entries(entries.unionByName(put), _now()).where("v IS NOT NULL").select("k", "v")
+
+
+@query("ttl_entry_store")
+def ttl_entry_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with expiry text put in three parts, one of them with text that can't be read, compacted between, then looked at."""
+    events = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "signup", "2999-12-31").otherwise(F.date_format(F.col("ts") + F.lit(timedelta(days=1)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    text = F.when(F.col("event_id") % 7 == 0, "soon").otherwise(text)
+    rows = events.select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), F.col("ts").alias("written_at"), F.col("event_id").alias("seq"), text.alias("expires_at"))
+    good, _ = checked_expiry(rows, F.col("expires_at"), F.col("written_at"), "read_at")
+    store = EntryStore(spark, new_folder(spark, "entries"), "k bigint, v bigint, written_at timestamp_ntz, seq bigint, expires_at string")
+    for part in range(3):
+        store.put(good.drop("read_at").where(F.col("v") % 3 == part))
+        if part:
+            store.compact(time_literal(datetime(2024, 1, 10)))
+    store.compact(_now())
+    return store.look(_now()).select("k", "v")
 
 
 @query("expiry_normalise")
@@ -308,21 +378,31 @@ def intake_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.unionByName(failed)
 
 
-@query("status_board")
-def board(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _board_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = (
         F.when(F.col("event_type") == "view", "progress")
         .when(F.col("event_type") == "click", "runs")
         .when(F.col("event_type") == "purchase", "duration")
     )
-    return status_board(
-        table(spark, sf_dir, "events").select(
-            F.col("user_id").alias("row_no"), field.alias("field"), F.col("event_id").alias("value"),
-            F.col("ts").alias("at"), F.col("event_id").alias("seq"),
-        )
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("row_no"), field.alias("field"), F.col("event_id").alias("value"), F.col("ts").alias("at"), F.col("event_id").alias("seq")
     )
 
 
+@query("status_board")
+def board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status_board(_board_updates(spark, sf_dir))
+
+
+@query("status_board_incremental")
+def stored_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from three batches of updates, each of all times, merged into the stored board."""
+    root, updates = new_folder(spark, "boards"), _board_updates(spark, sf_dir)
+    for rest in (2, 0, 1):
+        upsert_board(spark, root, updates.where(F.col("seq") % 3 == rest))
+    return read_board(spark, root, board_cells(updates).schema)
+
+
 # Cells and texts
 
 
@@ -459,8 +539,23 @@ def sheet_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("paged_scan")
 def order_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = paged_scan(order_pages(spark, sf_dir), [0, -1, 99])
-    return rows.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus")
+    """Typed values: keys come as numbers, prices as decimals, flags as booleans."""
+    rows = paged_scan(order_pages(spark, sf_dir), [0, -1, 1, 2, 99], typed=True)
+    # The scan's decimals are as wide as their values.
+    return rows.withColumn("price", F.col("price").cast("decimal(14,2)"))
+
+
+@query("linked_scan")
+def order_link_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same orders from pages that landed in no order and name their successors."""
+    rows = linked_scan(linked_pages(spark, sf_dir), page_link(0), typed=True)[0]
+    return rows.withColumn("price", F.col("price").cast("decimal(14,2)"))
+
+
+@query("linked_scan_notes")
+def order_link_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of that landing that no link leads to, and the last page, which leads back."""
+    return linked_scan(linked_pages(spark, sf_dir), page_link(0))[1].select("link", "note")
 
 
 @query("page_union")
@@ -529,16 +624,30 @@ def ragged_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(ragged.select("raw", F.lit("ragged").alias("route")))
 
 
+@query("csv_split")
+def split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large files with quoted line breaks and quotes, read in ranges."""
+    folder = new_folder(spark, "split")
+    key = F.col("l_orderkey")
+    note = F.when(key % 3 == 0, F.concat(F.lit('said "so",\n'), "l_returnflag", F.lit('\n"" ,\n'), F.repeat(F.lit("x\n"), (key % 50).cast("int")))).otherwise(F.concat(F.lit("plain "), key))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", note.alias("note"))
+    write_csv(rows, folder)
+    return read_csv(spark, folder, split=True)[0]
+
+
 @query("table_load")
 def table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two loads into one table; the second replaces the first."""
+    """Two loads into one table; the second replaces the first, from files with other column orders and a column more."""
     folder = new_folder(spark, "load")
     name = f"loaded_{folder[-32:]}"
     suppliers = table(spark, sf_dir, "supplier")
-    for load, label in enumerate([F.lit("old"), F.col("s_name")]):
-        write_csv(suppliers.select("s_suppkey", label.alias("s_name")), f"{folder}/files-{load}")
-        loaded = load_table(spark, f"{folder}/files-{load}", name, f"{folder}/table")
-    return loaded
+    key = F.col("s_suppkey")
+    write_csv(suppliers.select("s_suppkey", F.lit("old").alias("s_name")), f"{folder}/first")
+    load_table(spark, f"{folder}/first", name, f"{folder}/table")
+    parts = [["s_suppkey", "s_name"], ["s_name", "s_suppkey"], ["s_nationkey", "s_suppkey", "s_name"]]
+    for number, columns in enumerate(parts):
+        write_csv(suppliers.where(key % 3 == number).select(columns), f"{folder}/second/part={number}")
+    return load_table(spark, f"{folder}/second/part=*", name, f"{folder}/table")
 
 
 @query("file_staging")

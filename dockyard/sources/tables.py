@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, new_folder
+from .quoted import csv_records, state_after
+
 _BAD_ROW = "_bad_row"
 
 # Where a row stands in its input: file, split of the file, row in the split.
@@ -27,53 +36,145 @@ def _csv(spark: SparkSession, multi_line: bool):
     return spark.read.option("multiLine", multi_line).option("escape", '"')
 
 
-def header_of(spark: SparkSession, path: str, multi_line: bool = True) -> list[str] | None:
-    """Header names with repeated ones numbered (``a``, ``a__2``); None when the path is missing."""
+def _first_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A file's first record that isn't empty; what follows it is not read."""
+    held: list[str] = []
+    inside = False
+    for batch in batches:
+        for file, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            line = line.removesuffix("\r")
+            if not held and not line.strip("\ufeff"):
+                continue
+            held.append(line)
+            inside = state_after(line, inside)
+            if not inside:
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array(["\n".join(held)])], names=["file", "header"])
+                return
+
+
+# Larger than any file: each file is one partition of the header scan.
+_WHOLE = str(1 << 50)
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame | None:
+    """(file, header): the header text of each file; None when the path is missing. Of each file only the beginning is read."""
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {key: spark.conf.get(key) for key in keys}
     try:
-        row = _csv(spark, multi_line).csv(path).first()
+        for key in keys:
+            spark.conf.set(key, _WHOLE)
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        return materialise(lines.mapInArrow(_first_records, "file string, header string"), new_folder(spark, "headers"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _names(header: str) -> tuple[str, ...]:
+    """Header names with repeated ones numbered (``a``, ``a__2``)."""
     seen: dict[str, int] = {}
     names = []
-    for name in row or []:
-        name = name or ""
+    for name in next(csv.reader(io.StringIO(header.removeprefix("\ufeff"), newline="")), []):
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}__{seen[name]}")
-    return names
+    return tuple(names)
+
+
+# Most different header texts of one read; more is a sign of files that are no table.
+MOST_HEADERS = 1_000
+
+
+def _groups(heads: DataFrame) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Different headers by their first file: (names, header texts)."""
+    found = heads.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").limit(MOST_HEADERS + 1).collect()
+    if len(found) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        groups.setdefault(_names(row["header"]), []).append(row["header"])
+    return list(groups.items())
+
+
+def _glob_safe(file: str) -> str:
+    """A listed file's address as a path to read: percent signs resolved, signs of patterns escaped."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", unquote(file))
 
 
 def read_csv(
-    spark: SparkSession, path: str, multi_line: bool = True, with_position: bool = False
+    spark: SparkSession, path: str, multi_line: bool = True, with_position: bool = False, split: bool = False
 ) -> tuple[DataFrame, DataFrame] | None:
     """``(rows, ragged)``: every cell is text, an empty cell is ``''``.
 
-    ``ragged`` holds the source text (``raw``) and cells of rows whose cell count differs from the header's. A missing
-    path gives None. Quoted line breaks need ``multi_line``, which reads each file in one task, so
-    land many files; pass False for files without such cells and they are split.
+    Each file is read by its own header: cells go to the columns of their names, in the order of the first file's
+    header, and columns that only other files have follow; a column that a file lacks is ``''`` there. ``ragged`` holds the source text
+    (``raw``) and cells of rows whose cell count differs from their file's header. A missing path gives None.
+
+    Quoted line breaks need ``multi_line``, which reads each file in one task, or ``split``, which reads ranges of
+    large files in many tasks; pass ``multi_line=False`` for files without such cells.
     """
-    names = header_of(spark, path, multi_line)
-    if names is None:
+    heads = file_headers(spark, path)
+    if heads is None:
         return None
-    slots = [f"c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{slot} string" for slot in [*slots, _BAD_ROW])
+    groups = _groups(heads)
+    columns = list(dict.fromkeys(name for names, _ in groups for name in names))
+    whole, ragged = [], []
+    for names, headers in groups:
+        if split:
+            scan = _split_scan(spark, path, heads.where(F.col("header").isin(headers)) if len(groups) > 1 else None, len(names))
+        else:
+            files: str | list[str] = path
+            if len(groups) > 1:
+                files = [_glob_safe(r["file"]) for r in heads.where(F.col("header").isin(headers)).select("file").collect()]
+            scan = _line_scan(spark, files, len(names), multi_line)
+        place = {name: f"c{i}" for i, name in enumerate(names)}
+        cells = [(F.coalesce(place[n], F.lit("")) if n in place else F.lit("")).alias(n) for n in columns]
+        position = [_POSITION[split]().alias("_pos")] if with_position else []
+        # Spark refuses a scan of the bad-row column alone (a bare count), so the filter reads a cell too.
+        is_whole = F.col(_BAD_ROW).isNull() & (F.length(F.coalesce("c0", F.lit(""))) >= 0)
+        whole.append(scan.where(is_whole).select(*cells, *position))
+        ragged.append(scan.where(~is_whole).select(F.col(_BAD_ROW).alias("raw"), *cells))
+    if not groups:
+        none = spark.createDataFrame([], "raw string")
+        return none.select(), none
+    return reduce(DataFrame.unionByName, whole), reduce(DataFrame.unionByName, ragged)
+
+
+def _slots(width: int) -> str:
+    return ", ".join(f"{slot} string" for slot in [*[f"c{i}" for i in range(width)], _BAD_ROW])
+
+
+def _line_scan(spark: SparkSession, files: str | list[str], width: int, multi_line: bool) -> DataFrame:
     # The schema is laid over the cells by position, so header names are not compared with it.
-    scan = (
+    return (
         _csv(spark, multi_line)
         .option("header", True)
         .option("enforceSchema", True)
         .option("columnNameOfCorruptRecord", _BAD_ROW)
-        .schema(schema)
-        .csv(path)
+        .schema(_slots(width))
+        .csv(files)
     )
-    cells = [F.coalesce(slot, F.lit("")).alias(name) for slot, name in zip(slots, names)]
-    position = [input_position().alias("_pos")] if with_position else []
-    # Spark refuses a scan of the bad-row column alone (a bare count), so the filter reads a cell too.
-    is_whole = F.col(_BAD_ROW).isNull() & (F.length(F.coalesce(slots[0], F.lit(""))) >= 0)
-    whole = scan.where(is_whole).select(*cells, *position)
-    ragged = scan.where(~is_whole).select(F.col(_BAD_ROW).alias("raw"), *cells)
-    return whole, ragged
+
+
+def _split_scan(spark: SparkSession, path: str, heads: DataFrame | None, width: int) -> DataFrame:
+    """The same columns by ranges; ``heads`` names the files where they are not all."""
+    records = csv_records(spark, path)
+    if heads is not None:
+        records = records.join(heads.select("file"), "file", "left_semi")
+    # The header is the first record, unless empty lines stand before it.
+    rows = records.where((F.col("block") > 0) | (F.col("number") > 0)).where("text <> ''")
+    options = {"escape": '"', "columnNameOfCorruptRecord": _BAD_ROW, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+    return rows.select("file", "block", "number", F.from_csv("text", _slots(width), options).alias("_c")).select("file", "block", "number", "_c.*")
+
+
+def _record_position() -> Column:
+    return F.struct("file", "block", F.col("number").alias("row"))
+
+
+_POSITION = {False: input_position, True: _record_position}
 
 
 def _column_number(letters: str) -> int:

@@ -1,48 +1,39 @@
-"""Structured Streaming order intake.
+"""Streaming order intake.
 
 Each micro-batch runs the same transforms as a batch job. What is remembered between batches is one
-ledger row per accepted id, kept as a table beside the outputs: a batch reads the ledger of earlier
+ledger row per accepted id, in a table bucketed by id: a batch reads the ledger of earlier
 batches only and writes its own folder of every table, so a batch that is run again after a lost
-driver or executor replaces its own output and decides the same. The ledger is one plain table, filtered by expiry when it
-is read. What a sink fails to write is kept and written before the next batch. Hot ids inside a micro-batch take
-the same bucket walk as in a batch job, which a per-key state function could not split.
+driver or executor replaces its own output and decides the same. A manifest names the folders that are whole
+and is written last; readers take no others. What a sink fails to write is kept, and written at the next start or before the next batch,
+whichever comes first. Hot ids inside a micro-batch take the same chunk walks as in a batch job, which a per-key state
+function could not split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import ONE_DAY, time_literal
-from ..operators.orders import cell, land_orders, parse_orders, quarantined
+from ..functions.times import ONE_DAY
+from ..operators.orders import cell, land_orders, land_orders_as_of, parse_orders, quarantined
 from ..operators.outcomes import error_log, outcome_rows
 from ..operators.ttl import classify_arrivals, ledger_entries
 from ..schema import MSG_DUPLICATE_LOG
 from ..session import materialise, spread
 from ..sinks.records import record_rows, write_batch
+from .commits import pending, record_commit
+from .ledger import FEW_ROWS, Ledger
 
 SCRIPT = "intake"
 
 Sink = Callable[[DataFrame, str, int], None]
 
 
-def earlier_ledger(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """Ledger rows of all batches before ``batch_id``: one plain table, from which nothing is ever taken out.
-
-    A rerun reads the same rows. Verdicts so depend on the arrivals alone, not on how they fall into batches.
-    """
-    if not batch_id:
-        return None
-    schema = spark.read.parquet(f"{root}/ledger/batch_id={batch_id - 1}").schema
-    ledger = spark.read.schema(f"{schema.toDDL()}, batch_id long").parquet(f"{root}/ledger")
-    return ledger.where(F.col("batch_id") < batch_id).select("k", "accepted_at", "expires_at")
-
-
 def decide_batch(
     batch: DataFrame,
     batch_id: int,
@@ -55,42 +46,34 @@ def decide_batch(
 ) -> DataFrame:
     """Verdicts ``(key, ts, seq, accepted)`` of one micro-batch; writes them and their ledger rows.
 
-    A batch reads the ledger rows that end after its first arrival, which the files' statistics leave few; arrivals
-    may land out of order by any time.
+    A batch reads the ledger rows that end after its first arrival; arrivals may land out of order by any time.
     """
     spark = batch.sparkSession
-    live = earlier_ledger(spark, root, batch_id)
-    oldest = batch.agg(F.min(ts)).first()[0] if live is not None else None
-    if oldest is not None:
-        # A literal, so that the ledger's files are skipped by their statistics.
-        live = live.where(F.col("expires_at") > time_literal(oldest, batch.schema[ts].dataType))
+    ledger = Ledger(spark, root, batch.schema[key].dataType, batch.schema[ts].dataType)
+    live = None
+    if batch_id:
+        size = batch.agg(F.min(ts).alias("oldest"), F.count("*").alias("n")).first()
+        if size["oldest"] is not None:
+            ids = [r[0] for r in batch.select(key).distinct().collect()] if size["n"] <= FEW_ROWS else None
+            live = ledger.live(batch_id, size["oldest"], ids)
     verdicts = classify_arrivals(batch, key, ts, seq, ttl, live, work=f"{root}/work", **options)
     verdicts = materialise(verdicts, f"{root}/verdicts/batch_id={batch_id}")
-    write_batch(ledger_entries(verdicts.where("accepted"), key, ts, ttl), f"{root}/ledger", batch_id)
+    ledger.append(ledger_entries(verdicts.where("accepted"), key, ts, ttl), batch_id)
     return verdicts
 
 
 def hold_pending(rows: DataFrame, root: str, name: str, batch_id: int) -> None:
-    """Keep the rows of a failed sink until a later batch, or the next start, has written them."""
+    """Keep the rows of a failed sink until the next start, or a later batch, has written them."""
     rows.write.mode("overwrite").parquet(f"{root}/pending/{name}/batch_id={batch_id}")
 
 
-def drain_pending(spark: SparkSession, root: str, name: str, sink: Sink, before: int) -> None:
-    """Write what ``sink`` failed to write in earlier batches. A batch that is done is marked, and a sink's folders are
-    replaced whole, so that a repeat changes nothing. A batch that fails again stays pending."""
-
-    def batches(kind: str) -> set[int]:
-        try:
-            found = spark.read.parquet(f"{root}/{kind}/{name}").select("batch_id").distinct().collect()
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return set()
-            raise
-        return {r["batch_id"] for r in found}
-
-    for batch_id in sorted(n for n in batches("pending") - batches("repaired") if n < before):
+def drain_pending(spark: SparkSession, root: str, name: str, sink: Sink, waiting: set[int]) -> None:
+    """Write what ``sink`` failed to write in the batches ``waiting``, which leave the set as they are done. A sink's folders
+    are replaced whole, so that a repeat changes nothing; a batch that fails again keeps waiting."""
+    for batch_id in sorted(waiting):
         sink(spark.read.parquet(f"{root}/pending/{name}/batch_id={batch_id}"), f"{root}/{name}", batch_id)
-        spark.range(1).write.mode("overwrite").parquet(f"{root}/repaired/{name}/batch_id={batch_id}")
+        record_commit(spark, root, batch_id, [name])
+        waiting.discard(batch_id)
 
 
 def start_dedup(
@@ -114,12 +97,13 @@ def start_dedup(
 def start_intake(
     orders: DataFrame,
     root: str,
-    dictionary: Callable[[], DataFrame],
+    dictionary: Callable[[], DataFrame] | None,
     mapping: Callable[[], dict[str, str]],
     ttl: timedelta = ONE_DAY,
     append_sink: Sink | None = None,
     record_sink: Sink | None = None,
     trigger: dict | None = None,
+    versions: Callable[[], DataFrame] | None = None,
     **options,
 ) -> StreamingQuery:
     """Land a stream of order documents ``(received_at, seq, body)`` below ``root``.
@@ -128,11 +112,18 @@ def start_intake(
     from the next batch on. Each sink gets ``(rows, folder, batch_id)`` and may fail by itself: the
     failure is logged and the other tables are still written. A failed record sink answers 500.
     ``trigger`` takes what ``DataStreamWriter.trigger`` takes; by default all landed files are
-    processed and the query ends. Rows that a sink failed to write are kept and written before the next
-    batch, also after a restart, so that no accepted order is lost.
+    processed and the query ends. Rows that a sink failed to write are kept and written at the next start, also if nothing
+    new has landed, or before the next batch, so that no accepted order is lost. ``versions`` (valid_from, k, v) gives the dictionary's
+    states in place of ``dictionary``: each order then takes the names of its receipt time, however late it lands.
     """
-    append = append_sink or write_batch
-    record = record_sink or write_batch
+    spark = orders.sparkSession
+    sinks = {"orders": append_sink or write_batch, "records": record_sink or write_batch}
+    # Listed once a start; from then on known.
+    waiting = {name: pending(spark, root, name) for name in sinks}
+    for name, sink in sinks.items():
+        # A sink that still fails is asked, and logged, again with the next batch.
+        with suppress(Exception):
+            drain_pending(spark, root, name, sink, waiting[name])
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -151,26 +142,33 @@ def start_intake(
                 failures.append((f"failed to write {name}", str(error)))
                 return False
 
-        def written(sink: Sink, rows: DataFrame, name: str) -> bool:
-            attempt(lambda: drain_pending(spark, root, name, sink, batch_id), name)
-            done = attempt(lambda: sink(rows, f"{root}/{name}", batch_id), name)
+        def written(name: str, rows: DataFrame) -> bool:
+            attempt(lambda: drain_pending(spark, root, name, sinks[name], waiting[name]), name)
+            done = attempt(lambda: sinks[name](rows, f"{root}/{name}", batch_id), name)
             if not done:
                 hold_pending(rows, root, name, batch_id)
+                waiting[name].add(batch_id)
             return done
 
         try:
-            flat = land_orders(parsed, dictionary(), keep=["received_at", "seq"]).join(
-                rejected.select("seq"), "seq", "left_anti"
-            )
-            written(append, flat, "orders")
-            recorded = written(record, record_rows(flat, mapping()), "records")
+            keep = ["received_at", "seq"]
+            landed = land_orders(parsed, dictionary(), keep) if versions is None else land_orders_as_of(parsed, versions(), keep)
+            flat = landed.join(rejected.select("seq"), "seq", "left_anti")
+            whole = ["orders"] * written("orders", flat)
+            if whole and not append_sink:
+                # Looked up and joined once: the records are the same rows under other names.
+                flat = spark.read.schema(flat.schema).parquet(f"{root}/orders/batch_id={batch_id}")
+            recorded = written("records", record_rows(flat, mapping()))
+            whole += ["records"] * recorded
 
             bad = quarantined(parsed).select("received_at", "seq", "body", "reason")
             write_batch(bad, f"{root}/quarantine", batch_id)
             answers = outcome_rows(verdicts, keep=["seq"], sink_failed=F.lit(not recorded) & F.col("accepted"))
             write_batch(answers, f"{root}/outcomes", batch_id)
             # Logging never stops a batch.
-            attempt(lambda: write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id), "log")
+            if attempt(lambda: write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id), "log"):
+                whole.append("error_log")
+            record_commit(spark, root, batch_id, [*whole, "quarantine", "outcomes", "verdicts"])
         finally:
             parsed.unpersist()
 

@@ -1,6 +1,5 @@
 """Anchored time to live against a plain loop, on every path."""
 
-import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,9 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dockyard.operators import links
 from dockyard.operators import ttl as ttl_module
 from dockyard.operators.cache import checked_expiry, current_entries, evict, get_or_compute, missing_keys, stored_expiry
-from dockyard.operators.ttl import _pack, accepted_arrivals, classify_arrivals, drop_repeats, ledger_entries
+from dockyard.operators.ttl import accepted_arrivals, classify_arrivals, drop_repeats, ledger_entries
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id string, received_at timestamp_ntz, seq long"
@@ -73,8 +73,26 @@ def test_every_path_equals_the_loop(spark, drawn, ttl_hours, bound, with_ledger)
     assert got == loop(rows, ttl, ledger)
 
 
-def test_hot_id_is_split_and_equals_the_fold(spark):
-    """One id holds half of the rows; both the one-bucket and the joined-bucket steps are used."""
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(arrival, max_size=150), st.sampled_from([0.25, 1, 7, 24]), st.sampled_from([5, 17]), st.booleans())
+def test_chunk_walks_equal_the_loop(spark, drawn, ttl_hours, size, with_ledger):
+    """Every key is hot and cut into chunks; ties in time, gaps of many TTLs, and a ledger that opens in the midst of a chunk."""
+    rows = [(key, at(quarter / 4), i) for i, (key, quarter) in enumerate(drawn)]
+    ttl = timedelta(hours=ttl_hours)
+    ledger = {"a": at(3), "hot": at(50)} if with_ledger else None
+    table = spark.createDataFrame(list(ledger.items()), "k string, expires_at timestamp_ntz") if ledger else None
+    before, ttl_module.CHUNK_ROWS = ttl_module.CHUNK_ROWS, size
+    try:
+        got = run(spark, rows, ttl=ttl, ledger=table, group_bound=0)
+    finally:
+        ttl_module.CHUNK_ROWS = before
+    assert got == loop(rows, ttl, ledger)
+
+
+@pytest.mark.parametrize("size", [100, 1_000_000])
+def test_hot_id_is_split_and_equals_the_fold(spark, monkeypatch, size):
+    """One id holds half of the rows; its walk passes many chunks, or one."""
+    monkeypatch.setattr(ttl_module, "CHUNK_ROWS", size)
     n = 4000
     rows = spark.range(n).select(
         F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("id"),
@@ -89,16 +107,16 @@ def test_hot_id_is_split_and_equals_the_fold(spark):
     assert {r["seq"] for r in walk.collect()} == loop(plain, ttl)
 
 
-def test_many_short_buckets_share_folders(spark, monkeypatch, tmp_path):
-    """More TTL buckets than folders: some folders fit one step, a full one is walked by bucket."""
-    monkeypatch.setattr(ttl_module, "MOST_SHELVES", 5)
-    minutes = [i * 7 for i in range(200)] + [650 + i / 20 for i in range(400)]
-    plain = [("hot", START + timedelta(minutes=m), i) for i, m in enumerate(minutes)]
-    got = accepted_arrivals(
-        spark.createDataFrame(plain, SCHEMA), ttl=timedelta(minutes=10), group_bound=60, work=str(tmp_path)
-    )
-    assert {r["seq"] for r in got.collect()} == loop(plain, timedelta(minutes=10))
-    assert len([d for d in os.listdir(f"{tmp_path}/hot/rows") if d.startswith("shelf=")]) <= 6
+def test_rounds_grow_with_the_logarithm_of_the_chunks(spark, monkeypatch):
+    """64 chunks of one id that a walk all passes: six tables of jumps, not 64 steps."""
+    monkeypatch.setattr(ttl_module, "CHUNK_ROWS", 10)
+    tables = []
+    hop = links._hop
+    monkeypatch.setattr(links, "_hop", lambda jumps, n: tables.append(n) or hop(jumps, n))
+    rows = [("hot", START + timedelta(minutes=m), m) for m in range(640)]
+    got = accepted_arrivals(spark.createDataFrame(rows, SCHEMA), ttl=timedelta(minutes=9), group_bound=5)
+    assert {r["seq"] for r in got.collect()} == set(range(0, 640, 9))
+    assert len(tables) <= 6
 
 
 def test_never_expiring_ledger(spark):
@@ -117,10 +135,6 @@ def test_ledger_entries(spark):
     assert [tuple(r) for r in ledger_entries(rows).collect()] == [("a", at(0), at(24))]
 
 
-def test_pack_bounds_each_span():
-    assert _pack([(1, 5), (2, 4), (3, 2), (7, 30), (8, 1)], 10) == [(1, 2, True), (3, 3, True), (7, 7, False), (8, 8, True)]
-
-
 ENTRIES = "k string, v string, written_at timestamp_ntz, seq long, expires_at timestamp_ntz"
 
 
