@@ -39,7 +39,7 @@ HOT_SHARE = 0.0002
 #: The most hot n-grams that are broadcast (16 bytes each); the share is raised until the bound holds.
 HOT_MOST = 1 << 20
 #: Columns with more documents give no pairs: their documents are crowded.
-COLUMN = 32
+COLUMN = 64
 #: Bits of the bitmap of n-grams that many crowded documents hold (16 MB). It may mark others; the order stays one for all.
 COMMON_BITS = 27
 #: Documents in a block of the product.
@@ -378,7 +378,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     den * |a & b| >= num * |a | b|. component_id is the smallest doc_id that links reach; n_links counts the other
     rows linked directly, equal sets included; class_id numbers the equal sets. Null, empty and blank texts
     have n_shingles 0, link with nothing and are their own component. A null doc_id is skipped by the
-    minimum. Rows repeated whole are linked like other copies. Extra columns are not read.
+    minimum. Rows repeated whole are linked like other copies, and a pair exactly at the threshold is linked. Very long texts are sets like
+    others and make blocks of their own. An empty table gives no rows. Extra columns are not read.
     """
     spark = docs.sparkSession
     ratio = Ratio(num, den)
