@@ -155,7 +155,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     Only vectors with equal, non-null labels and equal length are compared. A vector that is null, empty, zero or holds null or
     non-finite components links with nothing, and is its own component. n_links counts other rows, copies of
     the vector included; component_id is the smallest vec_id that links reach, null ids left out; kept is
-    vec_id = component_id, so rows that repeat an id are kept or not together. Other columns aren't read.
+    vec_id = component_id, so rows that repeat an id are kept or not together. Pairs exactly at the threshold are linked.
+    Vectors of any length are compared whole; an empty table gives no rows. Other columns aren't read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

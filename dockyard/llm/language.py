@@ -144,7 +144,8 @@ def identify(docs: DataFrame, most: int = MOST_LANGUAGES) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score.
 
     Null texts and texts without a letter give ``und`` with score 0, and so does everything where nothing can be learned.
-    A null doc_id is in no fold and not learned from. Of equal scores the first language by name wins. Only doc_id,
-    text and, for training, lang are read.
+    A null doc_id is in no fold and not learned from. Of equal scores the first language by name wins. Rows repeated whole count
+    in training as often as they occur and get the same answer each; very long texts are counted and scored whole. An empty table gives
+    no rows. Only doc_id, text and, for training, lang are read.
     """
     return predict(docs, train(docs, most=most))

@@ -137,7 +137,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, key.
 
     Null texts count as empty and get the bias's score. A null doc_id is in no fold (held_out false). Rows repeated
-    whole get the same score. Only doc_id and text are read.
+    whole get the same score, very long texts one over all their words. A score of exactly CUT is predicted 1. An empty table gives no rows.
+    Only doc_id and text are read.
     """
     weights = train(docs, labels)
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -147,7 +148,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns and repeated rows included, that the classifier doesn't reject.
 
-    The score is added to each row in the task that reads it, so no text is shuffled.
+    A score of exactly CUT stays, as do null and empty texts where the bias's score does; very long texts are scored whole, and an empty
+    table stays empty. The score is added to each row in the task that reads it, so no text is shuffled.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels).astype(np.float32))
 

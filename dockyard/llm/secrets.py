@@ -170,7 +170,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with a column of spans, ordered by start, then by the rules' order; its name is returned by ``spans_name``.
 
     Per rule, matches are leftmost and don't overlap; those whose group is shorter than the rule's least length
-    are dropped. Null texts count as empty and have no spans. Rows repeated whole get the same spans. The
+    are dropped. Null texts count as empty and have no spans; texts are matched whole, however long. Spans that begin together stand in the
+    rules' order. Rows repeated whole get the same spans, and an empty table gives none. The
     columns added have names that ``docs`` doesn't use.
     """
     name = spans_name(docs)
@@ -208,7 +209,8 @@ def listed(spans: Column) -> Column:
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    Texts without secrets, null ones included, stay as they are; n_chars follows where the table has it. No row goes.
+    Texts without secrets, null ones included, stay as they are; n_chars follows where the table has it. No row goes: repeated
+    rows stay repeated, an empty table stays empty, and very long texts are redacted to their end.
     """
     spans = spans_name(docs)
     found = scan(docs, rules)
@@ -236,7 +238,11 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Null and empty texts have no spans and the digest of an empty list; rows repeated whole get the same row each, very long
+    texts all their spans; an empty table gives no rows, and other columns aren't read.
+    """
     spans = spans_name(docs)
     found = scan(docs)
     base = F.filter(F.col(spans), lambda x: x["kind_no"] < 3)

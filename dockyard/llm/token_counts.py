@@ -97,7 +97,7 @@ def frequent(docs: DataFrame, model: PieceModel, size: int = TABLE, summary: int
 def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit.
 
-    Null texts count as empty: 0 bytes, 0 tokens. Special strings are counted as the model's library does by default. Rows
+    Null texts count as empty: 0 bytes, 0 tokens. Very long texts are counted whole. Special strings are counted as the model's library does by default. Rows
     repeated whole get the same counts; other columns aren't read; an empty table gives no rows.
     """
     spark = docs.sparkSession
