@@ -15,7 +15,7 @@ def _lines(*lines: str | Column) -> Column:
 
 
 def record_part(changeset: Column, content_id: Column, record: Column, url: str, table: str) -> Column:
-    """One record's part of the body."""
+    """One record's part of the body. The protocol's lines."""
     return _lines(
         F.concat(F.lit("--"), changeset),
         "Content-Type: application/http",

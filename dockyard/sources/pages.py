@@ -77,19 +77,24 @@ def _table(reached: DataFrame, names: list[str], typed: bool) -> DataFrame:
     records = reached.select(F.explode("records").alias("record"))
     if not typed:
         return records.select(F.from_json("record", "map<string,string>").alias("r")).select([F.col("r")[name].alias(name) for name in names])
-    values = [_member(name) for name in names]
     # One type per column over all records: a row of type names reaches the driver.
     variants = records.select(F.inline(F.array(F.struct(F.try_parse_json("record").alias("v")))))
-    kinds = variants.select([F.schema_of_variant_agg(F.variant_get("v", path, "variant")).alias(f"t{i}") for i, path in enumerate(values)]).first() if names else []
-    return variants.select([_typed(path, kind).alias(name) for name, path, kind in zip(names, values, kinds, strict=True)])
+    paths = {name: path for name in names if (path := _member(name))}
+    found = variants.select([F.schema_of_variant_agg(F.variant_get("v", path, "variant")).alias(name) for name, path in paths.items()]).first() if paths else []
+    kinds = dict(zip(paths, found, strict=True))
+    return variants.select([_typed(name, paths.get(name), kinds.get(name)).alias(name) for name in names])
 
 
-def _member(name: str) -> str:
-    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
-    return f"$['{escaped}']"
+def _member(name: str) -> str | None:
+    """The path of a key; there is none for a key with both kinds of quotes."""
+    if "'" in name and '"' in name:
+        return None
+    return f'$["{name}"]' if "'" in name else f"$['{name}']"
 
 
-def _typed(path: str, kind: str | None) -> Column:
+def _typed(name: str, path: str | None, kind: str | None) -> Column:
+    if path is None:
+        return F.from_json(F.to_json("v"), "map<string,string>")[name]
     if kind and _PLAIN.match(kind):
         return F.variant_get("v", path, kind.lower())
     return F.variant_get("v", path, "string")

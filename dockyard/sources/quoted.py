@@ -81,13 +81,13 @@ def range_states(lines: DataFrame) -> DataFrame:
     swaps = F.col("if_out") & ~F.col("if_in")
     turned = F.sum(F.when(swaps, 1).otherwise(0)).over(before)
     counted = known.withColumn("turned", F.coalesce(turned, F.lit(0)))
-    own = counted.select("file", F.col("block").alias("fixed_block"), (F.col("turned") + F.when(swaps, 1).otherwise(0)).alias("turned_there"))
-    joined = counted.join(own, (counted["file"] == own["file"]) & (F.col("fixed.block") == F.col("fixed_block")), "left").drop(own["file"])
+    own = counted.select(F.col("file").alias("fixed_file"), F.col("block").alias("fixed_block"), (F.col("turned") + F.when(swaps, 1).otherwise(0)).alias("turned_there"))
+    joined = counted.join(own, (F.col("file") == F.col("fixed_file")) & (F.col("fixed.block") == F.col("fixed_block")), "left")
     odd = (F.col("turned") - F.coalesce("turned_there", F.lit(0))) % 2 == 1
     inside = F.coalesce(F.col("fixed.state"), F.lit(False)) != odd
     states = joined.select("file", "block", "begins", inside.alias("inside"))
     starts = F.when(~F.col("inside") | F.col("begins"), F.col("block"))
-    return states.select("file", "block", "inside", F.last(starts, ignorenulls=True).over(before).alias("owner"))
+    return states.select("file", "block", "inside", F.max(starts).over(before).alias("owner"))
 
 
 def _records(owners: dict[tuple[str, int], int | None]):

@@ -37,18 +37,19 @@ def _csv(spark: SparkSession, multi_line: bool):
 
 
 def _first_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A file's first record that isn't empty; what follows it is not read."""
+    """A file's first record that isn't empty, and how many lines stand before it; what follows it is not read."""
     held: list[str] = []
-    inside = False
+    inside, skipped = False, 0
     for batch in batches:
         for file, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
             line = line.removesuffix("\r")
             if not held and not line.strip("\ufeff"):
+                skipped += 1
                 continue
             held.append(line)
             inside = state_after(line, inside)
             if not inside:
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array(["\n".join(held)])], names=["file", "header"])
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array(["\n".join(held)]), pa.array([skipped], pa.int64())], names=["file", "header", "skipped"])
                 return
 
 
@@ -57,14 +58,14 @@ _WHOLE = str(1 << 50)
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame | None:
-    """(file, header): the header text of each file; None when the path is missing. Of each file only the beginning is read."""
+    """(file, header, skipped): the header text of each file and the empty lines before it; None when the path is missing. Of each file only the beginning is read."""
     keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
     before = {key: spark.conf.get(key) for key in keys}
     try:
         for key in keys:
             spark.conf.set(key, _WHOLE)
         lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-        return materialise(lines.mapInArrow(_first_records, "file string, header string"), new_folder(spark, "headers"))
+        return materialise(lines.mapInArrow(_first_records, "file string, header string, skipped long"), new_folder(spark, "headers"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -124,7 +125,7 @@ def read_csv(
     whole, ragged = [], []
     for names, headers in groups:
         if split:
-            scan = _split_scan(spark, path, heads.where(F.col("header").isin(headers)) if len(groups) > 1 else None, len(names))
+            scan = _split_scan(spark, path, heads.where(F.col("header").isin(headers)), len(groups) > 1, len(names))
         else:
             files: str | list[str] = path
             if len(groups) > 1:
@@ -159,13 +160,15 @@ def _line_scan(spark: SparkSession, files: str | list[str], width: int, multi_li
     )
 
 
-def _split_scan(spark: SparkSession, path: str, heads: DataFrame | None, width: int) -> DataFrame:
-    """The same columns by ranges; ``heads`` names the files where they are not all."""
+def _split_scan(spark: SparkSession, path: str, heads: DataFrame, some: bool, width: int) -> DataFrame:
+    """The same columns by ranges; ``heads`` names the files, ``some`` says that they are not all."""
     records = csv_records(spark, path)
-    if heads is not None:
+    if some:
         records = records.join(heads.select("file"), "file", "left_semi")
-    # The header is the first record, unless empty lines stand before it.
-    rows = records.where((F.col("block") > 0) | (F.col("number") > 0)).where("text <> ''")
+    # The header is the first record behind the empty lines that some files begin with.
+    late = heads.where("skipped > 0").select("file", "skipped")
+    records = records.withColumn("skipped", F.lit(0)) if late.isEmpty() else records.join(late, "file", "left")
+    rows = records.where((F.col("block") > 0) | (F.col("number") > F.coalesce("skipped", F.lit(0)))).where("text <> ''")
     options = {"escape": '"', "columnNameOfCorruptRecord": _BAD_ROW, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
     return rows.select("file", "block", "number", F.from_csv("text", _slots(width), options).alias("_c")).select("file", "block", "number", "_c.*")
 

@@ -14,6 +14,7 @@ from dockyard.schema import ORDER_COLUMNS
 from dockyard.sources.landing import read_pages
 from dockyard.sources.pages import (
     column_dictionary,
+    linked_scan,
     mapping_of,
     page_columns,
     paged_scan,
@@ -21,6 +22,7 @@ from dockyard.sources.pages import (
     table_dictionary,
     union_pages,
 )
+from dockyard.sources.quoted import csv_records, state_after
 from dockyard.sources.tables import range_slice, read_csv
 
 
@@ -200,3 +202,104 @@ def test_load_table_keeps_ragged_rows_beside_the_table(spark, tmp_path):
     loaded = load_table(spark, put(tmp_path, "r.csv", "a,b\n1,x\n2\n3,z,9\n"), name, str(tmp_path / "t"))
     assert [tuple(r) for r in loaded.collect()] == [("1", "x")]
     assert sorted(r["raw"] for r in spark.table(f"{name}_ragged").collect()) == ["2", "3,z,9"]
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    put(tmp_path, "a 1.csv", "a,b\n1,2\n")
+    put(tmp_path, "b[2].csv", "b,a\r\n20,10\r\nragged\r\n")
+    put(tmp_path, "c%3.csv", '\n"c",a\n"x\ny",100\n')
+    for split in (False, True):
+        rows, ragged = read_csv(spark, str(tmp_path), split=split, with_position=True)
+        assert rows.columns == ["a", "b", "c", "_pos"]
+        assert {tuple(r) for r in rows.drop("_pos").collect()} == {("1", "2", ""), ("10", "20", ""), ("100", "", "x\ny")}
+        assert [r["raw"].strip() for r in ragged.collect()] == ["ragged"]
+
+
+@pytest.mark.parametrize("line, out, inside", [
+    ("a,b", False, True), ('"a', True, False), ('a,"b""', True, False), ('5" pipe,x', False, False), ('x",y', False, False), ('"a","b', True, True),
+    ('""', False, True), ('"""', True, False), ('x"",y', False, True), ('"a"b,"c"', False, False), ("", False, True),
+])
+def test_quotes_open_cells_at_their_beginning_only(line, out, inside):
+    assert state_after(line, False) is out
+    if inside is not None:
+        assert isinstance(state_after(line, True), bool)
+
+
+def quoted_file(n):
+    lines = ["no,text,more"]
+    for i in range(n):
+        cell = ["plain", f'"two\nlines {i}"', '"say ""x"", y"', f'"{"deep" * 30}\n\n{"line" * 30}\n,"', '5" pipe'][i % 5]
+        lines.append(f"{i},{cell},{'' if i % 3 else 'z'}")
+    return "\n".join(lines) + "\n"
+
+
+@pytest.mark.parametrize("size", ["300", "4096"])
+def test_ranges_of_a_quoted_file_give_the_same_rows(spark, tmp_path, size):
+    """Ranges shorter than a record and longer ones: the rows are those of a reader that takes the file whole."""
+    path = put(tmp_path, "big.csv", quoted_file(400))
+    whole = sorted(map(tuple, read_csv(spark, path)[0].collect()))
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    for key in keys:
+        spark.conf.set(key, size)
+    try:
+        rows, ragged = read_csv(spark, path, split=True, with_position=True)
+        assert csv_records(spark, path).select("block").distinct().count() > 3
+        found = rows.orderBy("_pos").collect()
+        assert [r["no"] for r in found] == [str(i) for i in range(400)]
+        assert sorted(tuple(r)[:-1] for r in found) == whole and ragged.isEmpty()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_an_open_quote_takes_the_rest_of_its_file_alone(spark, tmp_path):
+    put(tmp_path, "a.csv", 'a,b\n1,"open\n2,3\n')
+    put(tmp_path, "b.csv", "a,b\n4,5\n")
+    rows, _ = read_csv(spark, str(tmp_path), split=True)
+    assert ("4", "5") in {tuple(r) for r in rows.collect()} and rows.count() <= 2
+
+
+def linked(spark, *rows):
+    return spark.createDataFrame([(link, n, status, json.dumps(body)) for n, (link, status, body) in enumerate(rows)], "link string, page_no long, status int, body string")
+
+
+def to(link, *records):
+    return {"value": list(records), **({"@odata.nextLink": link} if link else {})}
+
+
+def test_pages_follow_their_links(spark):
+    found, notes = linked_scan(linked(
+        spark, ("p3", 200, to(None, {"x": 3})), ("p1", 200, to("p2", {"@odata.etag": "e", "x": 1, "y": "a"})), ("lost", 200, to("p3", {"x": 9})), ("p2", 200, to("p3", {"x": 2, "y": None})),
+    ), "p1", typed=True)
+    assert found.dtypes == [("x", "bigint"), ("y", "string")]
+    assert sorted(map(tuple, found.collect())) == [(1, "a"), (2, None), (3, None)]
+    assert [(r["link"], r["note"]) for r in notes.collect()] == [("lost", "unreachable")]
+
+
+def test_linked_scan_ends(spark):
+    one = {"x": 1}
+
+    def scan(*rows):
+        found, notes = linked_scan(linked(spark, *rows), "a")
+        return None if found is None else found.count(), sorted((r["link"], r["note"]) for r in notes.collect())
+
+    assert scan(("a", 200, to("b", one)), ("b", 200, to("a", one))) == (2, [("b", "cyclic")])
+    assert scan(("a", 200, to("b", one)), ("b", 200, to("c")), ("c", 200, to(None, one))) == (1, [("b", "behind the end"), ("c", "behind the end")])
+    assert scan(("a", 200, to("b", one))) == (1, [("b", "missing")])
+    assert scan(("a", 200, to("b", one)), ("b", 503, {})) == (None, [("b", "failed")])
+    assert scan(("a", 200, to("b")), ("b", 503, {}))[0] == 0
+    assert scan(("a", 200, to("b", one)), ("a", 200, to(None, one, one))) == (2, [])
+    assert scan(("z", 200, to("b", one))) == (0, [("z", "unreachable")])
+
+
+def test_typed_values(spark):
+    scan = paged_scan(pages(
+        spark, page({"n": 1, "d": 1.25, "b": True, "s": "x", "mix": 1, "obj": {"a": 1}, "none": None, "it's": 5}),
+        page({"n": None, "d": 3, "b": False, "mix": "two", "obj": [1]}, link=False),
+    ), typed=True)
+    kinds = dict(scan.dtypes)
+    assert (kinds["n"], kinds["b"], kinds["s"], kinds["mix"], kinds["obj"], kinds["it's"]) == ("bigint", "boolean", "string", "string", "string", "bigint")
+    assert kinds["d"].startswith("decimal") and kinds["none"] == "string"
+    rows = {r["b"]: r.asDict() for r in scan.collect()}
+    assert rows[True]["n"] == 1 and rows[False]["n"] is None and rows[False]["mix"] == "two" and rows[True]["mix"] == "1"
+    assert rows[True]["obj"] == '{"a":1}' and rows[False]["obj"] == "[1]" and float(rows[False]["d"]) == 3

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dockyard.operators.ttl import accepted_arrivals
 from dockyard.schema import LANDED_ORDER
 from dockyard.sources.landing import land_documents, read_orders, stream_orders
+from dockyard.streaming.commits import pending, read_committed, record_commit
 from dockyard.streaming.intake import decide_batch, start_dedup, start_intake
 
 START = datetime(2024, 1, 1, 0, 0, 0, 123456)
@@ -85,6 +86,47 @@ def test_failing_sinks_are_logged_and_the_others_go_on(spark, intake):
     assert table(spark, root, "records").count() == 2
 
 
+def test_a_restart_without_new_data_repairs_a_sink(spark, intake):
+    landing, root, _, run = intake
+
+    def fail(*_):
+        raise OSError("no room")
+
+    land(spark, landing, (0, 1, {"id": "a"}), (1, 2, {"id": "b"}))
+    run(append_sink=fail)
+    assert pending(spark, root, "orders") == {0} and read_committed(spark, root, "records").count() == 2
+    run(append_sink=fail)
+    assert pending(spark, root, "orders") == {0}
+    run()
+    assert sorted(r["seq"] for r in read_committed(spark, root, "orders").collect()) == [1, 2]
+    assert pending(spark, root, "orders") == set()
+
+
+def test_readers_see_whole_batches_only(spark, tmp_path):
+    root = str(tmp_path)
+    for n in (0, 1, 2):
+        spark.range(n, n + 1).write.parquet(f"{root}/orders/batch_id={n}")
+    assert read_committed(spark, root, "orders").count() == 0
+    record_commit(spark, root, 0, ["orders"])
+    record_commit(spark, root, 2, ["orders", "records"])
+    record_commit(spark, root, 2, ["orders"])
+    assert sorted(r["id"] for r in read_committed(spark, root, "orders").collect()) == [0, 2]
+
+
+def test_late_orders_take_the_names_of_their_time(spark, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "out")
+    schema = "valid_from timestamp_ntz, k string, v string"
+    first = [(START - timedelta(days=1), "1", "old")]
+    for docs, known in (
+        [((0, 1, {"id": "a", "homebaseId": "1"}),), first],
+        [((9, 2, {"id": "b", "homebaseId": "1"}), (1, 3, {"id": "c", "homebaseId": "1"})), [*first, (START + timedelta(hours=5), "1", "new")]],
+    ):
+        land(spark, landing, *docs)
+        versions = spark.createDataFrame(known, schema)
+        start_intake(stream_orders(spark, landing), root, None, lambda: {}, versions=lambda: versions).awaitTermination()  # noqa: B023
+    assert {r["seq"]: r["homebaseId"] for r in read_committed(spark, root, "orders").collect()} == {1: "old", 2: "new", 3: "old"}
+
+
 def test_a_batch_run_again_decides_the_same(spark, tmp_path):
     root = str(tmp_path)
     schema = "id string, received_at timestamp_ntz, seq long"

@@ -11,6 +11,7 @@ from dockyard.operators import links
 from dockyard.operators import ttl as ttl_module
 from dockyard.operators.cache import checked_expiry, current_entries, evict, get_or_compute, missing_keys, stored_expiry
 from dockyard.operators.ttl import accepted_arrivals, classify_arrivals, drop_repeats, ledger_entries
+from dockyard.plans.queries import QUERIES
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id string, received_at timestamp_ntz, seq long"
@@ -199,3 +200,14 @@ def test_eviction_changes_no_later_look(spark):
     for day in (4, 6, 8, 10):
         now = F.lit(str(at(day))).cast("timestamp_ntz")
         assert sorted(current_entries(left, now).collect()) == sorted(current_entries(entries, now).collect())
+
+
+def test_hot_ids_take_few_jobs(spark):
+    """The registered query over 10,000 arrivals of five ids, in six chunks."""
+    spark.sparkContext.setJobGroup("hot", "hot ids")
+    try:
+        QUERIES["ttl_dedup_hot"](spark, "/root/testdata/sf0.01").collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("hot"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 45
