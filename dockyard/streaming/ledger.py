@@ -61,7 +61,14 @@ class Ledger:
         day = _day(F.col("expires_at"), self.time)
         rows = entries.select("k", "accepted_at", "expires_at", day.alias("expires_day"), F.lit(batch_id).cast("long").alias("batch_id"))
         dealt = rows.repartition(self.buckets, "k")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+        # Only the setting counts for a table: without it every other batch's folders would go.
+        conf, key = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, "dynamic")
+        try:
+            dealt.write.mode("overwrite").insertInto(self.name)
+        finally:
+            conf.set(key, before)
 
     def live(self, batch_id: int, oldest: datetime, ids: list | None = None) -> DataFrame:
         """Entries of earlier batches that end after ``oldest``; with ``ids``, those of these ids."""
