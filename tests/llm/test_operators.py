@@ -356,7 +356,7 @@ def test_pipeline_run_equals_plain_python(spark, tmp_path, labels):
 
 
 def test_all_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_a_key_without_an_end_leaves_the_prose_behind_it(spark):
