@@ -42,6 +42,16 @@ def features(raws: list[bytes], bits: int = BITS) -> Iterator[tuple[np.ndarray,
     starts, ends = turn[:-1], turn[1:]
     seen = kind[starts] > 0
     starts, ends = starts[seen], ends[seen]
+    if not len(starts):
+        # A block without a token: every text in it has no features.
+        yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in raws)
+        return
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
+    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+    # A text's first token stands beside itself, whatever text lies before it in the block.
+    behind = np.maximum(np.arange(len(starts)) - 1, 0)
+    borders = bounds[:-1][bounds[:-1] < bounds[1:]]
+    behind[borders] = borders
     codes = hash_spans(data, starts, ends)
     n = ends - starts
     caps = np.concatenate(([0], np.cumsum(_UPPER[data])))
@@ -51,14 +61,14 @@ def features(raws: list[bytes], bits: int = BITS) -> Iterator[tuple[np.ndarray,
     mark = kind[starts] == 2
     glued = np.concatenate(([False], starts[1:] == ends[:-1]))
     shape = np.where(mark, 64 + np.minimum(n, 7) * 2 + glued, case * 8 + np.minimum(n // 3, 7)).astype(np.uint64)
-    again = np.concatenate(([False], codes[1:] == codes[:-1])).astype(np.uint64)
+    again = codes == codes[behind]
+    again[borders] = False
+    again = again.astype(np.uint64)
     tag = lambda x, k: mix(x * np.uint64(8) + np.uint64(k))
-    before = np.concatenate((codes[:1], codes[:-1])) * np.uint64(3)
-    shape_before = np.concatenate((shape[:1], shape[:-1]))
+    before = codes[behind] * np.uint64(3)
+    shape_before = shape[behind]
     rows = np.stack((tag(codes, 0), mix(codes + before), tag(shape, 2), tag(shape * np.uint64(1024) + shape_before, 3), tag(again, 4)))
     rows = (rows >> np.uint64(64 - bits)).astype(np.int64)
-    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
-    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if lo == hi:
             yield np.zeros(0, np.int64), np.zeros(0)
