@@ -1,8 +1,9 @@
-"""The ledger of accepted ids: a table bucketed by id, in folders by the day on which entries expire.
+"""The ledger of accepted ids: a table bucketed by id, in folders by the day until which their entries expire.
 
-A batch joins the ledger where it lies: buckets are already dealt by id, so only the batch's ids are shuffled. Days that
-ended before the batch's first arrival are folders that are not even listed, so a batch's cost follows the entries that can still
-refuse something, however many batches came before.
+A batch joins the ledger where it lies: buckets are already dealt by id, so only the batch's ids are shuffled. Folders whose
+last day ended before the batch's first arrival are not even listed, so a batch's cost follows the entries that can still
+refuse something, however many batches came before. A batch cuts its days into at most SLICES folders of like size, so that
+the files it writes don't grow with the days it spans.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql.types import DataType
 
 from ..functions.times import instant_micros, time_literal
 
-# Files that one batch writes at most for a day, and tasks that join the ledger.
+# Files that one batch writes at most for a folder, and tasks that join the ledger.
 BUCKETS = 32
 
+# Folders that one batch writes at most.
+SLICES = 8
+
 # Batches of so few arrivals name their ids to the scan, which then reads their buckets alone.
 FEW_ROWS = 200
 
@@ -27,8 +31,19 @@ _DAY = 86_400_000_000
 
 
 def _day(instant: Column, kind: DataType) -> Column:
-    """The day of an instant, whatever the session time zone is."""
-    return F.date_from_unix_date(F.floor(instant_micros(instant, kind) / _DAY).cast("int"))
+    """The number of an instant's day, whatever the session time zone is."""
+    return F.floor(instant_micros(instant, kind) / _DAY).cast("int")
+
+
+def _last_day(entries: DataFrame, day: Column) -> Column:
+    """The last day of the slice that a day falls in. Slices end at exact quantiles, so the same entries are cut alike again."""
+    shares = [F.lit((i + 1) / SLICES) for i in range(SLICES - 1)]
+    found = entries.agg(F.percentile(day, F.array(*shares)).alias("cuts"), F.max(day).alias("last")).first()
+    ends = sorted({*map(int, found["cuts"] or []), found["last"]} - {None})
+    last = F.lit(None).cast("int")
+    for end in reversed(ends):
+        last = F.when(day <= end, end).otherwise(last)
+    return F.date_from_unix_date(last)
 
 
 class Ledger:
@@ -58,7 +73,7 @@ class Ledger:
         return True
 
     def append(self, entries: DataFrame, batch_id: int) -> None:
-        day = _day(F.col("expires_at"), self.time)
+        day = _last_day(entries, _day(F.col("expires_at"), self.time))
         rows = entries.select("k", "accepted_at", "expires_at", day.alias("expires_day"), F.lit(batch_id).cast("long").alias("batch_id"))
         dealt = rows.repartition(self.buckets, "k")
         # Only the setting counts for a table: without it every other batch's folders would go.
@@ -75,7 +90,7 @@ class Ledger:
         at = time_literal(oldest, self.time)
         rows = self.spark.table(self.name).where(F.col("batch_id") < batch_id)
         # A literal, so that days are pruned when the scan is planned and files skipped by their statistics.
-        first = self.spark.range(1).select(_day(at, self.time).alias("d")).first()["d"]
+        first = self.spark.range(1).select(F.date_from_unix_date(_day(at, self.time)).alias("d")).first()["d"]
         rows = rows.where((F.col("expires_day") >= F.lit(first)) & (F.col("expires_at") > at))
         if ids is not None:
             rows = rows.where(F.col("k").isin(ids))

@@ -10,7 +10,7 @@ from dockyard.operators.entries import EntryStore
 from dockyard.operators.lookup import resolve_codes, resolve_codes_as_of
 from dockyard.operators.outcomes import board_cells, read_board, status_board, upsert_board
 from dockyard.streaming.intake import decide_batch
-from dockyard.streaming.ledger import Ledger
+from dockyard.streaming.ledger import SLICES, Ledger
 
 START = datetime(2024, 1, 1)
 ENTRY = "k string, v long, written_at timestamp_ntz, seq long, expires_at string"
@@ -168,3 +168,21 @@ def test_few_arrivals_name_their_buckets(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path), batch.schema["id"].dataType, batch.schema["received_at"].dataType)
     plan = ledger.live(1, START, ["k7"]).groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "SelectedBucketsCount: 1 out of" in plan and "Exchange" not in plan
+
+
+def test_a_batch_over_many_days_writes_few_folders(spark, tmp_path):
+    root, schema = str(tmp_path), "id string, received_at timestamp_ntz, seq long"
+    spark.createDataFrame([("a", START, 0)], schema).createOrReplaceTempView("one")
+    rows = [(f"k{i}", START + timedelta(days=i, minutes=i), i) for i in range(200)] + [("far", datetime(9000, 1, 1), 999), ("none", None, 1000)]
+    batch = spark.createDataFrame(rows, schema)
+    for _ in range(2):
+        decide_batch(batch, 0, root, "id", "received_at", "seq")
+        stored = spark.read.parquet(f"{root}/ledger")
+        assert stored.count() == 202
+        assert stored.select("expires_day").distinct().count() <= SLICES + 1
+        # No entry outlives its folder.
+        assert stored.where("expires_at >= date_add(expires_day, 1)").isEmpty()
+    kept = {r["k"] for r in live_files(spark, root, 1, START + timedelta(days=150)).collect()}
+    assert kept == {f"k{i}" for i in range(149, 200)} | {"far"}
+    late = spark.createDataFrame([("k150", START + timedelta(days=150, hours=20), 2000), ("k150", START + timedelta(days=152), 2001)], schema)
+    assert {r["seq"]: r["accepted"] for r in decide_batch(late, 1, root, "id", "received_at", "seq").collect()} == {2000: False, 2001: True}
