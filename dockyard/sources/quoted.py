@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,51 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
+def _turns(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The quotes that change a state: their lines, and whether they end a cell only (``resets``) or swap inside and outside.
+
+    A run of quotes of even number changes nothing: each pair is a quote inside of a cell, or opens and closes one. The odd one of others
+    closes the cell that it stands in; outside of a cell it opens one at the cell's beginning, elsewhere it is text.
+    """
+    offsets, data = _bytes(values)
+    quotes = np.flatnonzero(data == ord('"'))
+    lines = np.searchsorted(offsets, quotes, "right") - 1
+    first = np.ones(len(quotes), bool)
+    first[1:] = (quotes[1:] != quotes[:-1] + 1) | (lines[1:] != lines[:-1])
+    runs = np.flatnonzero(first)
+    runs = runs[np.diff(np.append(runs, len(quotes))) % 2 == 1]
+    at, line = quotes[runs], lines[runs]
+    return line, (at != offsets[line]) & (data[at - 1] != ord(","))
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value begins, and the end, and the values' bytes one after the other."""
+    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    offsets = np.frombuffer(values.buffers()[1], kind)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def _states(resets: np.ndarray, inside: bool) -> np.ndarray:
+    """The state behind each of the quotes that change it, from the state before them."""
+    swaps = np.cumsum(~resets)
+    last = np.maximum.accumulate(np.where(resets, np.arange(len(resets)), -1))
+    odd = (swaps - np.where(last >= 0, swaps[last], 0)) % 2 == 1
+    return odd ^ ((last < 0) & inside)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.Array]]:
+    """The lines of a batch by range."""
+    if not batch.num_rows:
+        return
+    files, blocks, values = (batch.column(c) for c in ("file", "block", "value"))
+    places, n = blocks.to_numpy(), batch.num_rows
+    changed = (places[1:] != places[:-1]) | pc.not_equal(files.slice(1), files.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), n]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield (files[a].as_py(), int(places[a])), values.slice(a, b - a)
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per range: the state behind it if it begins outside or inside, and whether a record begins in it if it begins inside."""
     key, states = None, [False, True, False]
@@ -53,16 +100,21 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*key, *states)], names=["file", "block", "if_out", "if_in", "begins"])
 
     for batch in batches:
-        files, blocks, values = (batch.column(c).to_pylist() for c in ("file", "block", "value"))
-        for file, block, line in zip(files, blocks, values, strict=True):
-            if (file, block) != key:
+        for found, lines in _parts(batch):
+            if found != key:
                 if key:
                     yield row()
-                key, states = (file, block), [False, True, False]
+                key, states = found, [False, True, False]
             # A line that begins outside begins a record.
             states[2] = states[2] or not states[1]
-            if '"' in line:
-                states[0], states[1] = state_after(line, states[0]), state_after(line, states[1])
+            line, resets = _turns(lines)
+            if not len(line):
+                continue
+            if_out, if_in = _states(resets, states[0]), _states(resets, states[1])
+            if not states[2]:
+                ends = np.append(line[1:] != line[:-1], line[-1] < len(lines) - 1)
+                states[2] = bool((ends & ~if_in).any())
+            states[0], states[1] = bool(if_out[-1]), bool(if_in[-1])
     if key:
         yield row()
 
@@ -90,48 +142,77 @@ def range_states(lines: DataFrame) -> DataFrame:
     return states.select("file", "block", "inside", F.max(starts).over(before).alias("owner"))
 
 
+def _joined(lines: pa.Array, goes_on: np.ndarray) -> pa.Array:
+    """The lines without a return at their end; those that go on with a record have the line break before them."""
+    offsets, data = _bytes(lines)
+    full = offsets[1:] > offsets[:-1]
+    if (data[offsets[1:][full] - 1] == ord("\r")).any():
+        lines = pc.replace_substring_regex(lines, pattern=r"\r\z", replacement="")
+    breaks = pc.if_else(pa.array(goes_on), pa.scalar("\n", lines.type), pa.scalar("", lines.type))
+    return pc.binary_join_element_wise(breaks, lines, pa.scalar("", lines.type))
+
+
+def _text(texts: pa.Array, a: int, b: int) -> str:
+    offsets, data = _bytes(texts)
+    return data[offsets[a] : offsets[b]].tobytes().decode()
+
+
+def _runs(texts: pa.Array, begins: np.ndarray, end: int) -> pa.Array:
+    """The texts from each of ``begins`` to the next one, the last one's to ``end``, as one value each."""
+    offsets, data = _bytes(texts)
+    found = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets[np.append(begins, end)]), pa.py_buffer(data))
+    return found.cast(pa.string())
+
+
 def _records(owners: dict[tuple[str, int], int | None]):
     """Cuts ranges into records; ``owners`` has the ranges that begin inside a cell. Whole records have no owner; parts of
     records that cross a border are given out with the range in which their record begins."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
         key, held, inside, owner, number = None, [], False, None, 0
 
-        def closed(text: str) -> str:
-            return text[:-1] if text.endswith("\r") else text
+        def give(texts: pa.Array, whose: int | None) -> pa.RecordBatch:
+            n = len(texts)
+            columns = [pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n), pa.array(np.arange(number, number + n)), pa.repeat(pa.scalar(whose, pa.int64()), n), texts]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "block", "number", "owner", "text"])
 
-        def give() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            names = ["file", "block", "number", "owner", "text"]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-            out.clear()
-            return batch
+        def rest() -> pa.RecordBatch:
+            # The range ends inside a cell: its open record begins here, or where the range's own part does.
+            return give(pa.array(["".join(held)]), key[1] if owner is None else owner)
 
         for batch in batches:
-            files, blocks, values = (batch.column(c).to_pylist() for c in ("file", "block", "value"))
-            for file, block, line in zip(files, blocks, values, strict=True):
-                if (file, block) != key:
+            for found, lines in _parts(batch):
+                if found != key:
                     if held:
-                        # The range ends inside a cell: its open record begins here, or where the range's own part does.
-                        out.append((*key, number, key[1] if owner is None else owner, "\n".join(held)))
-                    key, held, number = (file, block), [], 0
+                        yield rest()
+                    key, held, number = found, [], 0
                     inside = key in owners
                     owner = owners.get(key)
-                ends_inside = state_after(line, inside)
-                if ends_inside:
-                    held.append(closed(line))
-                else:
-                    out.append((*key, number, owner, "\n".join([*held, closed(line)])))
+                line, resets = _turns(lines)
+                behind = np.full(len(lines), inside)
+                if len(line):
+                    # The state behind a line is that behind the last such quote in it or before it.
+                    last = np.searchsorted(line, np.arange(len(lines)), "right") - 1
+                    behind = np.where(last >= 0, _states(resets, inside)[last], inside)
+                    inside = bool(behind[-1])
+                texts = _joined(lines, np.append(bool(held), behind[:-1]))
+                ends = np.flatnonzero(~behind) + 1
+                if not len(ends):
+                    held.append(_text(texts, 0, len(lines)))
+                    continue
+                begins = np.append(0, ends[:-1])
+                if held or owner is not None:
+                    yield give(pa.array(["".join([*held, _text(texts, 0, int(ends[0]))])]), owner)
                     held, owner, number = [], None, number + 1
-                inside = ends_inside
-                if len(out) >= 4096:
-                    yield give()
+                    begins, ends = begins[1:], ends[1:]
+                if len(ends):
+                    yield give(_runs(texts, begins, int(ends[-1])), None)
+                    number += len(ends)
+                last_end = int(np.flatnonzero(~behind)[-1]) + 1
+                if last_end < len(lines):
+                    held.append(_text(texts, last_end, len(lines)))
         if held:
-            out.append((*key, number, key[1] if owner is None else owner, "\n".join(held)))
-        if out:
-            yield give()
+            yield rest()
 
     return cut
 

@@ -1,9 +1,11 @@
 """CSV, ranges, pages, metadata, tables, envelopes."""
 
 import json
+import random
 
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from dockyard.sources.pages import (
     table_dictionary,
     union_pages,
 )
+from dockyard.sources import quoted
 from dockyard.sources.quoted import csv_records, state_after
 from dockyard.sources.tables import range_slice, read_csv
 
@@ -303,3 +306,43 @@ def test_typed_values(spark):
     rows = {r["b"]: r.asDict() for r in scan.collect()}
     assert rows[True]["n"] == 1 and rows[False]["n"] is None and rows[False]["mix"] == "two" and rows[True]["mix"] == "1"
     assert rows[True]["obj"] == '{"a":1}' and rows[False]["obj"] == "[1]" and float(rows[False]["d"]) == 3
+
+
+def test_ranges_are_cut_as_line_by_line():
+    """Vectorised states and records against ``state_after`` line by line, over batches and ranges of any size."""
+    rng = random.Random(3)
+    for _ in range(300):
+        rows = [(f, 10 * b, "".join(rng.choices('"",\rxé', k=rng.randint(0, 7)))) for f in "ab" for b in range(rng.randint(1, 3)) for _ in range(rng.randint(1, 6))]
+        size = rng.randint(1, 9)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("file", "block", "value"), r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        want_states, want_records = {}, []
+        inside, before = False, None
+        for file, block, line in rows:
+            state = want_states.setdefault((file, block), [False, True, False])
+            state[2] = state[2] or not state[1]
+            state[:2] = [state_after(line, state[0]), state_after(line, state[1])]
+            if file != before:
+                inside, before = False, file
+            text = line.removesuffix("\r")
+            if inside:
+                want_records[-1] += "\n" + text
+            else:
+                want_records.append(text)
+            inside = state_after(line, inside)
+        got = {(r["file"], r["block"]): [r["if_out"], r["if_in"], r["begins"]] for b in quoted._ranges(iter(batches)) for r in b.to_pylist()}
+        assert got == want_states
+        # Ranges that begin inside, and where their open record began.
+        owners, inside, began = {}, False, None
+        for (file, block), state in want_states.items():
+            if block == 0:
+                inside, began = False, None
+            if inside:
+                owners[file, block] = began
+            if not inside or state[2]:
+                began = block
+            inside = state[inside]
+        found = [r for b in quoted._records(owners)(iter(batches)) for r in b.to_pylist()]
+        texts: dict[tuple, list[str]] = {}
+        for r in found:
+            texts.setdefault((r["file"], r["number"], r["block"]) if r["owner"] is None else (r["file"], r["owner"]), []).append(r["text"])
+        assert sorted("\n".join(t) for t in texts.values()) == sorted(want_records)
