@@ -251,6 +251,12 @@ def _entered(entries: DataFrame, hops: int, folder: str) -> DataFrame:
     return held.join(reached, "node", "left_semi")
 
 
+def _in_utc(table: pa.Table) -> pa.Table:
+    """Instants come in the session time zone and are taken back in UTC; the instant is the same."""
+    fields = [f.with_type(pa.timestamp(f.type.unit, "UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in table.schema]
+    return table.cast(pa.schema(fields))
+
+
 def _segments(keys: pa.Array) -> np.ndarray:
     """Where runs of equal keys begin, and the end."""
     n = len(keys)
@@ -266,7 +272,7 @@ def _left_open(width: int):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = _in_utc(pa.Table.from_batches(held)).combine_chunks()
         t, node = (table.column(c).to_numpy() for c in ("t", "node"))
         open_t, last = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
         entry, starts = np.zeros(len(t), bool), np.zeros(len(t), bool)
@@ -306,8 +312,8 @@ def _accepted_in(width: int):
     def accepted(rows: pa.Table, entries: pa.Table) -> pa.Table:
         names = ["k", "ts", "seq"]
         if not rows.num_rows or not entries.num_rows:
-            return rows.select(names).slice(0, 0)
-        rows = rows.sort_by("node")
+            return _in_utc(rows).select(names).slice(0, 0)
+        rows = _in_utc(rows).sort_by("node")
         t, node = rows.column("t").to_numpy(), rows.column("node").to_numpy()
         taken = []
         for first, last in zip(entries.column("first").to_pylist(), entries.column("last_node").to_pylist(), strict=True):
