@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from dockyard.llm.tables import keep
 
-#: Bytes of text whose pointers are sorted together; a longer text is a shard of its own.
-SHARD_BYTES = 1 << 24
+#: Bytes of text whose pointers are sorted together; a longer text is a shard of its own. Sorting takes some 15 bytes for each
+#: of them, in every task at once; what shards have in common is added up behind them, before the shuffle.
+SHARD_BYTES = 1 << 22
 #: A word is kept in a language where as many of its documents hold it.
 LEAST_DOCS = 3
 TOP = 200
