@@ -104,8 +104,13 @@ SENT_AT_HOURS = [0, 6, 30]
 
 def sent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's document three times: ``(copy, received_at, seq, body)``."""
+    return sendings(order_documents(spark, sf_dir))
+
+
+def sendings(docs: DataFrame) -> DataFrame:
+    """Each of the documents as often as it is sent."""
     copies = F.posexplode(F.array([F.expr(f"INTERVAL '{h}' HOUR") for h in SENT_AT_HOURS])).alias("copy", "delay")
-    return order_documents(spark, sf_dir).select("*", copies).select(
+    return docs.select("*", copies).select(
         "copy",
         (F.col("received_at") + F.col("delay")).alias("received_at"),
         (F.col("seq") * len(SENT_AT_HOURS) + F.col("copy")).alias("seq"),

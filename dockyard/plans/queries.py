@@ -27,7 +27,7 @@ from ..operators.shape import (
 )
 from ..operators.ttl import accepted_arrivals, classify_arrivals, drop_repeats
 from ..schema import ORDER_COLUMNS
-from ..session import materialise, new_folder
+from ..session import materialise, new_folder, shuffles_dropped
 from ..sinks.envelope import CRLF, batch_envelopes, batch_records
 from ..sinks.files import load_table, stage_csv, write_csv
 from ..sinks.records import record_documents, record_rows
@@ -46,6 +46,7 @@ from .inputs import (
     order_pages,
     page_link,
     record_pages,
+    sendings,
     sent_documents,
     table,
 )
@@ -121,7 +122,9 @@ def order_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_order_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the stream, each sending as its own landing and restart."""
     root, landing = new_folder(spark, "intake"), new_folder(spark, "landing")
-    docs = materialise(sent_documents(spark, sf_dir), new_folder(spark, "documents"))
+    # Stored once per order; the copies differ by time and number alone.
+    with shuffles_dropped(spark):
+        docs = sendings(materialise(order_documents(spark, sf_dir), new_folder(spark, "documents"), "zstd"))
     for copy in range(len(SENT_AT_HOURS)):
         land_documents(docs.where(F.col("copy") == copy), landing)
         start_intake(
@@ -139,7 +142,8 @@ def stream_sink_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise OSError("no room")
 
     docs = order_documents(spark, sf_dir)
-    land_documents(docs, landing)
+    with shuffles_dropped(spark):
+        land_documents(docs, landing)
     for sink in (fail, None):
         start_intake(
             stream_orders(spark, landing), root, lambda: location_dictionary(spark, sf_dir), lambda: LOGICAL, append_sink=sink
@@ -158,7 +162,8 @@ def stream_side_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = location_dictionary(spark, sf_dir)
     old = names.select(time_literal(datetime(1970, 1, 1)).alias("valid_from"), "k", "v")
     new = names.select(time_literal(RENAMED_AT).alias("valid_from"), "k", F.concat("v", F.lit(" (new)")).alias("v"))
-    docs = materialise(order_documents(spark, sf_dir), new_folder(spark, "documents"))
+    with shuffles_dropped(spark):
+        docs = materialise(order_documents(spark, sf_dir), new_folder(spark, "documents"), "zstd")
     cut = time_literal(RENAMED_AT)
     # The first batch knows the old names alone, and holds the even orders of their time; the second one has all others.
     early = (F.col("o_orderkey") % 2 == 0) & (F.col("received_at") < cut)

@@ -20,4 +20,4 @@ def record_documents(flat: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     """Write one micro-batch to its own folder; a repeated batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/batch_id={batch_id}")

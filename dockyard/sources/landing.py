@@ -10,6 +10,9 @@ from ..session import spread
 # Receipt times keep their microseconds; the JSON default would cut them to milliseconds.
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
+# Most documents of one landed file.
+FILE_ROWS = 200_000
+
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.options(**_TIMES).schema(LANDED_ORDER).json(path), "seq")
@@ -23,8 +26,12 @@ def stream_orders(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 def land_documents(docs: DataFrame, path: str) -> None:
-    """Append received documents to a landing folder."""
-    docs.select("received_at", "seq", "body").write.mode("append").options(**_TIMES).json(path)
+    """Append received documents to a landing folder, compressed: a document's text is several times what it says.
+
+    Compressed files can't be split by their readers, so they are bounded by rows.
+    """
+    options = {**_TIMES, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": FILE_ROWS}
+    docs.select("received_at", "seq", "body").write.mode("append").options(**options).json(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -102,6 +102,21 @@ def test_a_restart_without_new_data_repairs_a_sink(spark, intake):
     assert pending(spark, root, "orders") == set()
 
 
+def test_landed_documents_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("dockyard.sources.landing.FILE_ROWS", 3)
+    body = json.dumps({"id": "ä\n", "text": "again and again " * 200}, ensure_ascii=False)
+    rows = [(START + timedelta(hours=n), n, body) for n in range(10)] + [(None, 10, None)]
+    land_documents(spark.createDataFrame(rows, LANDED_ORDER).coalesce(1), str(tmp_path / "landing"))
+    files = list((tmp_path / "landing").glob("part-*"))
+    assert len(files) == 4 and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) * 10 < 10 * len(body)
+    found = read_orders(spark, str(tmp_path / "landing"))
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == rows
+    # Plain files land beside them as before.
+    found.where("seq = 9").write.mode("append").json(str(tmp_path / "landing"))
+    assert read_orders(spark, str(tmp_path / "landing")).count() == 12
+
+
 def test_readers_see_whole_batches_only(spark, tmp_path):
     root = str(tmp_path)
     for n in (0, 1, 2):
