@@ -59,10 +59,13 @@ def resolve_codes_as_of(
     """The same by the dictionary that was valid at each row's time ``at``.
 
     ``versions`` (valid_from, key, value) holds whole dictionaries, each valid until the next one; before the first one
-    every code is unknown. An as-of join finds each row's version, and code and version together are looked up.
+    every code is unknown. An as-of join finds the version of each time that occurs, which is looked up like a code; code and
+    version together give the name. So the sorted ranges of the as-of join hold times alone, not the rows.
     """
     starts = versions.select("valid_from").distinct().select("valid_from", F.col("valid_from").alias("_version"), F.lit(0).alias("_all"))
-    dated = asof_join(df.withColumn("_all", F.lit(0)), starts, "_all", at, "valid_from", ["_version"]).drop("_all")
+    times = df.select(F.col(at).alias("_at")).distinct().withColumn("_all", F.lit(0))
+    found = asof_join(times, starts, "_all", "_at", "valid_from", ["_version"]).drop("_all")
+    dated = df.join(found, F.col(at) == F.col("_at"), "left").drop("_at")
     side = one_name(versions, ["valid_from", key], value, pos)
     for i, column in enumerate(columns):
         k, v, since = f"_key{i}", f"_name{i}", f"_since{i}"

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from dockyard.operators.asof import asof_join
 from dockyard.operators.entries import EntryStore
 from dockyard.operators.lookup import resolve_codes, resolve_codes_as_of
 from dockyard.operators.outcomes import board_cells, read_board, status_board, upsert_board
@@ -130,6 +131,22 @@ def test_names_of_the_time(spark):
     assert sorted(((r["at"], r["c"]) for r in found.collect()), key=str) == sorted([(at(0), ""), (at(5), "first"), (at(9), "second"), (at(9), ""), (None, "")], key=str)
 
 
+def test_versions_are_found_for_times_not_for_rows(spark, monkeypatch):
+    seen = []
+
+    def joined(left, *args, **options):
+        seen.append((len(left.columns), left.count()))
+        return asof_join(left, *args, **options)
+
+    monkeypatch.setattr("dockyard.operators.lookup.asof_join", joined)
+    rows = spark.createDataFrame([("1", at(n % 4 * 3), "wide " * 50) for n in range(40)] + [("1", None, "x")] * 2, "c string, at timestamp_ntz, text string")
+    versions = spark.createDataFrame([(at(1), "1", "first"), (at(9), "1", "second")], "valid_from timestamp_ntz, k string, v string")
+    found = resolve_codes_as_of(rows, versions, ["c"], "at").groupBy("at", "c").count().collect()
+    assert {tuple(r) for r in found} == {(at(0), "", 10), (at(3), "first", 10), (at(6), "first", 10), (at(9), "second", 10), (None, "", 2)}
+    # Four times and the absent one are sorted into ranges, with no other column.
+    assert seen == [(2, 5)]
+
+
 def live_files(spark, root, batch_id, oldest):
     ledger = Ledger(spark, root, spark.table("one").schema["id"].dataType, spark.table("one").schema["received_at"].dataType)
     return ledger.live(batch_id, oldest)
