@@ -18,6 +18,7 @@ from ..schema import (
     TOP_KEYS,
     VOLUME_KEYS,
 )
+from ..session import materialise
 from .lookup import resolve_codes, resolve_codes_as_of
 
 # Leaves land as text. Objects land as maps so that an absent key and a null value stay apart.
@@ -107,6 +108,18 @@ def _reason(text: Column) -> Column:
     )
 
 
+def store_parsed(parsed: DataFrame, path: str, body: str = "body") -> DataFrame:
+    """Parsed documents as a table, in place of a cache of them: each flat value by itself, the text of quarantined ones alone.
+
+    The other columns of ``parsed`` are kept, and ``_cells`` and ``reason`` are the same; ``n_line_items`` is left out.
+    """
+    others = [F.col(f"`{c}`") for c in parsed.columns if c not in (body, "_cells", "n_line_items")]
+    values = [F.get("_cells", F.lit(i)).alias(f"_cell{i}") for i in range(len(ORDER_COLUMNS))]
+    kept = materialise(parsed.select(*others, F.when(F.col("reason").isNotNull(), F.col(body)).alias(body), *values), path, "zstd")
+    cells = F.array(*[F.col(f"_cell{i}") for i in range(len(ORDER_COLUMNS))])
+    return kept.select(*others, body, cells.alias("_cells"))
+
+
 def cell(name: str) -> Column:
     """One flat value of a parsed document."""
     return F.get("_cells", F.lit(ORDER_COLUMNS.index(name)))

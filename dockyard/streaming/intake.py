@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import ONE_DAY
-from ..operators.orders import cell, land_orders, land_orders_as_of, parse_orders, quarantined
+from ..operators.orders import cell, land_orders, land_orders_as_of, parse_orders, quarantined, store_parsed
 from ..operators.outcomes import error_log, outcome_rows
 from ..operators.ttl import classify_arrivals, ledger_entries
 from ..schema import MSG_DUPLICATE_LOG
-from ..session import materialise, spread
+from ..session import materialise, shuffles_dropped, spread
 from ..sinks.records import record_rows, write_batch
 from .commits import pending, record_commit
 from .ledger import FEW_ROWS, Ledger
@@ -64,7 +64,7 @@ def decide_batch(
 
 def hold_pending(rows: DataFrame, root: str, name: str, batch_id: int) -> None:
     """Keep the rows of a failed sink until the next start, or a later batch, has written them."""
-    rows.write.mode("overwrite").parquet(f"{root}/pending/{name}/batch_id={batch_id}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/pending/{name}/batch_id={batch_id}")
 
 
 def drain_pending(spark: SparkSession, root: str, name: str, sink: Sink, waiting: set[int]) -> None:
@@ -126,8 +126,13 @@ def start_intake(
             drain_pending(spark, root, name, sink, waiting[name])
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        with shuffles_dropped(batch.sparkSession):
+            land(batch, batch_id)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        parsed = parse_orders(spread(batch, "seq")).persist()
+        # A table, not a cache: a batch may be larger than the executors' memory, and a table is a tenth of the cache's size.
+        parsed = store_parsed(parse_orders(spread(batch, "seq")), f"{root}/work/parsed")
         good = parsed.where(F.col("reason").isNull()).select(cell("id").alias("id"), "received_at", "seq")
         verdicts = decide_batch(good, batch_id, root, "id", "received_at", "seq", ttl, **options)
         # Stored by itself: planned by its real size, the anti-join leaves the wide rows where they are.
@@ -150,27 +155,24 @@ def start_intake(
                 waiting[name].add(batch_id)
             return done
 
-        try:
-            keep = ["received_at", "seq"]
-            landed = land_orders(parsed, dictionary(), keep) if versions is None else land_orders_as_of(parsed, versions(), keep)
-            flat = landed.join(rejected.select("seq"), "seq", "left_anti")
-            whole = ["orders"] * written("orders", flat)
-            if whole and not append_sink:
-                # Looked up and joined once: the records are the same rows under other names.
-                flat = spark.read.schema(flat.schema).parquet(f"{root}/orders/batch_id={batch_id}")
-            recorded = written("records", record_rows(flat, mapping()))
-            whole += ["records"] * recorded
-
-            bad = quarantined(parsed).select("received_at", "seq", "body", "reason")
-            write_batch(bad, f"{root}/quarantine", batch_id)
-            answers = outcome_rows(verdicts, keep=["seq"], sink_failed=F.lit(not recorded) & F.col("accepted"))
-            write_batch(answers, f"{root}/outcomes", batch_id)
-            # Logging never stops a batch.
-            if attempt(lambda: write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id), "log"):
-                whole.append("error_log")
-            record_commit(spark, root, batch_id, [*whole, "quarantine", "outcomes", "verdicts"])
-        finally:
-            parsed.unpersist()
+        keep = ["received_at", "seq"]
+        landed = land_orders(parsed, dictionary(), keep) if versions is None else land_orders_as_of(parsed, versions(), keep)
+        flat = landed.join(rejected.select("seq"), "seq", "left_anti")
+        whole = ["orders"] * written("orders", flat)
+        if whole and not append_sink:
+            # Looked up and joined once: the records are the same rows under other names.
+            flat = spark.read.schema(flat.schema).parquet(f"{root}/orders/batch_id={batch_id}")
+        recorded = written("records", record_rows(flat, mapping()))
+        whole += ["records"] * recorded
+
+        bad = quarantined(parsed).select("received_at", "seq", "body", "reason")
+        write_batch(bad, f"{root}/quarantine", batch_id)
+        answers = outcome_rows(verdicts, keep=["seq"], sink_failed=F.lit(not recorded) & F.col("accepted"))
+        write_batch(answers, f"{root}/outcomes", batch_id)
+        # Logging never stops a batch.
+        if attempt(lambda: write_batch(_log_rows(spark, parsed, rejected, batch, failures), f"{root}/error_log", batch_id), "log"):
+            whole.append("error_log")
+        record_commit(spark, root, batch_id, [*whole, "quarantine", "outcomes", "verdicts"])
 
     return _start(orders, root, process, trigger)
 

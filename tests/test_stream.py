@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dockyard.operators.ttl import accepted_arrivals
 from dockyard.schema import LANDED_ORDER
+from dockyard.sinks.records import write_batch
 from dockyard.sources.landing import land_documents, read_orders, stream_orders
 from dockyard.streaming.commits import pending, read_committed, record_commit
 from dockyard.streaming.intake import decide_batch, start_dedup, start_intake
@@ -102,6 +103,26 @@ def test_a_restart_without_new_data_repairs_a_sink(spark, intake):
     assert pending(spark, root, "orders") == set()
 
 
+def test_a_batch_is_kept_as_a_table_without_the_texts_of_good_documents(spark, intake):
+    landing, root, _, run = intake
+    plans = []
+
+    def sink(rows, folder, batch_id):
+        plans.append(rows._jdf.queryExecution().toString())
+        write_batch(rows, folder, batch_id)
+
+    long = {"id": "a", "volume": {"value": "7", "other": "x" * 1000}, "date": None}
+    land(spark, landing, (0, 1, long), (1, 2, "not json"), (2, 3, {"id": "b", "lineItems": None}), (3, 4, None))
+    run(append_sink=sink)
+    # Nothing is cached, so a batch may be larger than the executors' memory.
+    assert plans and not any("InMemoryRelation" in plan for plan in plans)
+    kept = {r["seq"]: r["body"] for r in table(spark, root, "work/parsed").collect()}
+    assert kept == {1: None, 2: "not json", 3: '{"id": "b", "lineItems": null}', 4: "null"}
+    row = table(spark, root, "orders").first()
+    assert (row["id"], row["volume_value"], row["volume_unit"], row["date"], row["teamId"]) == ("a", "7", "", None, "")
+    assert {(r["seq"], r["reason"]) for r in table(spark, root, "quarantine").collect()} == {(2, "malformed"), (3, "null_object"), (4, "malformed")}
+
+
 def test_landed_documents_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("dockyard.sources.landing.FILE_ROWS", 3)
     body = json.dumps({"id": "ä\n", "text": "again and again " * 200}, ensure_ascii=False)
