@@ -468,3 +468,34 @@ def test_a_cache_compares_bytes_behind_equal_codes():
     for _ in range(2):
         rows = cache.look(data, np.full(4, 7, np.uint64), lo, hi)
         assert cache.flat[rows].tolist() == [ord(c) for c in "abca"]
+
+
+def test_codes_meet_their_values_in_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # One bucket, and one code, hold a third of all codes each.
+    codes = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    codes[:1000] >>= np.uint64(suffix_tree.BUCKET_BITS)
+    row = np.sort(rng.integers(5 << 33, (5 << 33) + 40, 9000))
+    there = rng.choice(codes[:2000], 9000)
+    there[::3] = codes[7]
+    table = spark.createDataFrame([(int(c), float(n)) for n, c in enumerate(np.append(codes[1500:], codes[:1200]).view(np.int64))], "code long, value double")
+    monkeypatch.setattr(suffix_tree, "PIECE", 100)
+    for kind, of in ((suffix_tree.TEXT_WORDS, suffix_tree.WORDS), (suffix_tree.TEXT_GRAMS, suffix_tree.GRAMS)):
+        text = spark.createDataFrame(list(suffix_tree.pieces(kind, there, row)), suffix_tree._PIECE)
+        assert text.count() > 60
+        found = suffix_tree.added_up(suffix_tree.value_pieces(table, of).unionByName(text))
+        found = {r[0]: tuple(r)[1:] for r in found.groupBy("row").sum("more", "seen", "further").collect()}
+        values = {c % 2**64: v for c, v in table.collect()}
+        want = {}
+        for i, c in zip(row.tolist(), there.tolist()):
+            more, seen, further = want.get(i, (0.0, 0, 0.0))
+            value = values.get(c)
+            if kind == suffix_tree.TEXT_WORDS:
+                want[i] = (more + (math.log10(0.1) if value is None else value), seen + (value is not None), 0.0)
+            else:
+                want[i] = (0.0, 0, further + (value or 0.0))
+        assert found.keys() == want.keys() and all(np.allclose(found[i], want[i]) for i in want)
+    held = suffix_tree.Table(np.sort(codes[:1000]), np.arange(1000.0), suffix_tree.BUCKET_BITS)
+    hit, value = held.look(np.sort(codes[:1000]))
+    assert hit.all() and (value == np.arange(1000)).all() and not held.look(codes[:1000] + np.uint64(1))[0].any()
+    assert not suffix_tree.Table(codes[:0], np.zeros(0)).look(codes)[0].any()
